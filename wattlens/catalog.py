@@ -9,19 +9,81 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import oracle
-from .plans import marts
+from .plans import dispatch, figures, hourly, marts
 from .sources.driver import DriverSymbols, driver_params
 
 ROUND_DIGITS = 6
+# Rounding boundary shift: exact decimal ties (e.g. a mean ending in ...5 at the 7th decimal)
+# would otherwise round differently depending on last-bit summation noise. Both sides add it.
+ROUND_SHIFT = 1.2345e-9
 
 
-def _marts(fn):
+def _marts(fn, with_scenario: bool = False):
     def run(spark, sf_dir):
-        sym = DriverSymbols(spark, sf_dir)
+        sym = DriverSymbols(spark, sf_dir, with_scenario=with_scenario)
         return fn(sym, driver_params(sym))
     return run
 
 
+def _hourly_symbols(spark, sf_dir):
+    sym = DriverSymbols(spark, sf_dir)
+    return sym.override(XC=sym.hourly_capacity), driver_params(sym)
+
+
+def _hourly(fn):
+    def run(spark, sf_dir):
+        return fn(*_hourly_symbols(spark, sf_dir))
+    return run
+
+
+def _mapping(fn):
+    """Statistics on the hourly mapping mart."""
+    def run(spark, sf_dir):
+        sym, p = _hourly_symbols(spark, sf_dir)
+        return fn(hourly.ca_hourly_mapping(sym, p), p)
+    return run
+
+
+def _net(fn):
+    def run(spark, sf_dir):
+        sym, p = _hourly_symbols(spark, sf_dir)
+        return fn(hourly.net_load_hourly(hourly.ca_hourly_mapping(sym, p), p), p)
+    return run
+
+
+def _ts(fn):
+    def run(spark, sf_dir):
+        sym, p = _hourly_symbols(spark, sf_dir)
+        return fn(hourly.hour_vs_segment(hourly.ca_hourly_mapping(sym, p), p), p)
+    return run
+
+
+def _dispatch(fn, clean: bool = False):
+    def run(spark, sf_dir):
+        sym = DriverSymbols(spark, sf_dir)
+        p = driver_params(sym)
+        d = dispatch.dispatch_by_segment(sym, p)
+        return fn(dispatch.dispatch_clean(d, p) if clean else d, p)
+    return run
+
+
+def _trade(fn):
+    def run(spark, sf_dir):
+        sym = DriverSymbols(spark, sf_dir)
+        p = driver_params(sym)
+        return fn(dispatch.trade_by_segment(sym, p), p)
+    return run
+
+
+def _loads_filtered(sym, p):
+    return hourly.ca_loads(sym, p).where(F.col("year") != p.base_year)
+
+
+def _long_names(spark, sf_dir):
+    sym = DriverSymbols(spark, sf_dir)
+    return figures.map_long_name(sym.report_labels(), driver_params(sym))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ca_capacity": _marts(marts.ca_capacity),
     "capacity_by_region": _marts(marts.capacity_by_region),
@@ -34,15 +96,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "emissions_rollup": _marts(marts.emissions_rollup),
     "generation_report": _marts(marts.generation_report),
     "capacity_report": _marts(marts.capacity_report),
+    # hourly marts and statistics
+    "hydrogen_load": _hourly(hourly.hydrogen_load),
+    "ca_loads": _hourly(hourly.ca_loads),
+    "loads_filtered": _hourly(_loads_filtered),
+    "af_hour": _hourly(hourly.af_hour),
+    "af_segment": _hourly(hourly.af_segment),
+    "ca_hourly_mapping": _hourly(hourly.ca_hourly_mapping),
+    "hourly_long": _mapping(lambda m, p: hourly.hourly_long(m)),
+    "net_load_hourly": _mapping(hourly.net_load_hourly),
+    "normalized_profile": _net(hourly.normalized_profile),
+    "peak_capacity_factors": _net(hourly.peak_capacity_factors),
+    "hour_vs_segment": _mapping(hourly.hour_vs_segment),
+    "monthly_comparison": _ts(hourly.monthly_comparison),
+    "duration_curve_load": _ts(hourly.duration_curve_load),
+    "duration_curve_solar": _ts(hourly.duration_curve_solar),
+    "duration_curve_wind": _ts(hourly.duration_curve_wind),
+    # dispatch and trade
+    "dispatch_by_segment": _dispatch(lambda d, p: d),
+    "dispatch_clean": _dispatch(lambda d, p: d, clean=True),
+    "storage_charge": _dispatch(dispatch.storage_charge),
+    "dispatch_hour_profile": _dispatch(dispatch.dispatch_hour_profile, clean=True),
+    "dispatch_window": _dispatch(dispatch.dispatch_window, clean=True),
+    "dispatch_deciles": _dispatch(dispatch.dispatch_deciles),
+    "trade_by_segment": _trade(lambda t, p: t),
+    "trade_net": _trade(dispatch.trade_net),
+    # figure tables
+    "fig_generation": _marts(figures.fig_generation),
+    "fig_capacity": _marts(figures.fig_capacity),
+    "fig_peak_load": _marts(figures.fig_peak_load),
+    "fig_investment": _marts(figures.fig_investment),
+    "fig_investment_scenarios": _marts(figures.fig_investment, with_scenario=True),
+    "fig_cumulative_investment": _marts(figures.fig_cumulative_investment, with_scenario=True),
+    "fig_capacity_scenarios": _marts(figures.fig_capacity_scenarios, with_scenario=True),
+    "fig_peak_load_scenarios": _marts(figures.fig_peak_load_scenarios, with_scenario=True),
+    "list_scenarios": _marts(lambda sym, p: figures.list_scenarios(sym), with_scenario=True),
+    "map_long_name": _long_names,
 }
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Round DOUBLE columns (and turn -0.0 into 0.0) for an order-independent value hash."""
+    """Round DOUBLE columns (shifted boundary, -0.0 -> 0.0) for an order-independent value hash."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, DoubleType):
-            cols.append((F.round(F.col(f"`{f.name}`"), ROUND_DIGITS) + F.lit(0.0)).alias(f.name))
+            cols.append((F.round(F.col(f"`{f.name}`") + F.lit(ROUND_SHIFT), ROUND_DIGITS) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -59,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
             sql = oracle.QUERIES[name]()
             cols = oracle.DOUBLE_COLUMNS.get(name, [])
             if cols:
-                rep = ", ".join(f'round("{c}", {ROUND_DIGITS}) + 0.0 AS "{c}"' for c in cols)
+                rep = ", ".join(f'round("{c}" + {ROUND_SHIFT!r}, {ROUND_DIGITS}) + 0.0 AS "{c}"' for c in cols)
                 sql = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n)"
             out[name] = sql
     return out

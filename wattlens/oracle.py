@@ -193,6 +193,434 @@ def q_capacity_report() -> str:
     return _report("gw")
 
 
+
+# -- helpers ----------------------------------------------------------------------------------------
+
+TECH_ORDER = ["Storage", "Solar", "Wind", "Hydrogen", "Gas CCS", "Gas-CT", "Gas-CC",
+              "Coal CCS", "Coal", "Bio CCS", "Bio", "Hydro", "Geothermal", "Nuclear"]
+RE = ["Solar", "Wind", "Offshore Wind"]
+
+
+def na_avg(x: str) -> str:
+    return f"CASE WHEN count(*) = count({x}) THEN avg({x}) END"
+
+
+def na_sum(x: str) -> str:
+    return f"CASE WHEN count(*) = count({x}) THEN sum({x}) END"
+
+
+def order_of(x: str) -> str:
+    whens = " ".join(f"WHEN '{t}' THEN {i + 1}" for i, t in enumerate(TECH_ORDER))
+    return f"CASE {x} {whens} END"
+
+
+def ordered(x: str) -> str:
+    listed = ", ".join(f"'{t}'" for t in TECH_ORDER)
+    return f"CASE WHEN {x} IN ({listed}) THEN {x} END"
+
+
+def ts_of(hour: str) -> str:
+    return f"CASE WHEN {hour} BETWEEN 1 AND 8760 THEN TIMESTAMP '2026-01-01 00:00:00' + to_hours({hour} - 1) END"
+
+
+def calendar(t: str) -> str:
+    return (f"CAST(month({t}) AS INTEGER) AS month, CAST(day({t}) AS INTEGER) AS day, "
+            f"CAST(hour({t}) AS INTEGER) AS hour_of_day, strftime({t}, '%b') AS month_name")
+
+
+_CTE.update({
+    "ev": ("""SELECT e.event_id, e.event_type, e.value, CAST(1995 + e.user_id % 7 AS INTEGER) AS year,
+                     CAST((date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', e.ts) % 168) * 49 + 1 AS INTEGER) AS hour,
+                     n.n_name AS region
+              FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25""", ()),
+    "evs": ("SELECT *, 's' || CAST((hour * 37 + year) % 20 AS VARCHAR) AS segment FROM ev", ("ev",)),
+    "hrep": ("""SELECT CAST(y.yr AS INTEGER) AS year, CAST(k.k * 49 + 1 AS INTEGER) AS hour,
+                       's' || CAST(((k.k * 49 + 1) * 37 + y.yr) % 20 AS VARCHAR) AS segment
+                FROM (SELECT range AS yr FROM range(1995, 2002)) y CROSS JOIN (SELECT range AS k FROM range(0, 168)) k""", ()),
+    "reph": ("SELECT DISTINCT year, hour, segment FROM hrep", ("hrep",)),
+    "techs": ("SELECT * FROM (VALUES ('Solar'), ('Wind'), ('Offshore Wind')) t(tech)", ()),
+    "load_h": ("""SELECT year, hour, sum(value) AS load_h FROM evs WHERE region IN (SELECT region FROM cal_r)
+                  GROUP BY year, hour""", ("evs", "cal_r")),
+    "load_s": ("""SELECT year, segment, sum(value) AS load_s FROM evs WHERE region IN (SELECT region FROM cal_r)
+                  GROUP BY year, segment""", ("evs", "cal_r")),
+    "h2": ("""SELECT year, segment, sum(value) AS hydrogen_load FROM (
+                SELECT CASE WHEN event_type = 'error' THEN 'demand' ELSE 'supply' END AS grp,
+                       ['h2prod_ht', 'h2prod_ne', 'h2prod_pa', 'h2stortrn', 'elec_load'][event_id % 5 + 1] AS type,
+                       region, year, segment, value FROM evs)
+              WHERE grp = 'demand' AND type IN ('h2prod_ht', 'h2prod_ne', 'h2prod_pa', 'h2stortrn')
+                AND region IN (SELECT region FROM cal_r)
+              GROUP BY year, segment""", ("evs", "cal_r")),
+    "vr": ("""SELECT CASE event_type WHEN 'click' THEN 'promo-1' WHEN 'view' THEN 'medium-1' WHEN 'signup' THEN 'small-1'
+                       WHEN 'error' THEN 'standard-1' WHEN 'purchase' THEN 'large-1' END AS tech_class,
+                     CAST(event_id % 5 AS VARCHAR) AS vintage, region, year, hour, segment,
+                     least(1.0, value / 500) AS value FROM evs""", ("evs",)),
+    "hcap": ("""SELECT tech_class, vintage, region, year,
+                       CASE WHEN vintage = '0' THEN 0.0 ELSE CAST(count(*) AS DOUBLE) END AS level
+                FROM vr GROUP BY tech_class, vintage, region, year""", ("vr",)),
+})
+
+
+def _af_cte(slot: str) -> str:
+    return f"""SELECT tech, year, {slot}, sum(capacity * value) AS generation, sum(capacity) AS capacity,
+                      avg(value) AS af_base FROM (
+                 SELECT {tech_of('v.tech_class')} AS tech, v.year, v.{slot}, c.level AS capacity, v.value
+                 FROM vr v JOIN hcap c ON v.tech_class = c.tech_class AND v.vintage = c.vintage
+                      AND v.region = c.region AND v.year = c.year
+                 WHERE v.region IN (SELECT region FROM cal_r))
+               WHERE tech IN ('Solar', 'Wind', 'Offshore Wind') GROUP BY tech, year, {slot}"""
+
+
+_CTE.update({
+    "afh": (_af_cte("hour"), ("vr", "hcap", "cal_r", "class_tax")),
+    "afs": (_af_cte("segment"), ("vr", "hcap", "cal_r", "class_tax")),
+    "hm": ("""SELECT t.tech, r.year, r.hour, coalesce(a.generation, 0.0) AS generation_h,
+                     coalesce(a.capacity, 0.0) AS capacity,
+                     coalesce(a.generation / NULLIF(a.capacity, 0), a.af_base, 0.0) AS af_h, r.segment,
+                     coalesce(s.generation, 0.0) AS generation_s,
+                     coalesce(s.generation / NULLIF(s.capacity, 0), s.af_base, 0.0) AS af_s,
+                     coalesce(lh.load_h, 0.0) AS load_h, coalesce(ls.load_s, 0.0) AS load_s,
+                     coalesce(h.hydrogen_load, 0.0) AS hydrogen_load
+              FROM reph r CROSS JOIN techs t
+              LEFT JOIN afh a ON a.tech = t.tech AND a.year = r.year AND a.hour = r.hour
+              LEFT JOIN afs s ON s.tech = t.tech AND s.year = r.year AND s.segment = r.segment
+              LEFT JOIN load_h lh ON lh.year = r.year AND lh.hour = r.hour
+              LEFT JOIN load_s ls ON ls.year = r.year AND ls.segment = r.segment
+              LEFT JOIN h2 h ON h.year = r.year AND h.segment = r.segment""",
+           ("reph", "techs", "afh", "afs", "load_h", "load_s", "h2")),
+    "hw": ("""SELECT year, hour, segment, hydrogen_load, max(load_h + hydrogen_load) AS load,
+                     """ + ",\n".join(f"max(CASE WHEN tech = '{t}' THEN {src} END) AS \"{t}|{name}\""
+                                      for name, src in (("generation", "generation_h"), ("capacity", "capacity"),
+                                                        ("af", "af_h")) for t in RE) + """
+              FROM hm GROUP BY year, hour, segment, hydrogen_load""", ("hm",)),
+    "nl": (" UNION ALL ".join(
+        f"""SELECT year, hour, segment, hydrogen_load, load, '{name}' AS type,
+                   "Solar|{name}" AS "Solar", "Wind|{name}" AS "Wind", "Offshore Wind|{name}" AS "Offshore Wind",
+                   load - "Solar|generation" - "Wind|generation" - "Offshore Wind|generation" AS net_load FROM hw"""
+        for name in ("generation", "capacity", "af")), ("hw",)),
+    "nlr": ("""SELECT *, rank() OVER (PARTITION BY year, type ORDER BY net_load DESC NULLS LAST)
+                        + (count(*) OVER (PARTITION BY year, type, net_load) - 1) / 2.0 AS order_id FROM nl""", ("nl",)),
+    "sw": ("""SELECT year, hour, segment, hydrogen_load,
+                     """ + ",\n".join(f"max(CASE WHEN tech = '{t}' THEN {src} END) AS \"{t}|{a}\""
+                                      for a, src in (("hour", "af_h"), ("segment", "af_s")) for t in RE) + """,
+                     max(load_h + hydrogen_load) AS "load|hour", max(load_s + hydrogen_load) AS "load|segment"
+              FROM hm GROUP BY year, hour, segment, hydrogen_load""", ("hm",)),
+    "ts0": (" UNION ALL ".join(
+        f"""SELECT year, hour, segment, hydrogen_load, '{a}' AS aggregation, "Solar|{a}" AS "Solar",
+                   "Wind|{a}" AS "Wind", "Offshore Wind|{a}" AS "Offshore Wind", "load|{a}" AS "Load" FROM sw"""
+        for a in ("hour", "segment")), ("sw",)),
+    "tsc": (f"SELECT *, {calendar('time')} FROM (SELECT *, {ts_of('hour')} AS time FROM ts0)", ("ts0",)),
+})
+
+
+def q_hydrogen_load() -> str:
+    return with_ctes(("h2",), "SELECT * FROM h2")
+
+
+_LOADS = """SELECT r.year, r.hour, r.segment, coalesce(lh.load_h, 0.0) AS load_hour,
+                   coalesce(ls.load_s, 0.0) AS load_segment, coalesce(h.hydrogen_load, 0.0) AS hydrogen_load
+            FROM reph r LEFT JOIN load_h lh ON lh.year = r.year AND lh.hour = r.hour
+            LEFT JOIN load_s ls ON ls.year = r.year AND ls.segment = r.segment
+            LEFT JOIN h2 h ON h.year = r.year AND h.segment = r.segment"""
+
+
+def q_ca_loads() -> str:
+    return with_ctes(("reph", "load_h", "load_s", "h2"), _LOADS)
+
+
+def q_loads_filtered() -> str:
+    return with_ctes(("reph", "load_h", "load_s", "h2"), f"SELECT * FROM ({_LOADS}) WHERE year <> 1995")
+
+
+def _af_dense(slot: str, cte: str) -> str:
+    sfx = "h" if slot == "hour" else "s"
+    cap = ", coalesce(a.capacity, 0.0) AS capacity" if slot == "hour" else ""
+    return with_ctes((cte, "hrep", "techs"), f"""
+        SELECT t.tech, r.year, r.{slot}, coalesce(a.generation, 0.0) AS generation_{sfx}{cap},
+               coalesce(a.generation / NULLIF(a.capacity, 0), a.af_base) AS af_{sfx}
+        FROM (SELECT DISTINCT year, {slot} FROM hrep) r CROSS JOIN techs t
+        LEFT JOIN {cte} a ON a.tech = t.tech AND a.year = r.year AND a.{slot} = r.{slot}""")
+
+
+def q_af_hour() -> str:
+    return _af_dense("hour", "afh")
+
+
+def q_af_segment() -> str:
+    return _af_dense("segment", "afs")
+
+
+def q_ca_hourly_mapping() -> str:
+    return with_ctes(("hm",), "SELECT * FROM hm")
+
+
+def q_hourly_long() -> str:
+    parts = []
+    for src, name in (("generation_h", "generation_hour"), ("generation_s", "generation_segment"),
+                      ("af_h", "af_hour"), ("af_s", "af_segment"), ("load_h + hydrogen_load", "load_hour"),
+                      ("load_s + hydrogen_load", "load_segment"), ("capacity", "capacity_hour"),
+                      ("capacity", "capacity_segment")):
+        typ, agg = name.split("_", 1)
+        parts.append(f"SELECT tech, year, hour, segment, hydrogen_load, '{typ}' AS type, '{agg}' AS aggregation, "
+                     f"{src} AS value FROM hm")
+    return with_ctes(("hm",), "\nUNION ALL ".join(parts))
+
+
+def q_net_load_hourly() -> str:
+    return with_ctes(("nlr",), "SELECT * FROM nlr")
+
+
+def q_normalized_profile() -> str:
+    mx = ("CASE WHEN count(*) OVER (PARTITION BY year) = count(load) OVER (PARTITION BY year) "
+          "THEN max(load) OVER (PARTITION BY year) END")
+    return with_ctes(("nlr",), f"""
+        SELECT year, hour_of_day, solar, 'Load' AS type, "Load" AS value FROM agg WHERE year <> 2001
+        UNION ALL
+        SELECT year, hour_of_day, solar, 'Net Load', "Net Load" FROM agg WHERE year <> 2001""", {
+        "g": f"""SELECT year, CAST(hour({ts_of('hour')}) AS INTEGER) AS hour_of_day,
+                        load / NULLIF({mx}, 0) AS load_norm, net_load / NULLIF({mx}, 0) AS net_load_norm,
+                        "Solar" / NULLIF({mx}, 0) AS solar
+                 FROM nlr WHERE type = 'generation'""",
+        "agg": f"""SELECT year, hour_of_day, {na_avg('load_norm')} AS "Load",
+                          CASE WHEN {na_avg('net_load_norm')} IS NOT NULL THEN greatest(0.0, {na_avg('net_load_norm')}) END AS "Net Load",
+                          {na_avg('solar')} AS solar
+                   FROM g GROUP BY year, hour_of_day"""})
+
+
+def q_peak_capacity_factors() -> str:
+    return with_ctes(("nlr",), f"""
+        SELECT year, type, {na_avg('load')} AS load, {na_avg('net_load')} AS net_load,
+               {na_avg('"Solar"')} AS solar, {na_avg('"Wind"')} AS wind, {na_avg('"Offshore Wind"')} AS offshore_wind
+        FROM nlr WHERE order_id <= 25 GROUP BY year, type""")
+
+
+def q_hour_vs_segment() -> str:
+    return with_ctes(("tsc",), "SELECT * FROM tsc")
+
+
+def q_monthly_comparison() -> str:
+    return with_ctes(("tsc",), f"""
+        SELECT year, month, aggregation, {na_avg('"Wind"')} AS "Wind", {na_avg('"Solar"')} AS "Solar",
+               {na_avg('"Load"')} AS "Load", min(month_name) AS month_name
+        FROM tsc WHERE year <> 1995 GROUP BY year, month, aggregation""")
+
+
+def _duration(measure: str, floor: str = "") -> str:
+    cond = f' AND "{measure}" > {floor}' if floor else ""
+    return with_ctes(("tsc",), f"""
+        SELECT * FROM (
+          SELECT *, CAST(row_number() OVER (PARTITION BY year, aggregation
+                     ORDER BY "{measure}" DESC NULLS LAST, hour ASC NULLS LAST, segment ASC NULLS LAST) AS INTEGER) AS order_hour
+          FROM tsc) WHERE year <> 1995{cond}""")
+
+
+def q_duration_curve_load() -> str:
+    return _duration("Load", "5")
+
+
+def q_duration_curve_solar() -> str:
+    return _duration("Solar")
+
+
+def q_duration_curve_wind() -> str:
+    return _duration("Wind")
+
+
+# -- dispatch and trade ---------------------------------------------------------------------------
+
+_CTE.update({
+    "disp": (f"""SELECT d.tech, d.year, d.segment, d.level, h.hour FROM (
+                  SELECT tech, year, segment, sum(level) AS level FROM (
+                    SELECT {tech_of()} AS tech, year, segment, l_quantity AS level FROM li
+                    WHERE l_returnflag IN ('N', 'A') AND region IN (SELECT region FROM cal_r))
+                  WHERE tech IS NOT NULL GROUP BY tech, year, segment
+                  UNION ALL
+                  SELECT 'Storage-charge', year, segment, sum(l_quantity) FROM li
+                  WHERE l_returnflag = 'R' AND l_linestatus = 'O' AND region IN (SELECT region FROM cal_r)
+                  GROUP BY year, segment
+                  UNION ALL
+                  SELECT 'Storage-discharge', year, segment, sum(l_quantity) FROM li
+                  WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND region IN (SELECT region FROM cal_r)
+                  GROUP BY year, segment) d
+                JOIN hrep h ON d.year = h.year AND d.segment = h.segment""",
+             ("li", "cal_r", "class_tax", "hrep")),
+    "dclean": (f"""SELECT {ordered('tech')} AS tech, year, segment, level, hour, time, {calendar('time')},
+                          {order_of('tech')} AS tech_order
+                   FROM (SELECT CASE WHEN tech = 'Storage-discharge' THEN 'Storage' ELSE tech END AS tech,
+                                year, segment, level, hour, {ts_of('hour')} AS time FROM disp
+                         WHERE year <> 1995 AND (tech IS NULL OR tech NOT IN ('Nuclear')) AND tech <> 'Storage-charge')""",
+               ("disp",)),
+    "trade": ("""SELECT 's' || CAST(l.l_orderkey % 20 AS VARCHAR) AS segment, sn.n_name AS region_exp,
+                        cn.n_name AS region_imp, CAST(year(o.o_orderdate) AS INTEGER) AS year, l.l_quantity AS level
+                 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+                      JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation cn ON c.c_nationkey = cn.n_nationkey
+                      JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation sn ON s.s_nationkey = sn.n_nationkey""", ()),
+    "area": ("""SELECT n.n_name AS key, CASE WHEN r.r_name = 'AMERICA' THEN 'ca'
+                       WHEN r.r_name IN ('ASIA', 'EUROPE') THEN 'rest' END AS value
+                FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""", ()),
+    "trh": ("""SELECT t.year, t.segment, t.region_exp, t.region_imp, t.trade_gw, h.hour FROM (
+                 SELECT year, segment, region_exp, region_imp, sum(level) AS trade_gw FROM (
+                   SELECT e.year, e.segment, ae.value AS region_exp, ai.value AS region_imp, e.level FROM trade e
+                   LEFT JOIN area ae ON e.region_exp = ae.key LEFT JOIN area ai ON e.region_imp = ai.key)
+                 WHERE region_exp IS NOT NULL AND region_imp IS NOT NULL
+                 GROUP BY year, segment, region_exp, region_imp) t
+               JOIN hrep h ON t.year = h.year AND t.segment = h.segment""", ("trade", "area", "hrep")),
+})
+
+
+def q_dispatch_by_segment() -> str:
+    return with_ctes(("disp",), "SELECT * FROM disp")
+
+
+def q_dispatch_clean() -> str:
+    return with_ctes(("dclean",), "SELECT * FROM dclean")
+
+
+def q_storage_charge() -> str:
+    return with_ctes(("disp",), """SELECT year, segment, hour, level AS storage_charge FROM disp
+        WHERE year <> 1995 AND (tech IS NULL OR tech NOT IN ('Nuclear')) AND tech = 'Storage-charge'""")
+
+
+def q_dispatch_hour_profile() -> str:
+    return with_ctes(("dclean",), f"""SELECT tech, year, hour_of_day, {na_avg('level')} AS level
+        FROM dclean GROUP BY tech, year, hour_of_day""")
+
+
+def q_dispatch_window() -> str:
+    return with_ctes(("dclean",), "SELECT * FROM dclean WHERE year = 1996 AND hour < 121")
+
+
+def q_dispatch_deciles() -> str:
+    w = "PARTITION BY year, hour"
+    return with_ctes(("disp",), """
+        SELECT year, tech, gen_ntile, generation,
+               generation / NULLIF(CASE WHEN count(*) OVER w = count(generation) OVER w
+                                        THEN sum(generation) OVER w END, 0) AS pct_gen
+        FROM a WINDOW w AS (PARTITION BY year, gen_ntile)""", {
+        "d": "SELECT DISTINCT tech, year, segment, level, hour FROM disp",
+        "g": f"""SELECT {ordered('t2')} AS tech, year, segment, level, hour FROM (
+                   SELECT CASE WHEN tech = 'Storage-discharge' THEN 'Storage' ELSE tech END AS t2, year, segment, level, hour
+                   FROM d WHERE (tech IS NULL OR tech NOT IN ('Nuclear')) AND tech <> 'Storage-charge')""",
+        "t": f"""SELECT *, CASE WHEN count(*) OVER ({w}) = count(level) OVER ({w}) THEN sum(level) OVER ({w}) END AS total_gen
+                 FROM g""",
+        "n": """SELECT *, CASE WHEN total_gen IS NOT NULL THEN
+                       ntile(10) OVER (PARTITION BY year, tech, total_gen IS NULL ORDER BY total_gen, hour, segment) END AS gen_ntile
+                FROM t""",
+        "a": f"""SELECT year, tech, CAST(gen_ntile AS INTEGER) AS gen_ntile, {na_avg('level')} AS generation
+                 FROM n GROUP BY year, tech, gen_ntile"""})
+
+
+def q_trade_by_segment() -> str:
+    return with_ctes(("trh",), "SELECT * FROM trh")
+
+
+def q_trade_net() -> str:
+    return with_ctes(("trh",), """
+        SELECT year, hour, imports, exports, imports - exports AS net_imports FROM (
+          SELECT year, hour,
+                 sum(CASE WHEN region_imp = 'ca' AND region_exp <> 'ca' THEN trade_gw ELSE 0.0 END) AS imports,
+                 sum(CASE WHEN region_exp = 'ca' AND region_imp <> 'ca' THEN trade_gw ELSE 0.0 END) AS exports
+          FROM trh WHERE year <> 1995 GROUP BY year, hour)""")
+
+
+# -- figure tables --------------------------------------------------------------------------------
+
+SCENARIOS = "'AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'"
+
+
+def _report_cte(unit: str, scen: bool = False) -> str:
+    src = "lis" if scen else "li"
+    sk = "scenario, " if scen else ""
+    return f"""SELECT {sk}tech, region, unit, year, sum(value) AS value FROM (
+                 SELECT {sk}(SELECT tech FROM report_tax WHERE rkey = regexp_replace(report_type, '[0-9]+', '', 'g')) AS tech,
+                        region, CASE WHEN l_linestatus = 'O' THEN 'TWh'
+                                     WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'gw' ELSE 'other' END AS unit,
+                        year, l_quantity AS value FROM {src})
+               WHERE unit = '{unit}' AND tech IS NOT NULL GROUP BY {sk}tech, region, unit, year"""
+
+
+def q_fig_generation() -> str:
+    return with_ctes(("li", "report_tax"), f"""
+        SELECT {ordered('tech')} AS tech, region, unit, year, value, {order_of('tech')} AS tech_order FROM r
+        WHERE region = 'NATION_1' AND (tech IS NULL OR tech NOT IN ('Storage', 'Peak Load'))""",
+                     {"r": _report_cte("TWh")})
+
+
+def q_fig_capacity() -> str:
+    return with_ctes(("li", "report_tax"), f"""
+        SELECT {ordered('tech')} AS tech, region, unit, year, value, {order_of('tech')} AS tech_order FROM r
+        WHERE region = 'NATION_1' AND (tech IS NULL OR tech NOT IN ('Peak Load'))""",
+                     {"r": _report_cte("gw")})
+
+
+def q_fig_peak_load() -> str:
+    return with_ctes(("li", "report_tax"), "SELECT * FROM r WHERE region = 'NATION_1' AND tech = 'Peak Load'",
+                     {"r": _report_cte("gw")})
+
+
+def _investment_ctes(scen: bool) -> dict[str, str]:
+    src = "lis" if scen else "li"
+    sk = "scenario, " if scen else ""
+    return {
+        "inv": f"""SELECT {sk}tech, region, year, sum(level) AS investment FROM
+                     (SELECT {sk}{tech_of()} AS tech, region, year, l_quantity AS level FROM {src})
+                   WHERE tech IS NOT NULL GROUP BY {sk}tech, region, year
+                   UNION ALL SELECT {sk}'Storage-capacity', region, year, sum(l_quantity) FROM {src}
+                   WHERE l_returnflag = 'R' AND year <> 1995 GROUP BY {sk}region, year
+                   UNION ALL SELECT {sk}'Storage-energy', region, year, sum(l_quantity) FROM {src}
+                   WHERE l_returnflag = 'A' AND year <> 1995 GROUP BY {sk}region, year""",
+        "ci": f"""SELECT {sk}tech, year, sum(investment) AS investment FROM inv
+                  WHERE region IN (SELECT region FROM cal_r) GROUP BY {sk}tech, year""",
+        "fi": f"""SELECT {sk}year, tech, tech_order, {na_sum('investment')} AS investment FROM (
+                    SELECT {sk}year, {ordered('t2')} AS tech, {order_of('t2')} AS tech_order, investment FROM (
+                      SELECT {sk}year, CASE WHEN tech IN ('Storage-capacity') THEN 'Storage' ELSE tech END AS t2, investment
+                      FROM ci WHERE year <> 1995 {"AND scenario IN (" + SCENARIOS + ")" if scen else ""}))
+                  WHERE tech IS NOT NULL GROUP BY {sk}year, tech, tech_order""",
+    }
+
+
+def q_fig_investment() -> str:
+    return with_ctes(("li", "class_tax", "cal_r"), "SELECT * FROM fi", _investment_ctes(False))
+
+
+def q_fig_investment_scenarios() -> str:
+    return with_ctes(("lis", "class_tax", "cal_r"), "SELECT * FROM fi", _investment_ctes(True))
+
+
+def q_fig_cumulative_investment() -> str:
+    return with_ctes(("lis", "class_tax", "cal_r"), f"""
+        SELECT scenario, tech, tech_order, {na_sum('investment')} AS investment FROM fi
+        WHERE year <= 1999 GROUP BY scenario, tech, tech_order""", _investment_ctes(True))
+
+
+def q_fig_capacity_scenarios() -> str:
+    return with_ctes(("lis", "report_tax"), f"""
+        SELECT {ordered('tech')} AS tech, region, unit, year, value, scenario, {order_of('tech')} AS tech_order FROM r
+        WHERE scenario IN ({SCENARIOS}) AND region = 'NATION_1' AND (tech IS NULL OR tech NOT IN ('Peak Load'))
+          AND year IN (1997, 1999, 2001)""", {"r": _report_cte("gw", scen=True)})
+
+
+def q_fig_peak_load_scenarios() -> str:
+    return with_ctes(("lis", "report_tax"), f"""
+        SELECT * FROM r WHERE scenario IN ({SCENARIOS}) AND region = 'NATION_1' AND tech = 'Peak Load'
+          AND year IN (1997, 1999, 2001)""", {"r": _report_cte("gw", scen=True)})
+
+
+def q_list_scenarios() -> str:
+    return with_ctes(("lis",), "SELECT DISTINCT scenario FROM lis")
+
+
+def q_map_long_name() -> str:
+    return with_ctes(("li",), """
+        SELECT tech, year, sum(value) AS value FROM (
+          SELECT m.value AS tech, li.year, li.l_quantity AS value FROM li LEFT JOIN lmap m ON li.p_name = m.key)
+        WHERE tech IS NOT NULL AND tech <> 'DROP' GROUP BY tech, year""", {
+        "lmap": """SELECT p_name AS key, CASE string_split(p_name, ' ')[-1]
+                     WHEN 'anvil' THEN 'Hydro' WHEN 'bolt' THEN 'Bio' WHEN 'gear' THEN 'Coal'
+                     WHEN 'gizmo' THEN 'Geothermal' WHEN 'plate' THEN 'Hydrogen' WHEN 'ring' THEN 'Gas-CT'
+                     WHEN 'rod' THEN 'Gas-CC' WHEN 'widget' THEN 'DROP' END AS value
+                   FROM (SELECT DISTINCT p_name FROM part)"""})
+
+
 QUERIES = {
     "ca_capacity": q_ca_capacity,
     "capacity_by_region": q_capacity_by_region,
@@ -205,6 +633,39 @@ QUERIES = {
     "emissions_rollup": q_emissions_rollup,
     "generation_report": q_generation_report,
     "capacity_report": q_capacity_report,
+    "hydrogen_load": q_hydrogen_load,
+    "ca_loads": q_ca_loads,
+    "loads_filtered": q_loads_filtered,
+    "af_hour": q_af_hour,
+    "af_segment": q_af_segment,
+    "ca_hourly_mapping": q_ca_hourly_mapping,
+    "hourly_long": q_hourly_long,
+    "net_load_hourly": q_net_load_hourly,
+    "normalized_profile": q_normalized_profile,
+    "peak_capacity_factors": q_peak_capacity_factors,
+    "hour_vs_segment": q_hour_vs_segment,
+    "monthly_comparison": q_monthly_comparison,
+    "duration_curve_load": q_duration_curve_load,
+    "duration_curve_solar": q_duration_curve_solar,
+    "duration_curve_wind": q_duration_curve_wind,
+    "dispatch_by_segment": q_dispatch_by_segment,
+    "dispatch_clean": q_dispatch_clean,
+    "storage_charge": q_storage_charge,
+    "dispatch_hour_profile": q_dispatch_hour_profile,
+    "dispatch_window": q_dispatch_window,
+    "dispatch_deciles": q_dispatch_deciles,
+    "trade_by_segment": q_trade_by_segment,
+    "trade_net": q_trade_net,
+    "fig_generation": q_fig_generation,
+    "fig_capacity": q_fig_capacity,
+    "fig_peak_load": q_fig_peak_load,
+    "fig_investment": q_fig_investment,
+    "fig_investment_scenarios": q_fig_investment_scenarios,
+    "fig_cumulative_investment": q_fig_cumulative_investment,
+    "fig_capacity_scenarios": q_fig_capacity_scenarios,
+    "fig_peak_load_scenarios": q_fig_peak_load_scenarios,
+    "list_scenarios": q_list_scenarios,
+    "map_long_name": q_map_long_name,
 }
 
 # DOUBLE result columns per query (rounded on both sides; checked by tools/check_oracle.py).
@@ -220,4 +681,36 @@ DOUBLE_COLUMNS: dict[str, list[str]] = {
     "emissions_rollup": ["1995", "1996", "1997", "1998", "1999", "2000", "2001"],
     "generation_report": ["value"],
     "capacity_report": ["value"],
+    "ca_loads": ["load_hour", "load_segment", "hydrogen_load"],
+    "hydrogen_load": ["hydrogen_load"],
+    "loads_filtered": ["load_hour", "load_segment", "hydrogen_load"],
+    "af_hour": ["generation_h", "capacity", "af_h"],
+    "af_segment": ["generation_s", "af_s"],
+    "ca_hourly_mapping": ["generation_h", "capacity", "af_h", "generation_s", "af_s", "load_h", "load_s", "hydrogen_load"],
+    "hourly_long": ["hydrogen_load", "value"],
+    "net_load_hourly": ["hydrogen_load", "load", "Solar", "Wind", "Offshore Wind", "net_load", "order_id"],
+    "normalized_profile": ["solar", "value"],
+    "peak_capacity_factors": ["load", "net_load", "solar", "wind", "offshore_wind"],
+    "hour_vs_segment": ["hydrogen_load", "Solar", "Wind", "Offshore Wind", "Load"],
+    "monthly_comparison": ["Wind", "Solar", "Load"],
+    "duration_curve_load": ["hydrogen_load", "Solar", "Wind", "Offshore Wind", "Load"],
+    "duration_curve_solar": ["hydrogen_load", "Solar", "Wind", "Offshore Wind", "Load"],
+    "duration_curve_wind": ["hydrogen_load", "Solar", "Wind", "Offshore Wind", "Load"],
+    "dispatch_by_segment": ["level"],
+    "dispatch_clean": ["level"],
+    "storage_charge": ["storage_charge"],
+    "dispatch_hour_profile": ["level"],
+    "dispatch_window": ["level"],
+    "dispatch_deciles": ["generation", "pct_gen"],
+    "trade_by_segment": ["trade_gw"],
+    "trade_net": ["imports", "exports", "net_imports"],
+    "fig_generation": ["value"],
+    "fig_capacity": ["value"],
+    "fig_peak_load": ["value"],
+    "fig_investment": ["investment"],
+    "fig_investment_scenarios": ["investment"],
+    "fig_cumulative_investment": ["investment"],
+    "fig_capacity_scenarios": ["value"],
+    "fig_peak_load_scenarios": ["value"],
+    "map_long_name": ["value"],
 }
