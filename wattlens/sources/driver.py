@@ -63,10 +63,12 @@ class DriverSymbols(SymbolSource):
     def nation_names(self) -> DataFrame:
         return self.table("nation").select("n_nationkey", F.col("n_name").alias("region"))
 
-    def order_scenario(self) -> DataFrame:
+    def with_order_scenario(self, df: DataFrame) -> DataFrame:
+        """Tag rows with the market segment of their order's customer (joined table by table)."""
         o = self.table("orders").select("o_orderkey", "o_custkey")
         c = self.table("customer").select("c_custkey", F.col("c_mktsegment").alias("scenario"))
-        return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "scenario")
+        return (df.join(o, df.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+                .drop("o_orderkey", "o_custkey", "c_custkey"))
 
     def line_base(self) -> DataFrame:
         l = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -74,8 +76,10 @@ class DriverSymbols(SymbolSource):
                                           "l_linestatus", "l_shipdate")
         p = self.table("part").select("p_partkey", "p_type", "p_brand", "p_name")
         s = self.table("supplier").select("s_suppkey", "s_nationkey")
-        sn = s.join(self.nation_names(), s.s_nationkey == F.col("n_nationkey")).select("s_suppkey", "region")
-        df = l.join(p, l.l_partkey == p.p_partkey).join(sn, l.l_suppkey == sn.s_suppkey)
+        # Each dimension is joined as a plain table, so the planner sees its file size: small
+        # ones are broadcast, large ones (part/supplier at high scale) are shuffle-joined.
+        df = (l.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey)
+              .join(self.nation_names(), F.col("s_nationkey") == F.col("n_nationkey")))
         year = F.year("l_shipdate")
         df = df.select(
             F.concat(F.lower("p_type"), F.lit("-"), F.lower("p_brand")).alias("tech_class"),
@@ -85,7 +89,7 @@ class DriverSymbols(SymbolSource):
             F.concat(F.lower("p_type"), F.regexp_replace("p_brand", "[^0-9]", "")).alias("report_type"),
             "p_name", "l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
         if self.with_scenario:
-            df = df.join(self.order_scenario(), df.l_orderkey == F.col("o_orderkey")).drop("o_orderkey")
+            df = self.with_order_scenario(df)
         return df
 
     def _scen(self, *cols) -> list:
@@ -237,10 +241,11 @@ class DriverSymbols(SymbolSource):
         c = self.table("customer").select("c_custkey", "c_nationkey")
         s = self.table("supplier").select("s_suppkey", "s_nationkey")
         n = self.table("nation").select("n_nationkey", "n_name")
-        ci = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", F.col("n_name").alias("region_imp"))
-        se = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", F.col("n_name").alias("region_exp"))
-        df = (l.join(o, l.l_orderkey == o.o_orderkey).join(ci, o.o_custkey == ci.c_custkey)
-              .join(se, l.l_suppkey == se.s_suppkey))
+        ni = n.select(F.col("n_nationkey").alias("ni_key"), F.col("n_name").alias("region_imp"))
+        ne = n.select(F.col("n_nationkey").alias("ne_key"), F.col("n_name").alias("region_exp"))
+        df = (l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+              .join(ni, F.col("c_nationkey") == F.col("ni_key"))
+              .join(s, l.l_suppkey == s.s_suppkey).join(ne, F.col("s_nationkey") == F.col("ne_key")))
         return df.select(F.concat(F.lit("s"), (F.col("l_orderkey") % SEGMENTS).cast("string")).alias("segment"),
                          "region_exp", "region_imp", F.year("o_orderdate").alias("year"),
                          F.col("l_quantity").alias("level"))
