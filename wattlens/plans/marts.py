@@ -76,14 +76,20 @@ def ca_investment(sym: SymbolSource, p: Params) -> DataFrame:
 
 # -- costs -----------------------------------------------------------------------------------------
 
+def _pivot(df: DataFrame, idx: list, column: str, labels: list | None, value: str) -> DataFrame:
+    """Mean pivot over explicit labels, or over the labels found in the data when None."""
+    if labels is None:
+        return df.groupBy(*idx).pivot(column).agg(F.avg(value))
+    return pivot_values(df, idx, column, labels, value, agg=F.avg, names=[str(v) for v in labels])
+
+
 def _cost_wide(sym: SymbolSource, p: Params, symbol: str, rename_open: bool) -> DataFrame:
     """Regional mean cost by (tech, vintage), deflated, one column per vintage; the base-year
     vintage column is dropped. The mean is taken by the pivot itself (one aggregation)."""
     df = with_tech(subset_region(sym.get(symbol), sym.get("cal_r")), p)
     idx = scen_keys(df) + ["tech"]
     df = drop_null_keys(df, idx + ["vintage"])
-    wide = pivot_values(df, idx, "vintage", p.vintages, "value", agg=F.avg) if p.vintages is not None \
-        else df.groupBy(*idx).pivot("vintage").agg(F.avg("value"))
+    wide = _pivot(df, idx, "vintage", p.vintages, "value")
     labels = [c for c in wide.columns if c not in idx]
     wide = wide.select(*idx, *[current_dollars(c).alias(c) for c in labels])
     wide = wide.drop(str(p.base_year))
@@ -103,8 +109,7 @@ def capcosts_wide(sym: SymbolSource, p: Params) -> DataFrame:
     storage = parts[0].unionByName(parts[1])
     storage = storage.withColumn("capcost", current_dollars("value"))
     idx = scen_keys(storage) + ["tech"]
-    storage_wide = pivot_values(storage, idx, "year", p.years, "capcost", agg=F.avg,
-                                names=[str(y) for y in p.years])
+    storage_wide = _pivot(storage, idx, "year", p.pivot_years, "capcost")
     return gen.unionByName(storage_wide, allowMissingColumns=True)
 
 
@@ -128,8 +133,7 @@ def emissions_rollup(sym: SymbolSource, p: Params) -> DataFrame:
                                     (F.col("level") * 1000).alias("emissions"))
     both = partial_rollup(df, sym.get("cal_r"), p.aggregate_region, ["year"], "emissions")
     idx = scen_keys(both) + ["region"]
-    return pivot_values(drop_null_keys(both, idx), idx, "year", p.years, "emissions", agg=F.avg,
-                        names=[str(y) for y in p.years])
+    return _pivot(drop_null_keys(both, idx), idx, "year", p.pivot_years, "emissions")
 
 
 # -- generation & capacity report ------------------------------------------------------------------

@@ -28,8 +28,11 @@ class Params:
     deflator: float = lookups.DEFLATOR_2010_TO_2024
     re_tech: list = _l(lookups.RE_TECH)
     years: list = _l(lookups.YEAR_LIST)
-    # vintage labels to pivot cost marts on; None lets Spark discover them (one extra job)
+    # pivot labels of the wide cost/emission marts: vintage labels for the cost marts, the model
+    # years for storage costs and emissions. None (default) takes the labels present in the data,
+    # found by Spark's pivot (one small distinct job), as the original pivot tables do.
     vintages: list | None = None
+    pivot_years: list | None = None
     open_vintage: str = "2050+"          # label of the open-ended last vintage
     storage_class: str = "li-ion"
     aggregate_region: str = "California"  # label of the appended regional total

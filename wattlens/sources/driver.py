@@ -277,6 +277,7 @@ def driver_params(symbols: DriverSymbols | None = None) -> Params:
         class_taxonomy=dict(CLASS_TAXONOMY), report_taxonomy=dict(REPORT_TAXONOMY),
         years=list(range(FIRST_YEAR, LAST_YEAR + 1)),
         vintages=[str(y) for y in range(FIRST_YEAR, LAST_YEAR)] + [f"{LAST_YEAR}+"],
+        pivot_years=list(range(FIRST_YEAR, LAST_YEAR + 1)),
         open_vintage=f"{LAST_YEAR}+", report_region="NATION_1", home_area="ca",
         dispatch_excluded=["Nuclear"], cumulative_cutoff=1999, comparison_years=[1997, 1999, 2001],
         window_year=1996, scenarios=list(SCENARIO_SEGMENTS))

@@ -118,6 +118,18 @@ class ParquetSymbols(SymbolSource):
         return canonicalize(df, SYMBOLS[name])
 
 
+class FrameSymbols(SymbolSource):
+    """Symbols given as DataFrames in raw or canonical form (tests, notebooks, other readers)."""
+
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame]):
+        self.spark, self.frames = spark, dict(frames)
+        self.with_scenario = any("scenario" in f.columns for f in self.frames.values())
+
+    def _load(self, name: str) -> DataFrame | None:
+        df = self.frames.get(name)
+        return None if df is None else canonicalize(df, SYMBOLS[name])
+
+
 def scan_multi_file(spark: SparkSession, paths: Sequence[str], symbol: str) -> DataFrame:
     """Several files of one symbol (e.g. one hour map per model year) read as one table."""
     return canonicalize(spark.read.parquet(*paths), SYMBOLS[symbol])
