@@ -17,6 +17,7 @@ from ..operators.aggregate import scen_keys, sum_by
 from ..operators.expand import expand_to_hours
 from ..operators.filters import not_in_keep_null, subset_region
 from ..operators.lookup import apply_lookup
+from ..operators.partitioning import cluster_by_year
 from ..operators.windows import group_total, ntile_nonnull, share_of_group
 from ..sources.symbols import SymbolSource
 from .marts import with_tech
@@ -67,7 +68,7 @@ def dispatch_clean(d: DataFrame, p: Params) -> DataFrame:
     """Dispatch for the figures: base year left out, excluded technologies and charging
     removed, calendar parts added, ``tech`` as ordered category (NULL when unlisted) plus its
     position ``tech_order``."""
-    d = _generation_rows(d.where(F.col("year") != p.base_year), p)
+    d = _generation_rows(cluster_by_year(d.where(F.col("year") != p.base_year)), p)
     d = _calendar(d)
     return d.withColumns({"tech_order": tech_order("tech", p.tech_order),
                           "tech": ordered_tech("tech", p.tech_order)})
@@ -95,7 +96,7 @@ def dispatch_deciles(d: DataFrame, p: Params) -> DataFrame:
     """year, tech, gen_ntile, generation, pct_gen: hours split into deciles of total generation
     per (year, tech); mean dispatch per decile and its share within (year, decile). Ties in
     total generation are broken by hour."""
-    d = _generation_rows(d.dropDuplicates(), p)
+    d = _generation_rows(cluster_by_year(d).dropDuplicates(), p)
     d = d.withColumn("tech", ordered_tech("tech", p.tech_order))
     sk = scen_keys(d)
     d = d.withColumn("total_gen", group_total("level", sk + ["year", "hour"]))

@@ -23,6 +23,7 @@ from ..functions.aggregates import floor0, na_mean, weighted_mean_fallback
 from ..functions.scalar import calendar_parts, hour_to_timestamp
 from ..operators.aggregate import scen_keys, sum_by
 from ..operators.filters import subset_data, subset_region
+from ..operators.partitioning import cluster_by_year
 from ..operators.windows import avg_rank, position_desc, ratio_to_group_max
 from ..sources.symbols import SymbolSource
 from .marts import with_tech
@@ -184,7 +185,7 @@ def net_load_hourly(mapping: DataFrame, p: Params) -> DataFrame:
     aggs = [F.max(F.col("load_h") + F.col("hydrogen_load")).alias("load")]
     for name, src in measures:
         aggs += _by_tech(techs, src, name)
-    wide = mapping.groupBy(*keys).agg(*aggs)
+    wide = cluster_by_year(mapping).groupBy(*keys).agg(*aggs)
     net = F.col("load")
     for t in techs:
         net = net - F.col(f"`{t}|generation`")
@@ -236,7 +237,7 @@ def hour_vs_segment(mapping: DataFrame, p: Params) -> DataFrame:
     aggs = (_by_tech(techs, "af_h", "hour") + _by_tech(techs, "af_s", "segment")
             + [F.max(F.col("load_h") + F.col("hydrogen_load")).alias("load|hour"),
                F.max(F.col("load_s") + F.col("hydrogen_load")).alias("load|segment")])
-    wide = mapping.groupBy(*keys).agg(*aggs)
+    wide = cluster_by_year(mapping).groupBy(*keys).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(a).alias("aggregation"),
                               *[F.col(f"`{t}|{a}`").alias(t) for t in techs],
                               F.col(f"`load|{a}`").alias("Load"))
