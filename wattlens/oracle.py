@@ -612,13 +612,12 @@ def q_list_scenarios() -> str:
 def q_map_long_name() -> str:
     return with_ctes(("li",), """
         SELECT tech, year, sum(value) AS value FROM (
-          SELECT m.value AS tech, li.year, li.l_quantity AS value FROM li LEFT JOIN lmap m ON li.p_name = m.key)
-        WHERE tech IS NOT NULL AND tech <> 'DROP' GROUP BY tech, year""", {
-        "lmap": """SELECT p_name AS key, CASE string_split(p_name, ' ')[-1]
-                     WHEN 'anvil' THEN 'Hydro' WHEN 'bolt' THEN 'Bio' WHEN 'gear' THEN 'Coal'
-                     WHEN 'gizmo' THEN 'Geothermal' WHEN 'plate' THEN 'Hydrogen' WHEN 'ring' THEN 'Gas-CT'
-                     WHEN 'rod' THEN 'Gas-CC' WHEN 'widget' THEN 'DROP' END AS value
-                   FROM (SELECT DISTINCT p_name FROM part)"""})
+          SELECT CASE string_split(p_name, ' ')[-1]
+                   WHEN 'anvil' THEN 'Hydro' WHEN 'bolt' THEN 'Bio' WHEN 'gear' THEN 'Coal'
+                   WHEN 'gizmo' THEN 'Geothermal' WHEN 'plate' THEN 'Hydrogen' WHEN 'ring' THEN 'Gas-CT'
+                   WHEN 'rod' THEN 'Gas-CC' WHEN 'widget' THEN 'DROP' END AS tech,
+                 year, l_quantity AS value FROM li)
+        WHERE tech IS NOT NULL AND tech <> 'DROP' GROUP BY tech, year""")
 
 
 QUERIES = {

@@ -43,8 +43,9 @@ def trade_by_segment(sym: SymbolSource, p: Params) -> DataFrame:
     """year, segment, region_exp, region_imp, trade_gw, hour: flows between reporting areas
     (regions outside the area map vanish), fanned out to hours."""
     e = sym.get("E")
-    e = apply_lookup(e, "region_exp", "area_exp", p.area_map)
-    e = apply_lookup(e, "region_imp", "area_imp", p.area_map)
+    areas = p.area_map() if callable(p.area_map) else p.area_map
+    e = apply_lookup(e, "region_exp", "area_exp", areas)
+    e = apply_lookup(e, "region_imp", "area_imp", areas)
     e = e.drop("region_exp", "region_imp").withColumnsRenamed({"area_exp": "region_exp", "area_imp": "region_imp"})
     agg = sum_by(e, ["year", "segment", "region_exp", "region_imp"], "level", "trade_gw")
     out = expand_to_hours(agg, sym.get("hrep"))

@@ -18,7 +18,8 @@ def _d(x):
 
 @dataclass(frozen=True)
 class Params:
-    # taxonomies: a dict fixed in code, or a (key, value) DataFrame derived from data
+    # taxonomies: a dict fixed in code, or a (key, value) DataFrame derived from data (or a
+    # zero-argument callable returning one, built on first use)
     class_taxonomy: Any = _d(lookups.TECH_SET)
     report_taxonomy: Any = _d(lookups.TYPE_TO_TECH)
     area_map: Any = _d(lookups.STATE_MAPPING)

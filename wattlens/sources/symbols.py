@@ -99,6 +99,7 @@ class ParquetSymbols(SymbolSource):
         self.spark, self.root = spark, root
         self.scenarios = list(scenarios) if scenarios is not None else None
         self.with_scenario = True
+        self._memo: dict[str, DataFrame | None] = {}
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -110,6 +111,11 @@ class ParquetSymbols(SymbolSource):
         return fs.exists(hpath)
 
     def _load(self, name: str) -> DataFrame | None:
+        if name not in self._memo:
+            self._memo[name] = self._scan(name)
+        return self._memo[name]
+
+    def _scan(self, name: str) -> DataFrame | None:
         if name not in SYMBOLS or not self._exists(self.path(name)):
             return None
         df = self.spark.read.parquet(self.path(name))
