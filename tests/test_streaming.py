@@ -1,0 +1,36 @@
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from conftest import rows
+from fixtures import capacity_symbols
+from wattlens.plans.params import Params
+from wattlens.sources.sinks import read_mart
+from wattlens.streaming import start_mart_stream
+
+
+def _land(spark, root, scenario):
+    sym = capacity_symbols(spark)
+    for name in ("XC", "GC", "GR"):
+        sym.frames[name].withColumn("scenario", F.lit(scenario)).write.mode("append") \
+            .partitionBy("scenario").parquet(os.path.join(root, name))
+    if not os.path.exists(os.path.join(root, "cal_r")):
+        sym.frames["cal_r"].write.parquet(os.path.join(root, "cal_r"))
+
+
+def test_stream_builds_marts_for_new_scenarios_only(spark):
+    base = tempfile.mkdtemp(prefix="wattlens-stream-")
+    landing, marts, ckpt = (os.path.join(base, d) for d in ("landing", "marts", "ckpt"))
+    _land(spark, landing, "a")
+    q = start_mart_stream(spark, landing, marts, Params(), marts=["ca_capacity"], checkpoint=ckpt)
+    q.awaitTermination(120)
+    out = read_mart(spark, os.path.join(marts, "ca_capacity"))
+    assert rows(out.select("scenario").distinct()) == [("a",)]
+    _land(spark, landing, "b")
+    q = start_mart_stream(spark, landing, marts, Params(), marts=["ca_capacity"], checkpoint=ckpt)
+    q.awaitTermination(120)
+    out = read_mart(spark, os.path.join(marts, "ca_capacity"))
+    assert rows(out.select("scenario").distinct()) == [("a",), ("b",)]
+    assert rows(out.where(F.col("scenario") == "b").select("tech", "year", "capacity")) == [
+        ("Solar", 2020, 3.0), ("Storage-capacity", 2020, 1.0), ("Storage-energy", 2020, 4.0), ("Wind", 2025, 3.0)]

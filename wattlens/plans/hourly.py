@@ -24,6 +24,7 @@ from ..functions.scalar import calendar_parts, hour_to_timestamp
 from ..operators.aggregate import scen_keys, sum_by
 from ..operators.filters import subset_data, subset_region
 from ..operators.partitioning import cluster_by_year
+from ..operators.reshape import separate
 from ..operators.windows import avg_rank, position_desc, ratio_to_group_max
 from ..sources.symbols import SymbolSource
 from .marts import with_tech
@@ -162,9 +163,7 @@ def hourly_long(mapping: DataFrame) -> DataFrame:
         cols.append(c.alias(name))
     wide = mapping.select(*ids, *cols)
     long = wide.unpivot(ids, [n for _, n in _MEASURES], "id", "value")
-    parts = F.split(F.col("id"), "_", 2)
-    return long.select(*ids, F.element_at(parts, 1).alias("type"),
-                       F.element_at(parts, 2).alias("aggregation"), "value")
+    return separate(long, "id", ["type", "aggregation"], "_")
 
 
 def _by_tech(techs: Sequence[str], measure: str | Column, name: str) -> list[Column]:

@@ -45,6 +45,19 @@ def build_marts(sym: SymbolSource, p: Params, out_root: str, names=None, fmt: st
     return paths
 
 
+def write_statistics(spark: SparkSession, mart_root: str, p: Params, out_root: str,
+                     fmt: str = "parquet") -> list[str]:
+    """Compute the statistics from written marts and write each one (e.g. the peak-hour
+    capacity factors table, ordered by type as in the original output)."""
+    paths = []
+    for name, df in statistics(spark, mart_root, p, fmt=fmt).items():
+        path = os.path.join(out_root, name)
+        order = ["type", "year"] if name == "capacity_factors_top_25" else None
+        write_mart(df, path, fmt=fmt, order_by=order)
+        paths.append(path)
+    return paths
+
+
 def statistics(spark: SparkSession, mart_root: str, p: Params, fmt: str = "parquet") -> dict[str, DataFrame]:
     """Statistics jobs over written marts (lazy DataFrames)."""
     def m(name):

@@ -11,7 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def write_mart(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_mart(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
+               order_by: list[str] | None = None, global_order: bool = False) -> None:
+    """Write a mart. ``order_by`` gives key-ordered output files: rows are sorted within each
+    task (no extra shuffle); ``global_order`` instead range-partitions for one total order
+    across files (an extra shuffle, only worth it for small marts read by people)."""
+    if order_by:
+        df = df.orderBy(*order_by) if global_order else df.sortWithinPartitions(*order_by)
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if "scenario" in df.columns:
         w = w.partitionBy("scenario")

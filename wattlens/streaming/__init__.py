@@ -1,0 +1,3 @@
+"""Structured Streaming entry points."""
+
+from .scenario_stream import new_scenarios, start_mart_stream  # noqa: F401
