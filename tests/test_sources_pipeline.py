@@ -85,3 +85,12 @@ def test_pipeline_marts_then_statistics(spark):
     assert rows(stats["trade_net"].select("hour", "net_imports")) == [(1, 7.0), (2, 7.0)]
     top = stats["capacity_factors_top_25"].where(F.col("type") == "generation").collect()
     assert len(top) == 1 and top[0].scenario == "base"
+
+
+def test_cut_lineage_uses_shared_checkpoint_dir(spark):
+    from wattlens.session import cut_lineage, ensure_checkpoint_dir
+    d = ensure_checkpoint_dir(spark)
+    assert d and spark.sparkContext.getCheckpointDir()
+    df = cut_lineage(marts.ca_capacity(capacity_symbols(spark), P))
+    assert "LogicalRDD" in df._jdf.queryExecution().analyzed().toString() or df.count() == 4
+    assert rows(df) == rows(marts.ca_capacity(capacity_symbols(spark), P))

@@ -43,11 +43,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The folder configured on the session wins; only when none is configured (local tests) a
     scratch folder is created so that ``DataFrame.checkpoint()`` works.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        # core setting, not settable on a running session: set the context's folder instead
         current = tempfile.mkdtemp(prefix="wattlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
