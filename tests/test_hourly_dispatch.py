@@ -108,3 +108,23 @@ def test_dispatch_and_trade(spark):
     assert rows(tr.where(F.col("hour") == 1)) == [(2025, "s1", "ca", "ca", 2.0, 1), (2025, "s1", "ca", "rest_of_wecc", 1.0, 1),
                                                   (2025, "s1", "rest_of_wecc", "ca", 8.0, 1)]
     assert rows(dispatch.trade_net(tr, P)) == [(2025, 1, 8.0, 1.0, 7.0), (2025, 2, 8.0, 1.0, 7.0)]
+
+
+def test_scenarios_with_shared_hour_map_loads_and_factors(spark):
+    """Capacity and hydrogen per scenario; hour map, loads and factors shared: every scenario
+    gets its own dense hourly mapping (no rows with a NULL scenario, no mixing)."""
+    from wattlens.sources.symbols import FrameSymbols
+    base = hourly_symbols(spark).frames
+    frames = dict(base)
+    frames["XC"] = (base["XC"].withColumn("scenario", F.lit("a"))
+                    .unionByName(base["XC"].withColumn("level", F.col("level") * 2).withColumn("scenario", F.lit("b"))))
+    frames["dspsrpt_r"] = base["dspsrpt_r"].withColumn("scenario", F.lit("a"))
+    sym = FrameSymbols(spark, frames)
+    m = hourly.ca_hourly_mapping(sym, P)
+    got = {(r.scenario, r.tech, r.hour): r for r in m.collect()}
+    assert len(got) == 18 and all(k[0] in ("a", "b") for k in got)
+    assert (got["a", "Solar", 1].generation_h, got["b", "Solar", 1].generation_h) == (1.0, 2.0)
+    assert (got["a", "Solar", 1].hydrogen_load, got["b", "Solar", 1].hydrogen_load) == (1.0, 0.0)
+    assert got["b", "Wind", 3].load_h == 20.0
+    loads = hourly.ca_loads(sym, P)
+    assert rows(loads.select("scenario").distinct()) == [("a",), ("b",)] and loads.count() == 6

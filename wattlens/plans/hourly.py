@@ -36,6 +36,30 @@ def rep_hours(sym: SymbolSource) -> DataFrame:
     return sym.get("hrep").dropDuplicates()
 
 
+# Scenario-specific inputs of the hourly marts (the hour map, loads and availability factors are
+# usually shared by all scenarios).
+SCENARIO_SOURCES = ("XC", "dspsrpt_r")
+
+
+def hour_map(sym: SymbolSource, sources: Sequence[str] = SCENARIO_SOURCES) -> DataFrame:
+    """The hour map for every scenario of the run.
+
+    A shared hour map (no ``scenario`` column) is expanded to each scenario's model years by an
+    equi-join on ``year`` with the distinct (scenario, year) pairs of the scenario-specific
+    inputs: a fan-out bounded by the hours of one year, not a cross join."""
+    rep = rep_hours(sym)
+    if "scenario" in rep.columns:
+        return rep
+    pairs = [sym.get(n, required=False) for n in sources]
+    pairs = [f.select("scenario", "year") for f in pairs if "scenario" in f.columns]
+    if not pairs:
+        return rep
+    sy = pairs[0]
+    for f in pairs[1:]:
+        sy = sy.unionByName(f)
+    return rep.join(sy.distinct(), on="year")
+
+
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     keys = list(keys) + (["scenario"] if "scenario" in left.columns and "scenario" in right.columns else [])
     return left.join(right, on=keys, how=how)
@@ -62,7 +86,7 @@ def hydrogen_load(sym: SymbolSource, p: Params) -> DataFrame:
 def ca_loads(sym: SymbolSource, p: Params) -> DataFrame:
     """year, hour, segment, load_hour, load_segment, hydrogen_load on the hour map."""
     how = "left" if p.dense else "inner"
-    df = _join(rep_hours(sym), load_hour(sym, p), ["year", "hour"], how)
+    df = _join(hour_map(sym), load_hour(sym, p), ["year", "hour"], how)
     df = _join(df, load_segment(sym, p), ["year", "segment"], how)
     df = _join(df, hydrogen_load(sym, p), ["year", "segment"], how)
     z = (lambda c: F.coalesce(F.col(c), F.lit(0.0))) if p.dense else F.col
@@ -95,7 +119,7 @@ def _af(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
     sparse = _af_sparse(sym, p, slot)
     if not p.dense:
         return sparse
-    spine = rep_hours(sym)
+    spine = hour_map(sym)
     spine = spine.select(*scen_keys(spine), "year", slot).distinct()
     df = _join(_tech_spine(spine, p.re_tech), sparse, ["tech", "year", slot], "left")
     return df.select(*scen_keys(df), "tech", "year", slot,
@@ -124,7 +148,7 @@ def ca_hourly_mapping(sym: SymbolSource, p: Params) -> DataFrame:
     Star join around the hour map. Every right side is an aggregate keyed by its join keys and
     the hour map is de-duplicated, so the result has no duplicate rows to remove."""
     how = "left" if p.dense else "inner"
-    rep = rep_hours(sym)
+    rep = hour_map(sym)
     h = _af_sparse(sym, p, "hour").withColumnsRenamed({"generation": "generation_h", "af": "af_h"})
     s = (_af_sparse(sym, p, "segment").drop("capacity")
          .withColumnsRenamed({"generation": "generation_s", "af": "af_s"}))
