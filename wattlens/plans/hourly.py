@@ -9,7 +9,8 @@ region, hour) symbol, which runs as a partial + final aggregate after a join wit
 Dense mode (default): every renewable technology gets a row for every calendar (year, hour)
 of the hour map, with 0 generation/capacity/load where the inputs hold nothing (the categorical
 group-by behaviour the downstream net-load arithmetic relies on). The calendar spine is the
-hour map itself and the technology list is a fixed 3-entry literal, so no cross join is needed.
+hour map itself (expanded to each scenario's model years when it is shared by all scenarios, see
+``hour_map``) and the technology list is a fixed 3-entry literal, so no cross join is needed.
 """
 
 from __future__ import annotations
