@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..schemas import DROPPED_ATTRIBUTES, SYMBOLS, Symbol
 
@@ -104,21 +105,18 @@ class ParquetSymbols(SymbolSource):
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(hpath)
-
     def _load(self, name: str) -> DataFrame | None:
         if name not in self._memo:
             self._memo[name] = self._scan(name)
         return self._memo[name]
 
     def _scan(self, name: str) -> DataFrame | None:
-        if name not in SYMBOLS or not self._exists(self.path(name)):
+        if name not in SYMBOLS:
+            return None
+        try:
+            df = self.spark.read.parquet(self.path(name))
+        except AnalysisException:  # no such folder: the symbol is absent from these results
             return None
-        df = self.spark.read.parquet(self.path(name))
         if self.scenarios is not None and "scenario" in df.columns:
             df = df.where(F.col("scenario").isin(self.scenarios))
         return canonicalize(df, SYMBOLS[name])
