@@ -100,10 +100,15 @@ def ca_loads(sym: SymbolSource, p: Params) -> DataFrame:
 def _af_sparse(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
     """tech, year, <slot>, generation, capacity, af for the renewable technologies."""
     symbol = "vrsc_8760" if slot == "hour" else "vrsc_100"
-    af = with_tech(subset_region(sym.get(symbol), sym.get("cal_r")), p)
-    cap = sym.get("XC").withColumnRenamed("level", "capacity")
+    cal = sym.get("cal_r")
+    af = subset_data(with_tech(subset_region(sym.get(symbol), cal), p), "tech", p.re_tech)
+    # Capacity rows outside the region set or of other technologies can never match (tech is a
+    # function of the join key tech_class), so they are dropped before the join: the build side
+    # shrinks to the home-region renewables, which keeps it under the broadcast size check.
+    cap = subset_data(with_tech(subset_region(sym.get("XC"), cal), p), "tech", p.re_tech)
+    cap = cap.select(*scen_keys(cap), "tech_class", "vintage", "region", "year",
+                     F.col("level").alias("capacity"))
     df = _join(af, cap, ["tech_class", "vintage", "region", "year"], "inner")
-    df = subset_data(df, "tech", p.re_tech)
     keys = scen_keys(df) + ["tech", "year", slot]
     agg = (df.groupBy(*keys)
            .agg(F.sum(F.col("capacity") * F.col("value")).alias("generation"),
