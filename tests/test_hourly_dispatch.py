@@ -128,3 +128,28 @@ def test_scenarios_with_shared_hour_map_loads_and_factors(spark):
     assert got["b", "Wind", 3].load_h == 20.0
     loads = hourly.ca_loads(sym, P)
     assert rows(loads.select("scenario").distinct()) == [("a",), ("b",)] and loads.count() == 6
+
+
+def test_mart_layouts_match_registry(spark):
+    from fixtures import capacity_symbols
+    from wattlens.plans import marts
+    from wattlens.schemas import MARTS
+    cap, hs, ds = capacity_symbols(spark), hourly_symbols(spark), dispatch_symbols(spark)
+    jobs = {
+        "capacity_by_region_gw": marts.capacity_by_region(cap, P),
+        "ca_capacity": marts.ca_capacity(cap, P),
+        "investment_by_region_gw": marts.investment_by_region(cap, P),
+        "ca_investment": marts.ca_investment(cap, P),
+        "marginal_costs_usd2024": marts.marginal_costs(cap, P),
+        "generation_twh": marts.generation_report(cap, P),
+        "capacity_gw": marts.capacity_report(cap, P),
+        "ca_loads": hourly.ca_loads(hs, P),
+        "ca_hourly_mapping": hourly.ca_hourly_mapping(hs, P),
+        "dispatch_by_segment_gwh": dispatch.dispatch_by_segment(ds, P),
+        "trade_gw": dispatch.trade_by_segment(ds, P),
+        "capacity_factors_top_25": hourly.peak_capacity_factors(
+            hourly.net_load_hourly(hourly.ca_hourly_mapping(hs, P), P), P),
+    }
+    assert set(jobs) == set(MARTS)
+    for name, df in jobs.items():
+        assert df.columns == MARTS[name], name
