@@ -64,7 +64,6 @@ def test_write_and_read_mart_csv_and_parquet(spark):
     other = marts.ca_capacity(capacity_symbols(spark, "other"), P)
     write_mart(other, os.path.join(root, "ca_capacity"))
     assert rows(read_mart(spark, os.path.join(root, "ca_capacity")).select("scenario").distinct()) == [("base",), ("other",)]
-    from wattlens.schemas import SYMBOLS  # noqa: F401
     from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
     schema = StructType([StructField("tech", StringType()), StructField("year", IntegerType()),
                          StructField("capacity", DoubleType())])
