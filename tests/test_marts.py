@@ -105,3 +105,14 @@ def test_result_independent_of_input_partitioning(spark):
     sym = capacity_symbols(spark)
     shuffled = FrameSymbols(spark, {k: v.repartition(7) for k, v in sym.frames.items()})
     assert rows(marts.capacity_by_region(shuffled, P)) == rows(marts.capacity_by_region(sym, P))
+
+
+def test_optional_switches(spark):
+    sym = capacity_symbols(spark)
+    # digits stripped from the taxonomy keys too: h2 and h2cc3 now count as Hydrogen
+    gen = marts.generation_report(sym, P.with_(normalize_report_keys=True))
+    assert rows(gen) == [("Hydrogen", "CA", "TWh", 2020, 11.0), ("Wind", "CA", "TWh", 2020, 3.0)]
+    # storage capital costs limited to the region set: the Oregon rows drop out
+    out = marts.capcosts_wide(sym, P.with_(storage_cost_region_filter=True))
+    got = {r.tech: r for r in out.collect()}
+    assert set(got) == {"Solar", "li-ion-power"} and got["li-ion-power"]["2020"] == pytest.approx(D)

@@ -6,6 +6,8 @@ whenever the symbols carry it, so one run covers all scenarios.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,8 @@ def capcosts_wide(sym: SymbolSource, p: Params) -> DataFrame:
     parts = []
     for symbol, label in (("icg", "power"), ("irg", "energy")):
         s = sym.get(symbol).where(F.col("tech_class") == p.storage_class)
+        if p.storage_cost_region_filter:
+            s = subset_region(s, sym.get("cal_r"))
         parts.append(s.withColumn("tech", F.lit(f"{p.storage_class}-{label}")))
     storage = parts[0].unionByName(parts[1])
     storage = storage.withColumn("capcost", current_dollars("value"))
@@ -143,7 +147,14 @@ def report_by_tech(sym: SymbolSource, p: Params, unit: str | None = None) -> Dat
     df = sym.get("gencaprpt")
     if unit is not None:
         df = df.where(F.col("unit") == unit)
-    df = apply_lookup(df, strip_digits("type"), "tech", p.report_taxonomy)
+    taxonomy = p.report_taxonomy
+    if p.normalize_report_keys and isinstance(taxonomy, dict):
+        # the lookup sees digit-free classes, so make the keys digit-free too (first key wins)
+        norm: dict = {}
+        for k, v in taxonomy.items():
+            norm.setdefault(re.sub(r"[0-9]+", "", k), v)
+        taxonomy = norm
+    df = apply_lookup(df, strip_digits("type"), "tech", taxonomy)
     return sum_by(df.where(F.col("tech").isNotNull()), ["tech", "region", "unit", "year"], "value")
 
 

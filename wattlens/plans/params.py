@@ -51,6 +51,8 @@ class Params:
     scenarios: list | None = None         # None: every scenario present
     dense: bool = True                    # hourly marts: every tech x calendar hour (see README)
     drop_base_year: bool = True           # storage investments leave out the base year
+    normalize_report_keys: bool = False   # also strip digits from the report taxonomy keys
+    storage_cost_region_filter: bool = False  # restrict storage capital costs to the region set
 
     @property
     def base_year(self) -> int:
