@@ -153,3 +153,12 @@ def test_mart_layouts_match_registry(spark):
     assert set(jobs) == set(MARTS)
     for name, df in jobs.items():
         assert df.columns == MARTS[name], name
+
+
+def test_strict_mode_missing_generation_ranks_last(spark):
+    """dense=False: without Offshore Wind rows the net load is missing (R arithmetic); the
+    missing values are ranked after all others, one rank each, in hour order."""
+    sp = P.with_(dense=False)
+    net = hourly.net_load_hourly(hourly.ca_hourly_mapping(hourly_symbols(spark), sp), sp)
+    g = rows(net.where(F.col("type") == "generation").select("hour", "net_load", "order_id"))
+    assert g == [(1, None, 1.0), (2, None, 2.0)]

@@ -54,10 +54,11 @@ def test_pivot_and_unpivot_and_separate(spark):
 
 
 def test_avg_rank_ties(spark):
-    # R rank(-x): ties share the average rank, so a cut at <= 2 can keep 3 rows
-    df = spark.createDataFrame([(1, 10.0), (2, 9.0), (3, 9.0), (4, 1.0), (5, None)], "h int, x double")
-    out = {r.h: r.r for r in df.select("h", avg_rank("x", [F.lit(1)]).alias("r")).collect()}
-    assert out == {1: 1.0, 2: 2.5, 3: 2.5, 4: 4.0, 5: 5.0}
+    # R rank(-x): ties share the average rank, so a cut at <= 2 can keep 3 rows; NAs come last
+    # with distinct ranks in order
+    df = spark.createDataFrame([(1, 10.0), (2, 9.0), (3, 9.0), (4, 1.0), (5, None), (0, None)], "h int, x double")
+    out = {r.h: r.r for r in df.select("h", avg_rank("x", [F.lit(1)], tie_break=["h"]).alias("r")).collect()}
+    assert out == {1: 1.0, 2: 2.5, 3: 2.5, 4: 4.0, 0: 5.0, 5: 6.0}
 
 
 def test_position_desc_tie_break(spark):

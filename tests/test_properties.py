@@ -41,13 +41,17 @@ def dplyr_ntile(x, n):
 @given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(-5, 5).map(float))), min_size=1, max_size=30))
 def test_avg_rank_matches_pandas_average_rank(spark, xs):
     df = _frame(spark, xs)
-    got = {r.hour: r.r for r in df.select("hour", avg_rank("x", ["g"]).alias("r")).collect()}
+    got = {r.hour: r.r for r in df.select("hour", avg_rank("x", ["g"], tie_break=["hour"]).alias("r")).collect()}
     pdf = pd.DataFrame([(i, g, x) for i, (g, x) in enumerate(xs)], columns=["hour", "g", "x"])
-    # descending rank, ties averaged; missing values after all others
+    # descending rank, ties averaged; missing values after all others, one rank each, in order
     exp = pdf.groupby("g")["x"].rank(method="average", ascending=False, na_option="bottom")
     for h, e in zip(pdf["hour"], exp):
-        if pdf.loc[h, "x"] is not None and not pd.isna(pdf.loc[h, "x"]):
+        x, g = pdf.loc[h, "x"], pdf.loc[h, "g"]
+        if not pd.isna(x):
             assert got[h] == e
+        else:
+            grp = pdf[pdf["g"] == g]
+            assert got[h] == grp["x"].notna().sum() + (grp["x"].isna() & (grp["hour"] <= h)).sum()
 
 
 @SETTINGS

@@ -14,13 +14,18 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def avg_rank(value: str | Column, partition: Sequence[str | Column], descending: bool = True) -> Column:
-    """Rank with ties given their average rank (R ``rank``); NULLs rank last."""
+def avg_rank(value: str | Column, partition: Sequence[str | Column], descending: bool = True,
+             tie_break: Sequence[str | Column] = ()) -> Column:
+    """R ``rank``: ties get their average rank; NULLs come last with distinct ranks (after all
+    values, in ``tie_break`` order)."""
     v = _c(value)
     order = v.desc_nulls_last() if descending else v.asc_nulls_last()
     w = Window.partitionBy(*partition).orderBy(order)
     ties = Window.partitionBy(*partition, v)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+    ranked = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+    nulls = Window.partitionBy(*partition, v.isNull()).orderBy(*[_c(t).asc_nulls_last() for t in tie_break] or [F.lit(1)])
+    after = F.count(v).over(Window.partitionBy(*partition)) + F.row_number().over(nulls)
+    return F.when(v.isNull(), after.cast("double")).otherwise(ranked)
 
 
 def position_desc(value: str | Column, partition: Sequence[str | Column],

@@ -297,8 +297,11 @@ _CTE.update({
                    "Solar|{name}" AS "Solar", "Wind|{name}" AS "Wind", "Offshore Wind|{name}" AS "Offshore Wind",
                    load - "Solar|generation" - "Wind|generation" - "Offshore Wind|generation" AS net_load FROM hw"""
         for name in ("generation", "capacity", "af")), ("hw",)),
-    "nlr": ("""SELECT *, rank() OVER (PARTITION BY year, type ORDER BY net_load DESC NULLS LAST)
-                        + (count(*) OVER (PARTITION BY year, type, net_load) - 1) / 2.0 AS order_id FROM nl""", ("nl",)),
+    "nlr": ("""SELECT *, CASE WHEN net_load IS NULL THEN
+                          CAST(count(net_load) OVER (PARTITION BY year, type)
+                               + row_number() OVER (PARTITION BY year, type, net_load IS NULL ORDER BY hour, segment) AS DOUBLE)
+                        ELSE rank() OVER (PARTITION BY year, type ORDER BY net_load DESC NULLS LAST)
+                             + (count(*) OVER (PARTITION BY year, type, net_load) - 1) / 2.0 END AS order_id FROM nl""", ("nl",)),
     "sw": ("""SELECT year, hour, segment, hydrogen_load,
                      """ + ",\n".join(f"max(CASE WHEN tech = '{t}' THEN {src} END) AS \"{t}|{a}\""
                                       for a, src in (("hour", "af_h"), ("segment", "af_s")) for t in RE) + """,

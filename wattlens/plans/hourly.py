@@ -225,7 +225,7 @@ def net_load_hourly(mapping: DataFrame, p: Params) -> DataFrame:
     long = wide.select(*keys, "load", "net_load", F.inline(rows))
     long = long.select(*keys, "load", "type", *[F.col(f"`{t}`") for t in techs], "net_load")
     part = scen_keys(long) + ["year", "type"]
-    return long.withColumn("order_id", avg_rank("net_load", part))
+    return long.withColumn("order_id", avg_rank("net_load", part, tie_break=["hour", "segment"]))
 
 
 def normalized_profile(net: DataFrame, p: Params) -> DataFrame:
