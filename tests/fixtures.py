@@ -60,13 +60,15 @@ def hourly_symbols(spark):
         "hrep": spark.createDataFrame([(2025, 1, "s1"), (2025, 2, "s1"), (2025, 3, "s2"), (2025, 3, "s2")],
                                       "t int, h int, s string"),
         "XC": spark.createDataFrame([("pvft-a", "2020", "PGE", 2025, 2.0), ("wind-a", "2020", "PGE", 2025, 0.0),
-                                     ("pvft-a", "2020", "Oregon", 2025, 50.0)],
+                                     ("pvft-a", "2020", "Oregon", 2025, 50.0), ("wnos-a", "2020", "PGE", 2025, 1.0)],
                                     "i string, v string, r string, t int, level double"),
         "vrsc_8760": spark.createDataFrame([("pvft-a", "2020", "PGE", 2025, 1, 0.5), ("pvft-a", "2020", "PGE", 2025, 2, 0.3),
                                             ("wind-a", "2020", "PGE", 2025, 1, 0.8),
-                                            ("pvft-a", "2020", "Oregon", 2025, 1, 0.9)],
+                                            ("pvft-a", "2020", "Oregon", 2025, 1, 0.9),
+                                            ("wnos-a", "2020", "PGE", 2025, 3, 0.2)],
                                            "uni string, v string, r string, t int, h int, value double"),
-        "vrsc_100": spark.createDataFrame([("pvft-a", "2020", "PGE", 2025, "s1", 0.4), ("wind-a", "2020", "PGE", 2025, "s2", 0.6)],
+        "vrsc_100": spark.createDataFrame([("pvft-a", "2020", "PGE", 2025, "s1", 0.4), ("wind-a", "2020", "PGE", 2025, "s2", 0.6),
+                                           ("wnos-a", "2020", "PGE", 2025, "s2", 0.1)],
                                           "uni string, v string, r string, t int, s string, value double"),
         "load_8760": spark.createDataFrame([("PGE", 2025, 1, 10.0), ("SCE", 2025, 1, 5.0), ("Oregon", 2025, 1, 100.0),
                                             ("PGE", 2025, 2, 3.0), ("PGE", 2025, 3, 20.0)],

@@ -31,7 +31,8 @@ def test_availability_factors(spark):
     assert af["Solar", 2].af_h == pytest.approx(0.3)
     # zero capacity: the capacity-weighted factor falls back to the plain mean
     assert (af["Wind", 1].capacity, af["Wind", 1].af_h) == (0.0, 0.8)
-    assert af["Offshore Wind", 3].af_h is None and af["Offshore Wind", 3].generation_h == 0.0
+    assert (af["Offshore Wind", 3].generation_h, af["Offshore Wind", 3].af_h) == (0.2, 0.2)
+    assert af["Offshore Wind", 1].af_h is None and af["Offshore Wind", 1].generation_h == 0.0
     seg = {(r.tech, r.segment): r for r in hourly.af_segment(sym, P).collect()}
     assert seg["Solar", "s1"].af_s == 0.4 and seg["Wind", "s2"].af_s == 0.6 and len(seg) == 6
 
@@ -57,19 +58,20 @@ def test_hourly_long(mapping):
 def test_net_load_rank_and_peak_factors(mapping):
     net = hourly.net_load_hourly(mapping, P)
     g = {r.hour: r for r in net.where(F.col("type") == "generation").collect()}
-    assert (g[1].load, g[1].net_load, g[2].net_load, g[3].net_load) == (16.0, 15.0, pytest.approx(3.4), 20.0)
+    assert (g[1].load, g[1].net_load, g[2].net_load, g[3].net_load) == (16.0, 15.0, pytest.approx(3.4), 19.8)
     assert (g[3].order_id, g[1].order_id, g[2].order_id) == (1.0, 2.0, 3.0)
     assert net.count() == 9 and {r.type for r in net.collect()} == {"generation", "capacity", "af"}
     peak = {r.type: r for r in hourly.peak_capacity_factors(net, P.with_(top_k=2)).collect()}
     gen = peak["generation"]
-    assert (gen.load, gen.net_load, gen.solar, gen.wind, gen.offshore_wind) == (18.0, 17.5, 0.5, 0.0, 0.0)
+    assert (gen.load, gen.net_load, gen.solar, gen.wind) == (18.0, pytest.approx(17.4), 0.5, 0.0)
+    assert gen.offshore_wind == pytest.approx(0.1)
     assert peak["af"].solar == 0.25
 
 
 def test_normalized_profile(mapping):
     prof = hourly.normalized_profile(hourly.net_load_hourly(mapping, P), P)
     got = {(r.hour_of_day, r.type): r.value for r in prof.collect()}
-    assert got[0, "Load"] == 16.0 / 20.0 and got[2, "Net Load"] == 1.0
+    assert got[0, "Load"] == 16.0 / 20.0 and got[2, "Net Load"] == pytest.approx(19.8 / 20.0)
     assert got[1, "Net Load"] == pytest.approx(3.4 / 20.0)
 
 
@@ -162,3 +164,16 @@ def test_strict_mode_missing_generation_ranks_last(spark):
     net = hourly.net_load_hourly(hourly.ca_hourly_mapping(hourly_symbols(spark), sp), sp)
     g = rows(net.where(F.col("type") == "generation").select("hour", "net_load", "order_id"))
     assert g == [(1, None, 1.0), (2, None, 2.0)]
+
+
+def test_dense_grid_only_for_observed_technologies(spark):
+    """A renewable technology with no hourly availability/capacity rows gets no hourly rows
+    (pandas emits only observed values of a text key); the mapping keeps techs present in both
+    the hourly and the segment factors."""
+    from wattlens.sources.symbols import FrameSymbols
+    frames = dict(hourly_symbols(spark).frames)
+    frames["vrsc_8760"] = frames["vrsc_8760"].where(~F.col("uni").startswith("wnos"))
+    sym = FrameSymbols(spark, frames)
+    assert {r.tech for r in hourly.af_hour(sym, P).collect()} == {"Solar", "Wind"}
+    assert {r.tech for r in hourly.af_segment(sym, P).collect()} == {"Solar", "Wind", "Offshore Wind"}
+    assert {r.tech for r in hourly.ca_hourly_mapping(sym, P).collect()} == {"Solar", "Wind"}

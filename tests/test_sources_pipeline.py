@@ -74,7 +74,7 @@ def test_write_and_read_mart_csv_and_parquet(spark):
 
 def test_pipeline_marts_then_statistics(spark):
     frames = {}
-    for s in (capacity_symbols(spark), hourly_symbols(spark), dispatch_symbols(spark)):
+    for s in (hourly_symbols(spark), capacity_symbols(spark), dispatch_symbols(spark)):
         frames.update({k: v for k, v in s.frames.items() if k not in frames})
     sym = FrameSymbols(spark, {k: v.withColumn("scenario", F.lit("base")) for k, v in frames.items()})
     root = _scratch()

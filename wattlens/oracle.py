@@ -280,7 +280,8 @@ _CTE.update({
                      coalesce(s.generation / NULLIF(s.capacity, 0), s.af_base, 0.0) AS af_s,
                      coalesce(lh.load_h, 0.0) AS load_h, coalesce(ls.load_s, 0.0) AS load_s,
                      coalesce(h.hydrogen_load, 0.0) AS hydrogen_load
-              FROM reph r CROSS JOIN techs t
+              FROM reph r CROSS JOIN (SELECT * FROM techs WHERE tech IN (SELECT tech FROM afh)
+                                                         AND tech IN (SELECT tech FROM afs)) t
               LEFT JOIN afh a ON a.tech = t.tech AND a.year = r.year AND a.hour = r.hour
               LEFT JOIN afs s ON s.tech = t.tech AND s.year = r.year AND s.segment = r.segment
               LEFT JOIN load_h lh ON lh.year = r.year AND lh.hour = r.hour
@@ -340,7 +341,8 @@ def _af_dense(slot: str, cte: str) -> str:
     return with_ctes((cte, "hrep", "techs"), f"""
         SELECT t.tech, r.year, r.{slot}, coalesce(a.generation, 0.0) AS generation_{sfx}{cap},
                coalesce(a.generation / NULLIF(a.capacity, 0), a.af_base) AS af_{sfx}
-        FROM (SELECT DISTINCT year, {slot} FROM hrep) r CROSS JOIN techs t
+        FROM (SELECT DISTINCT year, {slot} FROM hrep) r
+        CROSS JOIN (SELECT * FROM techs WHERE tech IN (SELECT tech FROM {cte})) t
         LEFT JOIN {cte} a ON a.tech = t.tech AND a.year = r.year AND a.{slot} = r.{slot}""")
 
 

@@ -6,8 +6,8 @@ of the inputs; the heavy work is the availability-factor aggregation over the (c
 region, hour) symbol, which runs as a partial + final aggregate after a join with capacity
 (small: one row per class/vintage/region/year, so AQE broadcasts it from its runtime size).
 
-Dense mode (default): every renewable technology gets a row for every calendar (year, hour)
-of the hour map, with 0 generation/capacity/load where the inputs hold nothing (the categorical
+Dense mode (default): every renewable technology present in the inputs gets a row for every
+calendar (year, hour) of the hour map, with 0 generation/capacity/load where the inputs hold nothing (the categorical
 group-by behaviour the downstream net-load arithmetic relies on). The calendar spine is the
 hour map itself (expanded to each scenario's model years when it is shared by all scenarios, see
 ``hour_map``) and the technology list is a fixed 3-entry literal, so no cross join is needed.
@@ -117,8 +117,14 @@ def _af_sparse(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
                       weighted_mean_fallback("generation", "capacity", "af_base").alias("af"))
 
 
-def _tech_spine(spine: DataFrame, techs: Sequence[str]) -> DataFrame:
-    return spine.withColumn("tech", F.explode(F.array(*[F.lit(t) for t in techs])))
+def _tech_spine(spine: DataFrame, techs: Sequence[str], *observed_in: DataFrame) -> DataFrame:
+    """Calendar rows x renewable technologies, keeping only the technologies present in every
+    ``observed_in`` aggregate (a group-by over a plain text key only emits observed values).
+    The list is a fixed literal and the observed sets are semi-joined: no cross join."""
+    out = spine.withColumn("tech", F.explode(F.array(*[F.lit(t) for t in techs])))
+    for agg in observed_in:
+        out = _join(out, agg.select(*scen_keys(agg), "tech").distinct(), ["tech"], "left_semi")
+    return out
 
 
 def _af(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
@@ -127,7 +133,7 @@ def _af(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
         return sparse
     spine = hour_map(sym)
     spine = spine.select(*scen_keys(spine), "year", slot).distinct()
-    df = _join(_tech_spine(spine, p.re_tech), sparse, ["tech", "year", slot], "left")
+    df = _join(_tech_spine(spine, p.re_tech, sparse), sparse, ["tech", "year", slot], "left")
     return df.select(*scen_keys(df), "tech", "year", slot,
                      F.coalesce("generation", F.lit(0.0)).alias("generation"),
                      F.coalesce("capacity", F.lit(0.0)).alias("capacity"), "af")
@@ -159,7 +165,7 @@ def ca_hourly_mapping(sym: SymbolSource, p: Params) -> DataFrame:
     s = (_af_sparse(sym, p, "segment").drop("capacity")
          .withColumnsRenamed({"generation": "generation_s", "af": "af_s"}))
     if p.dense:
-        df = _join(_tech_spine(rep, p.re_tech), h, ["tech", "year", "hour"], "left")
+        df = _join(_tech_spine(rep, p.re_tech, h, s), h, ["tech", "year", "hour"], "left")
     else:
         df = _join(h, rep, ["year", "hour"], "inner")
     df = _join(df, s, ["year", "segment", "tech"], how)
