@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import floor0, na_mean, weighted_mean_fallback
@@ -117,14 +117,22 @@ def _af_sparse(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
                       weighted_mean_fallback("generation", "capacity", "af_base").alias("af"))
 
 
-def _tech_spine(spine: DataFrame, techs: Sequence[str], *observed_in: DataFrame) -> DataFrame:
-    """Calendar rows x renewable technologies, keeping only the technologies present in every
-    ``observed_in`` aggregate (a group-by over a plain text key only emits observed values).
-    The list is a fixed literal and the observed sets are semi-joined: no cross join."""
-    out = spine.withColumn("tech", F.explode(F.array(*[F.lit(t) for t in techs])))
-    for agg in observed_in:
-        out = _join(out, agg.select(*scen_keys(agg), "tech").distinct(), ["tech"], "left_semi")
-    return out
+def _tech_spine(spine: DataFrame, techs: Sequence[str]) -> DataFrame:
+    """Calendar rows x renewable technologies (a fixed literal list: no cross join)."""
+    return spine.withColumn("tech", F.explode(F.array(*[F.lit(t) for t in techs])))
+
+
+def _keep_observed(df: DataFrame, *markers: str) -> DataFrame:
+    """Keep the technologies that matched at least one row of every marked aggregate (a
+    group-by over a plain text key only emits observed values). ``markers`` are columns that
+    are non-NULL where the left join found a row. One window per (scenario, tech): the
+    aggregates are computed once and not re-scanned for their distinct technologies."""
+    w = Window.partitionBy(*scen_keys(df), "tech")
+    cond = None
+    for m in markers:
+        hit = F.max(F.col(m).isNotNull()).over(w)
+        cond = hit if cond is None else cond & hit
+    return df.withColumn("_observed", cond).where(F.col("_observed")).drop("_observed", *markers)
 
 
 def _af(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
@@ -133,7 +141,9 @@ def _af(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
         return sparse
     spine = hour_map(sym)
     spine = spine.select(*scen_keys(spine), "year", slot).distinct()
-    df = _join(_tech_spine(spine, p.re_tech, sparse), sparse, ["tech", "year", slot], "left")
+    df = _join(_tech_spine(spine, p.re_tech), sparse.withColumn("_hit", F.lit(True)),
+               ["tech", "year", slot], "left")
+    df = _keep_observed(df, "_hit")
     return df.select(*scen_keys(df), "tech", "year", slot,
                      F.coalesce("generation", F.lit(0.0)).alias("generation"),
                      F.coalesce("capacity", F.lit(0.0)).alias("capacity"), "af")
@@ -161,14 +171,16 @@ def ca_hourly_mapping(sym: SymbolSource, p: Params) -> DataFrame:
     the hour map is de-duplicated, so the result has no duplicate rows to remove."""
     how = "left" if p.dense else "inner"
     rep = hour_map(sym)
-    h = _af_sparse(sym, p, "hour").withColumnsRenamed({"generation": "generation_h", "af": "af_h"})
+    h = (_af_sparse(sym, p, "hour").withColumnsRenamed({"generation": "generation_h", "af": "af_h"})
+         .withColumn("_hit_h", F.lit(True)))
     s = (_af_sparse(sym, p, "segment").drop("capacity")
-         .withColumnsRenamed({"generation": "generation_s", "af": "af_s"}))
+         .withColumnsRenamed({"generation": "generation_s", "af": "af_s"}).withColumn("_hit_s", F.lit(True)))
     if p.dense:
-        df = _join(_tech_spine(rep, p.re_tech, h, s), h, ["tech", "year", "hour"], "left")
+        df = _join(_tech_spine(rep, p.re_tech), h, ["tech", "year", "hour"], "left")
     else:
         df = _join(h, rep, ["year", "hour"], "inner")
     df = _join(df, s, ["year", "segment", "tech"], how)
+    df = _keep_observed(df, "_hit_h", "_hit_s") if p.dense else df.drop("_hit_h", "_hit_s")
     df = _join(df, load_hour(sym, p), ["year", "hour"], how)
     df = _join(df, load_segment(sym, p), ["year", "segment"], how)
     df = _join(df, hydrogen_load(sym, p), ["year", "segment"], how)
