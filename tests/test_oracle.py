@@ -45,4 +45,5 @@ def test_entry_smoke(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
     assert df.columns == ["tech", "year", "capacity"] and df.count() > 0
-    assert set(e.queries()) == set(e.oracle_sql())
+    assert set(catalog.QUERIES) <= set(e.queries()) and set(catalog.QUERIES) <= set(e.oracle_sql())
+    assert set(e.oracle_sql()) <= set(e.queries())
