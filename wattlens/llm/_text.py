@@ -18,7 +18,7 @@ SLICE_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BYTE_VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+BYTE_VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -99,7 +99,7 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def byte_prefix(buf: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``span_hash`` takes the hash of any span."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[buf] * _power_table(_BASE, len(buf)), out=out[1:])
+    np.cumsum(BYTE_VALUE[buf] * _power_table(_BASE, len(buf)), out=out[1:])
     return out
 
 
