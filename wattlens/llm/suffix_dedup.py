@@ -30,7 +30,7 @@ from . import _repeats, _text
 from ._repeats import WINDOW
 
 #: Bytes in a minimiser gram.
-GRAM = 24
+GRAM = 20
 #: Bytes compared before sample ranks decide; at least the cover's period.
 DIRECT_WORDS = 4
 #: Suffixes in one bucket (more only where they share their first two bytes).
