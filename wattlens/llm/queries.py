@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_count
+from wattlens.session import scratch_path
+
+from . import packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = warc.round_trip(spark, pages, scratch_path(spark, f"warc-{uuid.uuid4().hex}"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(_documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -50,9 +60,19 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
+_OP9_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first_id IS NOT NULL AND (page_id IS NULL OR page_id > first_id) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id > first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest
+"""
+
 _OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -112,5 +132,6 @@ FROM t LEFT JOIN kept USING (doc_id)
 
 ORACLE_SQL = {
     "op7_substring_dedup": _OP7_SQL,
+    "op9_warc": _OP9_SQL,
     "op10_quality_rules": _OP10_SQL,
 }
