@@ -124,7 +124,7 @@ def joined_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     length = end - start
     new_end = np.cumsum(length + 1) - 1
     new_start = new_end - length
-    out = np.full(int(new_end[-1]) + 1 if len(length) else 0, 0x20, np.uint8)
+    out = np.full(int(new_end[-1]) + 1 if len(length) else 0, 0x20, buf.dtype)
     mark = np.zeros(len(buf) + 1, np.int8)
     mark[start] += 1
     mark[end] -= 1

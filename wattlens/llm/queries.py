@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from wattlens.session import scratch_path
 
-from . import packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, warc
+from . import _learn, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    rows = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs))
+    return rows.select("doc_id", _learn.held_out("doc_id").alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_count.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"))
     return rows.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -26,6 +32,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = quality_classifier.score(docs, model)
+    return rows.select("doc_id", _learn.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
@@ -55,8 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
