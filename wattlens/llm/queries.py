@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattlens.session import scratch_path
 
-from . import _learn, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, warc
+from . import _learn, decontaminate, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = decontaminate.annotate(_documents(spark, sf_dir).select("doc_id", "text"), items)
+    return rows.select("doc_id", F.inline("hits"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(_documents(spark, sf_dir))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -70,6 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_suffix_dedup": op6_suffix_dedup,
