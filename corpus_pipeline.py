@@ -1,12 +1,22 @@
-"""Corpus preparation: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus preparation: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
+
+``STAGES`` are applied in order to ``documents``; each stage's rows are written as Parquet to the
+shared checkpoint folder and read again by the next one, so a stage's work survives lost executors and
+no plan grows over several stages. All stages but the last return the columns of ``documents``; the
+last returns one row per packed piece of a document.
+
+Defined results: rows with null ids pass through all stages (see the operators for what they do
+there); repeated rows count as near duplicates, so one stays; an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattlens.llm import quality_rules
+from wattlens.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
 from wattlens.session import scratch_path
 
 QUALITY_POLICY = "v1"
@@ -17,8 +27,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(docs), QUALITY_POLICY).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates."""
+    return simhash.representatives(docs, shingle=3, radius=2)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that documents with smaller ids have; those of which nothing is left go."""
+    rows = suffix_dedup.dedup(docs).where("n_removed = 0 OR n_removed < n_bytes")
+    return suffix_dedup.with_text(rows).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 ids: one row per piece of a document, with its place."""
+    return packing.pack(docs, as_array=True)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", passage_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
 ]
 
 #: Several stages cannot be written as SQL; the tests hold run() against a brute-force version.
@@ -26,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; between them tables are written to the shared checkpoint folder."""
+    """All stages on ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = scratch_path(spark, f"pipeline-{uuid.uuid4().hex}")
     for i, (name, stage) in enumerate(STAGES):

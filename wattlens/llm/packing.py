@@ -99,14 +99,14 @@ class Packer:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
-         end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: id, start, length, ``ids`` (unsigned little-endian 32-bit), doc_tokens, sequence_id, offset.
+         end_id: int = 1, capacity: int = CAPACITY, as_array: bool = False) -> DataFrame:
+    """One row per piece: id, start, length, ``ids`` (unsigned little-endian 32-bit, or an array of int), doc_tokens, sequence_id, offset.
 
     The table is counted first; give a stored table, not a plan that is dear to run twice.
     """
     path = tokenizer_path or _tokenizer.default_path()
     schema = T.StructType([docs.schema[id_col]] + [T.StructField(c, t) for c, t in (
-        ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()),
+        ("start", T.LongType()), ("length", T.LongType()), ("ids", T.ArrayType(T.IntegerType()) if as_array else T.BinaryType()), ("doc_tokens", T.LongType()),
         ("sequence_id", T.LongType()), ("offset", T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             columns = list(zip(*packer.rows, strict=True)) if packer.rows else [()] * 7
             packer.rows = []
             kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            if as_array:
+                ends = np.append(0, np.cumsum(arrays[2].to_numpy()))
+                arrays[3] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(columns[3]), "<i4")))
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
         id_type = pa.int64()
         for part in _text.slices(batches, text_col):

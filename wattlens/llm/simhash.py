@@ -238,6 +238,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_print, "fingerprint").select(*rows.columns, "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The input's rows without all but one of each component: that with the smallest id.
+
+    Where no row of a component has an id, one row of each fingerprint stays. Of rows with one id
+    in a component one stays.
+    """
+    key, text = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    rows = near_duplicates(docs.select(key.alias("_id"), text.alias("_hash"), F.col(f"`{text_col}`").alias("_text")), "_id", "_text", shingle, radius)
+    chosen = (rows.where(F.col("_id").eqNullSafe(F.col("component_id")))
+              .groupBy("_id", F.when(F.col("_id").isNull(), F.col("fingerprint")).alias("_print")).agg(F.min("_hash").alias("_hash")))
+    chosen = chosen.select(F.coalesce("_id", "_hash").alias("_key"), "_hash", F.col("_id").isNull().alias("_none"))
+    known = docs.withColumns({"_key": F.coalesce(key, text), "_hash": text, "_none": key.isNull()})
+    on = ["_key", "_hash", "_none"]
+    return known.join(chosen, on, "left_semi").dropDuplicates(on).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def hex64(value: F.Column) -> F.Column:
     """16 lowercase hex digits of a long."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))

@@ -21,9 +21,12 @@ like an added one are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _repeats, _text
@@ -170,3 +173,15 @@ class Bytes(_repeats.Repeats):
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = _repeats.PART_BYTES) -> DataFrame:
     """Replace the text by ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs of bytes) and ``kept`` (the remaining bytes)."""
     return _repeats.run(docs, Bytes, id_col, text_col, part_bytes)
+
+
+def with_text(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Put the kept bytes back as text. Characters of which a part was removed go whole."""
+    schema = T.StructType([*(f for f in rows.schema if f.name not in ("kept", text_col)), T.StructField(text_col, T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text.slices(batches, "kept"):
+            texts = [(b.as_py() or b"").decode("utf-8", "ignore") for b in part.column("kept")]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in schema.names[:-1]), pa.array(texts, pa.string())], names=schema.names)
+
+    return rows.select(*(F.col(f"`{c}`") for c in [*schema.names[:-1], "kept"])).mapInArrow(run, schema)
