@@ -237,10 +237,10 @@ class Repeats:
             for b in range(self.parts):
                 if len(x := order[edge[b]:edge[b + 1]]):
                     own = [pieces[k] for k in x]
-                    rows.append((b, part, _blob(x, np.uint32), _blob(smallest[x], np.int64),
+                    rows.append((b, part, _blob(x, np.uint32), _blob(smallest[x], np.int64), _blob(anchor[x] >> np.uint64(32), np.uint32),
                                  _blob(np.fromiter(map(len, own), np.int64, len(own)), np.uint32), pack.compress(b"".join(own))))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()),
-                         **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("pieces", "ids", "lengths", "data"), 2)}})
+                         **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("pieces", "ids", "anchors", "lengths", "data"), 2)}})
 
     # 4
     def resolve(self, table: pa.Table) -> pa.Table:
@@ -254,17 +254,29 @@ class Repeats:
         of, doc = np.concatenate(which), np.concatenate(ids)
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
-        counts, cls = self.classes(b"".join(number), np.fromiter(map(len, number), np.int64, len(number)))
-        order = np.argsort(cls, kind="stable")
-        head, tail = _groups(cls[order])
-        first = np.empty(len(cls), np.int64)
-        first[order] = np.repeat(np.minimum.reduceat(np.repeat(least, counts)[order], head), tail - head)
-        start = np.cumsum(counts) - counts
-        n = counts[of]
-        head = np.cumsum(n) - n
-        bit = np.arange(n.sum()) - np.repeat(head, n)
-        smaller = first[np.repeat(start[of], n) + bit] < np.repeat(doc, n)
-        masks = np.bitwise_or.reduceat(smaller.astype(np.uint64) << bit.astype(np.uint64), head)
+        masks = np.where(least[of] < doc, ~np.uint64(0), np.uint64(0))
+        # Strings alone with their minimiser share no window with another string; the others are sorted.
+        anchor = np.empty(len(number), np.uint32)
+        anchor[of] = np.concatenate(_blobs(table.column("anchors"), np.uint32))
+        _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+        met = np.flatnonzero(size[group] > 1)
+        if len(met):
+            strings = list(number)
+            own = [strings[k] for k in met.tolist()]
+            counts, cls = self.classes(b"".join(own), np.fromiter(map(len, own), np.int64, len(own)))
+            order = np.argsort(cls, kind="stable")
+            head, tail = _groups(cls[order])
+            first = np.empty(len(cls), np.int64)
+            first[order] = np.repeat(np.minimum.reduceat(np.repeat(least[met], counts)[order], head), tail - head)
+            start, place = np.cumsum(counts) - counts, np.full(len(number), -1)
+            place[met] = np.arange(len(met))
+            x = np.flatnonzero(place[of] >= 0)
+            k = place[of[x]]
+            n = counts[k]
+            head = np.cumsum(n) - n
+            bit = np.arange(n.sum()) - np.repeat(head, n)
+            smaller = first[np.repeat(start[k], n) + bit] < np.repeat(doc[x], n)
+            masks[x] = np.bitwise_or.reduceat(smaller.astype(np.uint64) << bit.astype(np.uint64), head)
         rows, base = [], 0
         for part, piece in zip(table.column("part").to_pylist(), _blobs(table.column("pieces"), np.uint32), strict=True):
             mask = masks[base:base + len(piece)]
@@ -305,7 +317,7 @@ def run(docs: DataFrame, kind: type[Repeats], id_col: str, text_col: str, part_b
     to_part = f"`{_PART}` int, anchors binary, pieces binary, masks binary"
     shared = census.groupBy("bucket").applyInArrow(lambda t: job.shared(t), to_part)
     travel = by_part.cogroup(shared.groupBy(_PART)).applyInArrow(
-        lambda t, news: job.travel(t, news), "bucket int, part int, pieces binary, ids binary, lengths binary, data binary")
+        lambda t, news: job.travel(t, news), "bucket int, part int, pieces binary, ids binary, anchors binary, lengths binary, data binary")
     bits = travel.groupBy("bucket").applyInArrow(lambda t: job.resolve(t), to_part)
     out = T.StructType([f for f in docs.schema if f.name != text_col] + [T.StructField(*a) for a in kind.added])
     return by_part.cogroup(shared.unionByName(bits).groupBy(_PART)).applyInArrow(lambda t, news: job.settle(t, news), out)
