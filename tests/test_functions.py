@@ -4,14 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattlens import lookups
-from wattlens.functions import (calendar_parts, class_to_tech, floor0, hour_to_timestamp, map_lookup,
-                                na_max, na_mean, na_sum, ordered_tech, recode_if, report_type_to_tech,
-                                tech_order, tech_prefix, weighted_mean_fallback)
+from wattlens.functions import (calendar_parts, checked, floor0, hour_to_timestamp, map_lookup, mean,
+                                na_mean, na_sum, ordered_tech, recode_if, strip_digits, tech_order, tech_prefix,
+                                weighted_mean_fallback)
 
 
 def test_tech_prefix_and_class_lookup(spark):
     df = spark.createDataFrame([("wnosd-c1",), ("pvft",), ("zzzz-1",), (None,), ("li-ion",)], "tech_class string")
-    out = df.select(tech_prefix().alias("p"), class_to_tech().alias("t")).collect()
+    out = df.select(tech_prefix().alias("p"), map_lookup(tech_prefix(), lookups.TECH_SET).alias("t")).collect()
     assert [tuple(r) for r in out] == [("wnosd", "Offshore Wind"), ("pvft", "Solar"), ("zzzz", None),
                                        (None, None), ("li", None)]
 
@@ -19,7 +19,7 @@ def test_tech_prefix_and_class_lookup(spark):
 def test_report_digits_are_stripped_before_lookup(spark):
     # digits are removed from the class first, so keys holding digits can never match
     df = spark.createDataFrame([("xwnd12",), ("h2",), ("h2cc3",), ("peakload",), ("stor7",)], "type string")
-    out = [r[0] for r in df.select(report_type_to_tech("type")).collect()]
+    out = [r[0] for r in df.select(map_lookup(strip_digits("type"), lookups.TYPE_TO_TECH)).collect()]
     assert out == ["Wind", None, None, "Peak Load", "Storage"]
 
 
@@ -43,10 +43,23 @@ def test_hour_to_timestamp_calendar(spark):
 def test_na_propagating_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0), ("b", 4.0)], "g string, x double")
     out = {r.g: r for r in df.groupBy("g").agg(na_mean("x").alias("m"), na_sum("x").alias("s"),
-                                               na_max("x").alias("mx"), F.avg("x").alias("pandas_mean")).collect()}
-    assert out["a"].m is None and out["a"].s is None and out["a"].mx is None
+                                               mean("x").alias("pandas_mean")).collect()}
+    assert out["a"].m is None and out["a"].s is None
     assert out["a"].pandas_mean == 1.0
-    assert (out["b"].m, out["b"].s, out["b"].mx) == (3.0, 6.0, 4.0)
+    assert (out["b"].m, out["b"].s) == (3.0, 6.0)
+
+
+def test_mean_of_decimals_is_one_division_of_the_exact_sum(spark):
+    df = spark.createDataFrame([("0.10",), ("0.20",), ("0.30",), (None,)], "x string").select(F.col("x").cast("decimal(18,2)").alias("x"))
+    assert df.agg(mean("x").alias("m")).first().m == 0.6 / 3
+    assert df.limit(0).agg(mean("x").alias("m")).first().m is None
+
+
+def test_checked_passes_listed_values_and_null_only(spark):
+    df = spark.createDataFrame([(1,), (None,)], "y int")
+    assert [r[0] for r in df.select(checked("y", [1, 2], "year")).collect()] == [1, None]
+    with pytest.raises(Exception, match="year outside"):
+        df.select(checked("y", [2], "year")).collect()
 
 
 def test_floor0_keeps_null(spark):

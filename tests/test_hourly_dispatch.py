@@ -154,7 +154,8 @@ def test_mart_layouts_match_registry(spark):
     }
     assert set(jobs) == set(MARTS)
     for name, df in jobs.items():
-        assert df.columns == MARTS[name], name
+        assert df.columns == [c for c, _ in MARTS[name]], name
+        assert [f.dataType for f in df.schema.fields] == [t for _, t in MARTS[name]], name
 
 
 def test_strict_mode_missing_generation_ranks_last(spark):
@@ -177,3 +178,26 @@ def test_dense_grid_only_for_observed_technologies(spark):
     assert {r.tech for r in hourly.af_hour(sym, P).collect()} == {"Solar", "Wind"}
     assert {r.tech for r in hourly.af_segment(sym, P).collect()} == {"Solar", "Wind", "Offshore Wind"}
     assert {r.tech for r in hourly.ca_hourly_mapping(sym, P).collect()} == {"Solar", "Wind"}
+
+
+def test_hour_map_is_a_set(spark):
+    """A repeated row of the hour map counts once in every job."""
+    from wattlens.sources.symbols import FrameSymbols
+    frames = dict(dispatch_symbols(spark).frames)
+    frames["hrep"] = frames["hrep"].unionByName(frames["hrep"])
+    twice = FrameSymbols(spark, frames)
+    assert rows(dispatch.dispatch_by_segment(twice, P)) == rows(dispatch.dispatch_by_segment(dispatch_symbols(spark), P))
+    assert rows(dispatch.trade_by_segment(twice, P)) == rows(dispatch.trade_by_segment(dispatch_symbols(spark), P))
+
+
+def test_a_missing_flow_makes_its_sum_missing(spark):
+    t = spark.createDataFrame([(2025, "s1", "rest", "ca", None, 1), (2025, "s1", "ca", "rest", 2.0, 1), (2025, "s1", "rest", "ca", 3.0, 2)],
+                              "year int, segment string, region_exp string, region_imp string, trade_gw double, hour int")
+    assert rows(dispatch.trade_net(t, P)) == [(2025, 1, None, 2.0, None), (2025, 2, 3.0, 0.0, 3.0)]
+
+
+def test_storage_charge_needs_its_symbol_only(spark):
+    from wattlens.sources.symbols import FrameSymbols
+    frames = {k: v for k, v in dispatch_symbols(spark).frames.items() if k in ("G", "cal_r", "hrep")}
+    d = dispatch.dispatch_by_segment(FrameSymbols(spark, frames), P, symbols=["G"])
+    assert rows(dispatch.storage_charge(d, P)) == [(2025, "s1", 1, 0.5), (2025, "s1", 2, 0.5)]

@@ -1,10 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from wattlens.operators import (apply_lookup, avg_rank, dense_over_values, drop_null_keys, expand_to_hours,
                                 group_total, not_in_keep_null, ntile_nonnull, partial_rollup, pivot_values,
                                 position_desc, ratio_to_group_max, separate, share_of_group, subset_region,
-                                sum_by, unpivot)
+                                sum_by)
 
 
 def test_subset_region_is_semi_join(spark):
@@ -40,6 +41,8 @@ def test_dense_over_values(spark):
     out = dense_over_values(df, ["tech"], "year", [2020, 2030], "capacity")
     assert rows(out) == [("Solar", 2020, 0.0), ("Solar", 2030, 5.0), ("Wind", 2020, 3.0), ("Wind", 2030, 0.0)]
     assert dict(out.dtypes)["year"] == "int"
+    with pytest.raises(Exception, match="year outside"):
+        dense_over_values(df, ["tech"], "year", [2020], "capacity").collect()
 
 
 def test_pivot_and_unpivot_and_separate(spark):
@@ -47,8 +50,8 @@ def test_pivot_and_unpivot_and_separate(spark):
                                "tech string, vintage string, v double")
     wide = pivot_values(df, ["tech"], "vintage", ["2020", "2050+"], "v")
     assert wide.columns == ["tech", "2020", "2050+"] and rows(wide) == [("Wind", 2.0, 4.0)]
-    long = unpivot(wide, ["tech"], ["2020", "2050+"], "vintage", "v")
-    assert rows(long) == [("Wind", "2020", 2.0), ("Wind", "2050+", 4.0)]
+    with pytest.raises(Exception, match="vintage outside"):
+        pivot_values(df, ["tech"], "vintage", ["2020"], "v").collect()
     sep = separate(spark.createDataFrame([("x", "load_hour")], "a string, id string"), "id", ["type", "aggregation"])
     assert sep.columns == ["a", "type", "aggregation"] and rows(sep) == [("x", "load", "hour")]
 

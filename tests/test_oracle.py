@@ -38,7 +38,8 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(rel.columns)
     order = [rel.columns.index(c) for c in df.columns]
     expected = [tuple(r[i] for i in order) for r in rel.fetchall()]
-    assert _norm(tuple(r) for r in df.collect()) == _norm(expected)
+    got = _norm(tuple(r) for r in df.collect())
+    assert got == _norm(expected)
 
 
 def test_entry_smoke(spark):

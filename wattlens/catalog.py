@@ -11,22 +11,21 @@ from pyspark.sql.types import DoubleType
 from . import oracle
 from .plans import dispatch, figures, hourly, marts
 from .sources.driver import DriverSymbols, driver_params
+from .sources.sinks import plain
 
+#: Digits kept of the columns in ``oracle.ROUNDED``; all others are exact.
 ROUND_DIGITS = 6
-# Rounding boundary shift: exact decimal ties (e.g. a mean ending in ...5 at the 7th decimal)
-# would otherwise round differently depending on last-bit summation noise. Both sides add it.
-ROUND_SHIFT = 1.2345e-9
 
 
-def _marts(fn, with_scenario: bool = False):
+def _marts(fn, with_scenario: bool = False, codes: bool = False):
     def run(spark, sf_dir):
-        sym = DriverSymbols(spark, sf_dir, with_scenario=with_scenario)
+        sym = DriverSymbols(spark, sf_dir, with_scenario=with_scenario, codes=codes)
         return fn(sym, driver_params(sym))
     return run
 
 
-def _hourly_symbols(spark, sf_dir):
-    sym = DriverSymbols(spark, sf_dir)
+def _hourly_symbols(spark, sf_dir, with_scenario: bool = False):
+    sym = DriverSymbols(spark, sf_dir, with_scenario=with_scenario)
     return sym.override(XC=sym.hourly_capacity), driver_params(sym)
 
 
@@ -44,9 +43,9 @@ def _mapping(fn):
     return run
 
 
-def _net(fn):
+def _net(fn, with_scenario: bool = False):
     def run(spark, sf_dir):
-        sym, p = _hourly_symbols(spark, sf_dir)
+        sym, p = _hourly_symbols(spark, sf_dir, with_scenario)
         return fn(hourly.net_load_hourly(hourly.ca_hourly_mapping(sym, p), p), p)
     return run
 
@@ -58,18 +57,18 @@ def _ts(fn):
     return run
 
 
-def _dispatch(fn, clean: bool = False):
+def _dispatch(fn, clean: bool = False, with_scenario: bool = False, symbols=dispatch.DISPATCH_SYMBOLS):
     def run(spark, sf_dir):
-        sym = DriverSymbols(spark, sf_dir)
+        sym = DriverSymbols(spark, sf_dir, with_scenario=with_scenario)
         p = driver_params(sym)
-        d = dispatch.dispatch_by_segment(sym, p)
+        d = dispatch.dispatch_by_segment(sym, p, symbols)
         return fn(dispatch.dispatch_clean(d, p) if clean else d, p)
     return run
 
 
-def _trade(fn):
+def _trade(fn, with_scenario: bool = False):
     def run(spark, sf_dir):
-        sym = DriverSymbols(spark, sf_dir)
+        sym = DriverSymbols(spark, sf_dir, with_scenario=with_scenario)
         p = driver_params(sym)
         return fn(dispatch.trade_by_segment(sym, p), p)
     return run
@@ -115,7 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # dispatch and trade
     "dispatch_by_segment": _dispatch(lambda d, p: d),
     "dispatch_clean": _dispatch(lambda d, p: d, clean=True),
-    "storage_charge": _dispatch(dispatch.storage_charge),
+    "storage_charge": _dispatch(dispatch.storage_charge, symbols=("G",)),
     "dispatch_hour_profile": _dispatch(dispatch.dispatch_hour_profile, clean=True),
     "dispatch_window": _dispatch(dispatch.dispatch_window, clean=True),
     "dispatch_deciles": _dispatch(dispatch.dispatch_deciles),
@@ -132,32 +131,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fig_peak_load_scenarios": _marts(figures.fig_peak_load_scenarios, with_scenario=True),
     "list_scenarios": _marts(lambda sym, p: figures.list_scenarios(sym), with_scenario=True),
     "map_long_name": _long_names,
+    # the model's own class codes, report classes and labels
+    "class_code_capacity": _marts(marts.ca_capacity, codes=True),
+    "report_code_generation": _marts(marts.generation_report, codes=True),
+    "long_label_value": _marts(lambda sym, p: figures.map_long_name(sym.report_labels(), p), codes=True),
+    # hourly, dispatch and trade statistics of every scenario at once
+    "normalized_profile_scenarios": _net(hourly.normalized_profile, with_scenario=True),
+    "peak_capacity_factors_scenarios": _net(hourly.peak_capacity_factors, with_scenario=True),
+    "dispatch_deciles_scenarios": _dispatch(dispatch.dispatch_deciles, with_scenario=True),
+    "trade_net_scenarios": _trade(dispatch.trade_net, with_scenario=True),
 }
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Round DOUBLE columns (shifted boundary, -0.0 -> 0.0) for an order-independent value hash."""
+def result(name: str, df: DataFrame) -> DataFrame:
+    """The job's result: exact sums as DOUBLE, and rounded means and shares of inexact numbers (-0.0 is 0.0)."""
+    rounded = oracle.ROUNDED.get(name, [])
     cols = []
-    for f in df.schema.fields:
+    for f in plain(df).schema.fields:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, DoubleType):
-            cols.append((F.round(F.col(f"`{f.name}`") + F.lit(ROUND_SHIFT), ROUND_DIGITS) + F.lit(0.0)).alias(f.name))
-        else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)
+            c = ((F.round(c, ROUND_DIGITS) if f.name in rounded else c) + F.lit(0.0)).alias(f.name)
+        cols.append(c)
+    return plain(df).select(*cols)
 
 
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
-    return stable(QUERIES[name](spark, sf_dir))
+    return result(name, QUERIES[name](spark, sf_dir))
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name in QUERIES:
-        if name in oracle.QUERIES:
-            sql = oracle.QUERIES[name]()
-            cols = oracle.DOUBLE_COLUMNS.get(name, [])
-            if cols:
-                rep = ", ".join(f'round("{c}" + {ROUND_SHIFT!r}, {ROUND_DIGITS}) + 0.0 AS "{c}"' for c in cols)
-                sql = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n)"
-            out[name] = sql
+        sql = oracle.QUERIES[name]()
+        rounded = oracle.ROUNDED.get(name, [])
+        columns = [f'round("{c}", {ROUND_DIGITS}) + 0.0 AS "{c}"' if c in rounded else f'CAST("{c}" AS DOUBLE) + 0.0 AS "{c}"'
+                   for c in oracle.DOUBLE_COLUMNS.get(name, [])]
+        out[name] = f"SELECT * REPLACE ({', '.join(columns)}) FROM (\n{sql}\n)" if columns else sql
     return out

@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 from .scalar import _c, safe_ratio
 
 
+def mean(c: str | Column) -> Column:
+    """Mean as one division of the sum (exact for DECIMAL) by the count of values; NULL for none."""
+    col = _c(c)
+    return safe_ratio(F.sum(col), F.count(col))
+
+
 def sum0(c: str | Column) -> Column:
     """pandas ``sum``: NULLs skipped, empty or all-NULL group gives 0."""
-    return F.coalesce(F.sum(_c(c)), F.lit(0.0))
+    return F.coalesce(F.sum(_c(c)), F.lit(0))
 
 
 def na_propagating(agg, c: str | Column) -> Column:
@@ -27,17 +33,13 @@ def na_propagating(agg, c: str | Column) -> Column:
 
 
 def na_mean(c: str | Column) -> Column:
-    return na_propagating(F.avg, c)
+    return na_propagating(mean, c)
 
 
 def na_sum(c: str | Column) -> Column:
     return na_propagating(F.sum, c)
 
 
-def na_max(c: str | Column) -> Column:
-    return na_propagating(F.max, c)
-
-
 def floor0(c: Column) -> Column:
     """``pmax(0, x)`` keeping NULL as NULL (``greatest`` alone would skip the NULL)."""
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))

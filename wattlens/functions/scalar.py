@@ -31,21 +31,10 @@ def tech_prefix(c: str | Column = "tech_class") -> Column:
     return F.substring_index(_c(c), "-", 1)
 
 
-def class_to_tech(c: str | Column = "tech_class", taxonomy: Mapping[str, str] = lookups.TECH_SET) -> Column:
-    return map_lookup(tech_prefix(c), taxonomy)
-
-
 def strip_digits(c: str | Column) -> Column:
     return F.regexp_replace(_c(c), r"[0-9]+", "")
 
 
-def report_type_to_tech(c: str | Column = "type",
-                        taxonomy: Mapping[str, str] = lookups.TYPE_TO_TECH) -> Column:
-    """Digits are removed from the report class *before* the lookup, exactly as the report
-    mart does (so keys that themselves hold digits can never match)."""
-    return map_lookup(strip_digits(c), taxonomy)
-
-
 def current_dollars(c: str | Column, deflator: float = lookups.DEFLATOR_2010_TO_2024) -> Column:
     return _c(c) * F.lit(deflator)
 
@@ -84,5 +73,13 @@ def calendar_parts(time: str | Column = "time") -> dict[str, Column]:
 
 
 def safe_ratio(num: str | Column, den: str | Column) -> Column:
-    """``num / den``; NULL instead of an error or NaN when ``den`` is 0 or NULL."""
-    return F.try_divide(_c(num), _c(den))
+    """``num / den`` as DOUBLE; NULL instead of an error or NaN when ``den`` is 0 or NULL."""
+    return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
+
+
+def checked(c: str | Column, allowed: Sequence, what: str) -> Column:
+    """The value itself, or an error if it is none of ``allowed`` (NULL passes): fixed label lists
+    must not make rows vanish."""
+    col = _c(c)
+    error = F.raise_error(F.concat(F.lit(f"{what} outside {list(allowed)}: "), col.cast("string")))
+    return F.when(col.isNull() | col.isin(list(allowed)), col).otherwise(error)

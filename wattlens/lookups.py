@@ -117,7 +117,6 @@ TOP_K_HOURS = 25
 LOAD_FLOOR = 5
 CUMULATIVE_CUTOFF = 2040
 COMPARISON_YEARS = [2030, 2040, 2050]
-SCENARIOS = ["reference", "base", "min_compliance", "base_highh2"]
 
 # Calendar used to turn hour-of-year into timestamps (the model year starts on the same weekday).
 CALENDAR_START = "2026-01-01 00:00:00"

@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import sum0
-from .filters import drop_null_keys, subset_region
+from ..functions.aggregates import mean, sum0
+from ..functions.scalar import checked
+from .filters import drop_null_keys, flag_region
 
 
 def scen_keys(df: DataFrame) -> list[str]:
@@ -23,34 +24,35 @@ def sum_by(df: DataFrame, keys: Sequence[str], value: str, out: str | None = Non
     return drop_null_keys(df, keys).groupBy(*keys).agg(sum0(value).alias(out or value))
 
 
-def mean_by(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None) -> DataFrame:
-    """pandas ``groupby(keys).agg(mean)``."""
-    keys = scen_keys(df) + list(keys)
-    return drop_null_keys(df, keys).groupBy(*keys).agg(F.avg(value).alias(out or value))
-
-
 def partial_rollup(df: DataFrame, regions: DataFrame, label: str, keys: Sequence[str],
                    value: str) -> DataFrame:
-    """Append one aggregate region row per ``keys`` (the sum over the region set) to the detail
-    rows. Only the regional subset is aggregated; both branches read the same scan (Spark
-    reuses the exchange)."""
-    total = (sum_by(subset_region(df, regions), keys, value)
-             .withColumn("region", F.lit(label)))
-    return df.unionByName(total, allowMissingColumns=True)
+    """The mean of each region's rows per ``keys``, and one aggregate region: the sum over the region set.
+
+    One pass: a row of the region set also becomes a row of the aggregate region, then both are
+    summed together (map-side first)."""
+    rows = flag_region(df, regions, "__in")
+    names = F.array_compact(F.array(F.struct(F.col("region"), F.lit(False).alias("__total")),
+                                    F.when(F.col("__in"), F.struct(F.lit(label).alias("region"), F.lit(True).alias("__total")))))
+    others = scen_keys(df) + list(keys)
+    rows = rows.select(*others, value, F.inline(names))
+    ids = others + ["region", "__total"]
+    out = drop_null_keys(rows, ids).groupBy(*ids).agg(sum0(value).alias("__sum"), mean(value).alias("__mean"))
+    return out.select(*scen_keys(df), "region", *keys, F.when(F.col("__total"), F.col("__sum").cast("double")).otherwise(F.col("__mean")).alias(value))
 
 
 def dense_over_values(df: DataFrame, keys: Sequence[str], column: str, values: Sequence,
                       value: str) -> DataFrame:
     """Emit every (keys, column-value) combination for a fixed value list, summing ``value``
-    and writing 0 where there is nothing (the categorical-groupby behaviour).
+    and writing 0 where there is nothing (the categorical-groupby behaviour). A value outside the
+    list is an error.
 
     Done as pivot over the explicit list (one wide row per key) followed by an unpivot: a
     single aggregation, no cross join and no discovery job."""
     keys = scen_keys(df) + list(keys)
-    wide = (drop_null_keys(df, keys)
-            .groupBy(*keys).pivot(column, list(values)).agg(F.sum(value)))
+    rows = drop_null_keys(df, keys).withColumn(column, checked(column, values, column))
+    wide = rows.groupBy(*keys).pivot(column, list(values)).agg(F.sum(value))
     names = [str(v) for v in values]
     long = wide.unpivot(keys, names, "__k", value)
     col_type = df.schema[column].dataType
     return long.select(*keys, F.col("__k").cast(col_type).alias(column),
-                       F.coalesce(F.col(value), F.lit(0.0)).alias(value))
+                       F.coalesce(F.col(value), F.lit(0)).alias(value))

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
+def rep_hours(sym) -> DataFrame:
+    """The hour map (year, hour, segment): a set, so a repeated row counts once. All jobs use this one rule."""
+    return sym.get("hrep").dropDuplicates()
+
+
 def expand_to_hours(df: DataFrame, rep_hours: DataFrame,
                     keys: Sequence[str] = ("year", "segment")) -> DataFrame:
     """Each segment row fans out to every hour mapped to it (inner join on year, segment).

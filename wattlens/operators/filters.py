@@ -27,6 +27,14 @@ def subset_region(df: DataFrame, regions: DataFrame, col: str = "region") -> Dat
     return df.join(right, on=keys, how="left_semi")
 
 
+def flag_region(df: DataFrame, regions: DataFrame, name: str) -> DataFrame:
+    """Add a column that is true for rows of the region set (per scenario where both sides have it)."""
+    use_scen = "scenario" in df.columns and "scenario" in regions.columns
+    keys = ["region"] + (["scenario"] if use_scen else [])
+    right = regions.select(*keys).distinct().withColumn(name, F.lit(True))
+    return df.join(right, keys, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+
 def not_in_keep_null(col: str | Column, values: Sequence) -> Column:
     """``!(x %in% values)``: unlike SQL ``NOT IN``, a NULL ``x`` is kept."""
     c = F.col(col) if isinstance(col, str) else col

@@ -7,23 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import mean
+from ..functions.scalar import checked
+
 
 def pivot_values(df: DataFrame, index: Sequence[str], column: str, values: Sequence,
-                 value: str, agg=F.avg, names: Sequence[str] | None = None) -> DataFrame:
-    """Long -> wide over an explicit value list (no value-discovery job); duplicates are
-    combined with ``agg`` (``pivot_table`` uses the mean). ``names`` renames the new columns."""
-    wide = df.groupBy(*index).pivot(column, list(values)).agg(agg(value))
+                 value: str, agg=mean, names: Sequence[str] | None = None) -> DataFrame:
+    """Long -> wide over an explicit value list (no value-discovery job; a value outside the list is
+    an error); duplicates are combined with ``agg`` (``pivot_table`` uses the mean). ``names``
+    renames the new columns."""
+    rows = df.withColumn(column, checked(column, values, column))
+    wide = rows.groupBy(*index).pivot(column, list(values)).agg(agg(value))
     if names is not None:
         wide = wide.withColumnsRenamed({str(v): n for v, n in zip(values, names)})
     return wide
 
 
-def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "id",
-            value: str = "value") -> DataFrame:
-    """Wide -> long (``pivot_longer``); runs as an Expand, no shuffle."""
-    return df.unpivot(list(ids), list(cols), name, value)
-
-
 def separate(df: DataFrame, col: str, into: Sequence[str], sep: str = "_") -> DataFrame:
     """Split ``col`` on ``sep`` into new columns placed where ``col`` was."""
     parts = F.split(F.col(col), sep, len(into))

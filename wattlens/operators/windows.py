@@ -1,6 +1,6 @@
 """Window operators. Partitions always include ``scenario`` (when present) so parallelism grows
-with the number of scenarios; within one partition the rows are bounded by the hours of one
-model year, so a window sort never holds more than one year's hours."""
+with the number of scenarios. Within a partition the rows are bounded by the hours of one model year
+(times its technologies), or of all model years where a job says so."""
 
 from __future__ import annotations
 
@@ -9,23 +9,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import _c, safe_ratio
+
 
-def _c(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
 
 def avg_rank(value: str | Column, partition: Sequence[str | Column], descending: bool = True,
-             tie_break: Sequence[str | Column] = ()) -> Column:
+             tie_break: Sequence[str | Column] = (), nullable: bool = True) -> Column:
     """R ``rank``: ties get their average rank; NULLs come last with distinct ranks (after all
-    values, in ``tie_break`` order)."""
+    values, in ``tie_break`` order). Rank and number of ties come from one sorted window;
+    ``nullable=False`` saves the second one, which only NULLs need."""
     v = _c(value)
-    order = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    w = Window.partitionBy(*partition).orderBy(order)
-    ties = Window.partitionBy(*partition, v)
-    ranked = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+    w = Window.partitionBy(*partition).orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last())
+    peers = w.rangeBetween(Window.currentRow, Window.currentRow)
+    ranked = F.rank().over(w) + (F.count(F.lit(1)).over(peers) - 1) / 2.0
+    if not nullable:
+        return ranked
     nulls = Window.partitionBy(*partition, v.isNull()).orderBy(*[_c(t).asc_nulls_last() for t in tie_break] or [F.lit(1)])
-    after = F.count(v).over(Window.partitionBy(*partition)) + F.row_number().over(nulls)
-    return F.when(v.isNull(), after.cast("double")).otherwise(ranked)
+    return F.when(v.isNull(), (F.rank().over(w) - 1 + F.row_number().over(nulls)).cast("double")).otherwise(ranked)
 
 
 def position_desc(value: str | Column, partition: Sequence[str | Column],
@@ -57,7 +58,7 @@ def group_total(value: str | Column, partition: Sequence[str | Column], na_rm: b
 
 def share_of_group(value: str | Column, partition: Sequence[str | Column]) -> Column:
     """``x / sum(x)`` within the group (R: a NULL member makes every share NULL)."""
-    return F.try_divide(_c(value), group_total(value, partition))
+    return safe_ratio(value, group_total(value, partition))
 
 
 def ratio_to_group_max(value: str | Column, of: str | Column, partition: Sequence[str | Column]) -> Column:
@@ -65,4 +66,4 @@ def ratio_to_group_max(value: str | Column, of: str | Column, partition: Sequenc
     o = _c(of)
     w = Window.partitionBy(*partition)
     mx = F.when(F.count(F.lit(1)).over(w) == F.count(o).over(w), F.max(o).over(w))
-    return F.try_divide(_c(value), mx)
+    return safe_ratio(value, mx)

@@ -1,12 +1,16 @@
 """DuckDB reference SQL for the driver-bound queries (the correctness gate).
 
-Each query is written independently of the Spark code, straight from the job definitions, over
-the pre-registered driver tables. CTE fragments below bind the tables to symbol tables with the
-same rules as ``wattlens.sources.driver``.
+Each query is written straight from the job definitions, over the pre-registered driver tables. CTE
+fragments below bind the tables to symbol tables with the same rules as ``wattlens.sources.driver``,
+so this gate compares engines and plans; the hand-computed marts in ``tests/`` hold the jobs to
+the definitions. Measures are DECIMAL: sums are exact, and a mean is one division of the exact
+sum by the count, so only means and shares of inexact numbers are rounded (``ROUNDED``).
 """
 
 from __future__ import annotations
 
+from . import lookups
+
 DEFLATOR = "1.396161885"
 
 # name -> (sql, dependencies)
@@ -20,7 +24,8 @@ _CTE: dict[str, tuple[str, tuple[str, ...]]] = {
                      CAST(year(l.l_shipdate) AS INTEGER) AS year,
                      's' || CAST(l.l_orderkey % 20 AS VARCHAR) AS segment,
                      lower(p.p_type) || regexp_replace(p.p_brand, '[^0-9]', '', 'g') AS report_type,
-                     p.p_name, l.l_orderkey, l.l_quantity, l.l_extendedprice, l.l_returnflag, l.l_linestatus
+                     p.p_name, l.l_orderkey, l.l_partkey, CAST(l.l_quantity AS DECIMAL(12,2)) AS l_quantity,
+                     CAST(l.l_extendedprice AS DECIMAL(18,2)) AS l_extendedprice, l.l_returnflag, l.l_linestatus
               FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
                    JOIN supplier s ON l.l_suppkey = s.s_suppkey
                    JOIN nation n ON s.s_nationkey = n.n_nationkey""", ()),
@@ -30,12 +35,12 @@ _CTE: dict[str, tuple[str, tuple[str, ...]]] = {
     "gr": ("SELECT tech_class, region, year, l_quantity AS level FROM li WHERE l_returnflag = 'A'", ("li",)),
     "cost": ("""SELECT tech_class, CASE WHEN year = 2001 THEN '2001+' ELSE CAST(year AS VARCHAR) END AS vintage,
                        region, year, l_extendedprice AS value FROM li""", ("li",)),
-    "icg": ("""SELECT CASE WHEN l_linestatus = 'F' THEN 'li-ion' ELSE tech_class END AS tech_class, year, region,
+    "icg": ("""SELECT CASE WHEN l_linestatus = 'F' THEN 'li-ion' ELSE 'pumped' END AS tech_class, year, region,
                       l_extendedprice AS value FROM li WHERE l_returnflag = 'R'""", ("li",)),
-    "irg": ("""SELECT CASE WHEN l_linestatus = 'F' THEN 'li-ion' ELSE tech_class END AS tech_class, year, region,
+    "irg": ("""SELECT CASE WHEN l_linestatus = 'F' THEN 'li-ion' ELSE 'pumped' END AS tech_class, year, region,
                       l_extendedprice AS value FROM li WHERE l_returnflag = 'A'""", ("li",)),
     "co2": ("""SELECT n.n_name AS region, CAST(year(o.o_orderdate) AS INTEGER) AS year,
-                      CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1e9 AS level
+                      CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DECIMAL(24,2)) * CAST(0.000000001 AS DECIMAL(9,9)) AS level
                FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
                     JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2""", ()),
     "rpt": ("""SELECT region, report_type AS type, year,
@@ -64,6 +69,10 @@ def _closure(names) -> list[str]:
     return out
 
 
+def mean(x: str) -> str:
+    return f"CAST(sum({x}) AS DOUBLE) / count({x})"
+
+
 def with_ctes(needed, body: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` clause holding the needed binding CTEs (in dependency order) plus query-local
     CTEs from ``extra`` (in the given order)."""
@@ -111,7 +120,7 @@ def q_ca_capacity() -> str:
 
 def q_capacity_dense() -> str:
     return with_ctes(_DEPS_CAP, """
-        SELECT t.tech, y.year, coalesce(c.capacity, 0.0) AS capacity
+        SELECT t.tech, y.year, coalesce(c.capacity, 0) AS capacity
         FROM (SELECT DISTINCT tech FROM cap WHERE region IN (SELECT region FROM cal_r)) t
         CROSS JOIN (SELECT CAST(range AS INTEGER) AS year FROM range(1995, 2002)) y
         LEFT JOIN (SELECT tech, year, sum(capacity) AS capacity FROM cap
@@ -135,8 +144,8 @@ _VINTAGES = ["1996", "1997", "1998", "1999", "2000"]
 
 
 def _cost_pivot(open_name: str) -> str:
-    cols = ",\n".join(f"avg(CASE WHEN vintage = '{v}' THEN value END) * {DEFLATOR} AS \"{v}\"" for v in _VINTAGES)
-    cols += f",\navg(CASE WHEN vintage = '2001+' THEN value END) * {DEFLATOR} AS \"{open_name}\""
+    cols = ",\n".join(f"{mean(f"CASE WHEN vintage = '{v}' THEN value END")} * {DEFLATOR} AS \"{v}\"" for v in _VINTAGES)
+    cols += f",\n{mean("CASE WHEN vintage = '2001+' THEN value END")} * {DEFLATOR} AS \"{open_name}\""
     return f"""SELECT tech, {cols} FROM
                 (SELECT {tech_of()} AS tech, vintage, value FROM cost
                  WHERE region IN (SELECT region FROM cal_r)) WHERE tech IS NOT NULL AND vintage IS NOT NULL
@@ -145,7 +154,7 @@ def _cost_pivot(open_name: str) -> str:
 
 def q_capcosts_wide() -> str:
     years = ["1996", "1997", "1998", "1999", "2000", "2001"]
-    st_cols = ",\n".join(f"avg(CASE WHEN year = {y} THEN value * {DEFLATOR} END) AS \"{y}\"" for y in years + ["1995"])
+    st_cols = ",\n".join(f"{mean(f'CASE WHEN year = {y} THEN value END')} * {DEFLATOR} AS \"{y}\"" for y in years + ["1995"])
     body = f"""
         SELECT tech, {', '.join(f'"{y}"' for y in years)}, CAST(NULL AS DOUBLE) AS "1995" FROM gen_wide
         UNION ALL
@@ -161,18 +170,18 @@ def q_fom_costs_wide() -> str:
 
 def q_marginal_costs() -> str:
     return with_ctes(("cost", "class_tax", "cal_r"), f"""
-        SELECT tech, vintage, avg(value) * {DEFLATOR} AS marginal_cost FROM
+        SELECT tech, vintage, {mean('value')} * {DEFLATOR} AS marginal_cost FROM
           (SELECT {tech_of()} AS tech, vintage, value FROM cost WHERE region IN (SELECT region FROM cal_r))
         WHERE tech IS NOT NULL AND vintage IS NOT NULL GROUP BY tech, vintage""")
 
 
 def q_emissions_rollup() -> str:
-    cols = ", ".join(f"avg(CASE WHEN year = {y} THEN emissions END) AS \"{y}\"" for y in range(1995, 2002))
+    cols = ", ".join(f"max(CASE WHEN year = {y} THEN emissions END) AS \"{y}\"" for y in range(1995, 2002))
     return with_ctes(("co2", "cal_r"), f"""
         SELECT region, {cols} FROM (
-            SELECT region, year, level * 1000 AS emissions FROM co2
+            SELECT region, year, CAST(level * 1000 AS DOUBLE) AS emissions FROM co2
             UNION ALL
-            SELECT 'California', year, sum(level * 1000) FROM co2
+            SELECT 'California', year, CAST(sum(level * 1000) AS DOUBLE) FROM co2
             WHERE region IN (SELECT region FROM cal_r) GROUP BY year)
         WHERE region IS NOT NULL GROUP BY region""")
 
@@ -202,7 +211,7 @@ RE = ["Solar", "Wind", "Offshore Wind"]
 
 
 def na_avg(x: str) -> str:
-    return f"CASE WHEN count(*) = count({x}) THEN avg({x}) END"
+    return f"CASE WHEN count(*) = count({x}) THEN {mean(x)} END"
 
 
 def na_sum(x: str) -> str:
@@ -229,80 +238,93 @@ def calendar(t: str) -> str:
 
 
 _CTE.update({
-    "ev": ("""SELECT e.event_id, e.event_type, e.value, CAST(1995 + e.user_id % 7 AS INTEGER) AS year,
-                     CAST((date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', e.ts) % 168) * 49 + 1 AS INTEGER) AS hour,
-                     n.n_name AS region
-              FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25""", ()),
-    "evs": ("SELECT *, 's' || CAST((hour * 37 + year) % 20 AS VARCHAR) AS segment FROM ev", ("ev",)),
-    "hrep": ("""SELECT CAST(y.yr AS INTEGER) AS year, CAST(k.k * 49 + 1 AS INTEGER) AS hour,
-                       's' || CAST(((k.k * 49 + 1) * 37 + y.yr) % 20 AS VARCHAR) AS segment
-                FROM (SELECT range AS yr FROM range(1995, 2002)) y CROSS JOIN (SELECT range AS k FROM range(0, 168)) k""", ()),
+    "cells": ("""SELECT event_type, k, region, year, hour, value, 's' || CAST((hour * 37 + year) % 20 AS VARCHAR) AS segment FROM (
+                   SELECT e.event_type, CAST(e.event_id % 5 AS INTEGER) AS k, n.n_name AS region,
+                          CAST(1995 + e.user_id % 7 AS INTEGER) AS year,
+                          CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', e.ts) % 8760 + 1 AS INTEGER) AS hour,
+                          CAST(sum(CAST(e.value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS value
+                   FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25 GROUP BY 1, 2, 3, 4, 5)""", ()),
+    "hrep": ("""SELECT CAST(y.yr AS INTEGER) AS year, CAST(k.k AS INTEGER) AS hour,
+                       's' || CAST((k.k * 37 + y.yr) % 20 AS VARCHAR) AS segment
+                FROM (SELECT range AS yr FROM range(1995, 2002)) y CROSS JOIN (SELECT range AS k FROM range(1, 8761)) k""", ()),
     "reph": ("SELECT DISTINCT year, hour, segment FROM hrep", ("hrep",)),
     "techs": ("SELECT * FROM (VALUES ('Solar'), ('Wind'), ('Offshore Wind')) t(tech)", ()),
-    "load_h": ("""SELECT year, hour, sum(value) AS load_h FROM evs WHERE region IN (SELECT region FROM cal_r)
-                  GROUP BY year, hour""", ("evs", "cal_r")),
-    "load_s": ("""SELECT year, segment, sum(value) AS load_s FROM evs WHERE region IN (SELECT region FROM cal_r)
-                  GROUP BY year, segment""", ("evs", "cal_r")),
-    "h2": ("""SELECT year, segment, sum(value) AS hydrogen_load FROM (
-                SELECT CASE WHEN event_type = 'error' THEN 'demand' ELSE 'supply' END AS grp,
-                       ['h2prod_ht', 'h2prod_ne', 'h2prod_pa', 'h2stortrn', 'elec_load'][event_id % 5 + 1] AS type,
-                       region, year, segment, value FROM evs)
-              WHERE grp = 'demand' AND type IN ('h2prod_ht', 'h2prod_ne', 'h2prod_pa', 'h2stortrn')
-                AND region IN (SELECT region FROM cal_r)
-              GROUP BY year, segment""", ("evs", "cal_r")),
-    "vr": ("""SELECT CASE event_type WHEN 'click' THEN 'promo-1' WHEN 'view' THEN 'medium-1' WHEN 'signup' THEN 'small-1'
-                       WHEN 'error' THEN 'standard-1' WHEN 'purchase' THEN 'large-1' END AS tech_class,
-                     CAST(event_id % 5 AS VARCHAR) AS vintage, region, year, hour, segment,
-                     least(1.0, value / 500) AS value FROM evs""", ("evs",)),
-    "hcap": ("""SELECT tech_class, vintage, region, year,
-                       CASE WHEN vintage = '0' THEN 0.0 ELSE CAST(count(*) AS DOUBLE) END AS level
-                FROM vr GROUP BY tech_class, vintage, region, year""", ("vr",)),
+    "load_h": ("""SELECT year, hour, sum(value) AS load_h FROM cells WHERE region IN (SELECT region FROM cal_r)
+                  GROUP BY year, hour""", ("cells", "cal_r")),
+    "load_s": ("""SELECT year, segment, sum(value) AS load_s FROM cells WHERE region IN (SELECT region FROM cal_r)
+                  GROUP BY year, segment""", ("cells", "cal_r")),
+    "h2": ("""SELECT year, segment, sum(value) AS hydrogen_load FROM cells
+              WHERE event_type = 'error' AND k < 4 AND region IN (SELECT region FROM cal_r)
+              GROUP BY year, segment""", ("cells", "cal_r")),
+    "vr": ("""SELECT CASE event_type WHEN 'click' THEN 'promo' WHEN 'view' THEN 'medium' WHEN 'signup' THEN 'small'
+                       WHEN 'error' THEN 'standard' WHEN 'purchase' THEN 'large' END || '-all' AS tech_class,
+                     CAST(k AS VARCHAR) AS vintage, region, year, hour, segment,
+                     CAST(least(CAST(1 AS DECIMAL(18,5)), CAST(least(value, 500) * CAST(0.002 AS DECIMAL(3,3)) AS DECIMAL(18,5))) AS DECIMAL(6,5)) AS value
+              FROM cells""", ("cells",)),
 })
 
 
-def _af_cte(slot: str) -> str:
-    return f"""SELECT tech, year, {slot}, sum(capacity * value) AS generation, sum(capacity) AS capacity,
-                      avg(value) AS af_base FROM (
-                 SELECT {tech_of('v.tech_class')} AS tech, v.year, v.{slot}, c.level AS capacity, v.value
-                 FROM vr v JOIN hcap c ON v.tech_class = c.tech_class AND v.vintage = c.vintage
-                      AND v.region = c.region AND v.year = c.year
-                 WHERE v.region IN (SELECT region FROM cal_r))
-               WHERE tech IN ('Solar', 'Wind', 'Offshore Wind') GROUP BY tech, year, {slot}"""
+def _hourly_ctes(scen: bool) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """The hourly chain; with ``scen`` every table from capacity on is kept per scenario (names end in _s)."""
+    x, src = ("_s", "lis") if scen else ("", "li")
+    sk = "scenario, " if scen else ""
+
+    def on(a: str, b: str, *keys: str) -> str:
+        return " AND ".join(f"{a}.{k} = {b}.{k}" for k in (*(["scenario"] if scen else []), *keys))
+
+    def af(slot: str) -> str:
+        return f"""SELECT {sk}tech, year, {slot}, sum(capacity * value) AS generation, sum(capacity) AS capacity,
+                          {mean('value')} AS af_base FROM (
+                     SELECT {sk}{tech_of('v.tech_class')} AS tech, v.year, v.{slot}, c.level AS capacity, v.value
+                     FROM vr v JOIN hcap{x} c ON v.tech_class = c.tech_class AND v.vintage = c.vintage
+                          AND v.region = c.region AND v.year = c.year
+                     WHERE v.region IN (SELECT region FROM cal_r))
+                   WHERE tech IN ('Solar', 'Wind', 'Offshore Wind') GROUP BY {sk}tech, year, {slot}"""
+
+    spine = (f"SELECT sy.scenario, r.* FROM reph r JOIN (SELECT DISTINCT scenario, year FROM hcap{x}) sy ON r.year = sy.year"
+             if scen else "SELECT * FROM reph")
+    seen = (f"SELECT DISTINCT scenario, tech FROM afh{x} INTERSECT SELECT DISTINCT scenario, tech FROM afs{x}" if scen
+            else "SELECT tech FROM techs WHERE tech IN (SELECT tech FROM afh) AND tech IN (SELECT tech FROM afs)")
+    return {
+        f"hcap{x}": (f"""SELECT {sk}split_part(tech_class, '-', 1) || '-all' AS tech_class, vintage, region, year,
+                                CAST(sum(l_quantity) AS DECIMAL(12,2)) AS level
+                         FROM {src} GROUP BY ALL""", (src,)),
+        f"afh{x}": (af("hour"), ("vr", f"hcap{x}", "cal_r", "class_tax")),
+        f"afs{x}": (af("segment"), ("vr", f"hcap{x}", "cal_r", "class_tax")),
+        f"hm{x}": (f"""SELECT {"r.scenario, " if scen else ""}t.tech, r.year, r.hour, coalesce(a.generation, 0) AS generation_h,
+                         coalesce(a.capacity, 0) AS capacity,
+                         coalesce(CAST(a.generation AS DOUBLE) / NULLIF(CAST(a.capacity AS DOUBLE), 0), a.af_base, 0.0) AS af_h, r.segment,
+                         coalesce(s.generation, 0) AS generation_s,
+                         coalesce(CAST(s.generation AS DOUBLE) / NULLIF(CAST(s.capacity AS DOUBLE), 0), s.af_base, 0.0) AS af_s,
+                         coalesce(lh.load_h, 0) AS load_h, coalesce(ls.load_s, 0) AS load_s,
+                         coalesce(h.hydrogen_load, 0) AS hydrogen_load
+                  FROM ({spine}) r JOIN ({seen}) t ON {on('r', 't') or 'TRUE'}
+                  LEFT JOIN afh{x} a ON {on('a', 'r', 'year', 'hour')} AND a.tech = t.tech
+                  LEFT JOIN afs{x} s ON {on('s', 'r', 'year', 'segment')} AND s.tech = t.tech
+                  LEFT JOIN load_h lh ON lh.year = r.year AND lh.hour = r.hour
+                  LEFT JOIN load_s ls ON ls.year = r.year AND ls.segment = r.segment
+                  LEFT JOIN h2 h ON h.year = r.year AND h.segment = r.segment""",
+                   ("reph", "techs", f"afh{x}", f"afs{x}", "load_h", "load_s", "h2")),
+        f"hw{x}": (f"""SELECT {sk}year, hour, segment, hydrogen_load, max(load_h + hydrogen_load) AS load,
+                         """ + ",\n".join(f"max(CASE WHEN tech = '{t}' THEN {src_} END) AS \"{t}|{name}\""
+                                          for name, src_ in (("generation", "generation_h"), ("capacity", "capacity"),
+                                                             ("af", "af_h")) for t in RE) + f"""
+                  FROM hm{x} GROUP BY {sk}year, hour, segment, hydrogen_load""", (f"hm{x}",)),
+        f"nl{x}": (" UNION ALL ".join(
+            f"""SELECT {sk}year, hour, segment, hydrogen_load, load, '{name}' AS type,
+                       "Solar|{name}" AS "Solar", "Wind|{name}" AS "Wind", "Offshore Wind|{name}" AS "Offshore Wind",
+                       load - "Solar|generation" - "Wind|generation" - "Offshore Wind|generation" AS net_load FROM hw{x}"""
+            for name in ("generation", "capacity", "af")), (f"hw{x}",)),
+        f"nlr{x}": (f"""SELECT *, CASE WHEN net_load IS NULL THEN
+                              CAST(count(net_load) OVER (PARTITION BY {sk}year, type)
+                                   + row_number() OVER (PARTITION BY {sk}year, type, net_load IS NULL ORDER BY hour, segment) AS DOUBLE)
+                            ELSE rank() OVER (PARTITION BY {sk}year, type ORDER BY net_load DESC NULLS LAST)
+                                 + (count(*) OVER (PARTITION BY {sk}year, type, net_load) - 1) / 2.0 END AS order_id FROM nl{x}""", (f"nl{x}",)),
+    }
 
 
+_CTE.update(_hourly_ctes(False) | _hourly_ctes(True))
 _CTE.update({
-    "afh": (_af_cte("hour"), ("vr", "hcap", "cal_r", "class_tax")),
-    "afs": (_af_cte("segment"), ("vr", "hcap", "cal_r", "class_tax")),
-    "hm": ("""SELECT t.tech, r.year, r.hour, coalesce(a.generation, 0.0) AS generation_h,
-                     coalesce(a.capacity, 0.0) AS capacity,
-                     coalesce(a.generation / NULLIF(a.capacity, 0), a.af_base, 0.0) AS af_h, r.segment,
-                     coalesce(s.generation, 0.0) AS generation_s,
-                     coalesce(s.generation / NULLIF(s.capacity, 0), s.af_base, 0.0) AS af_s,
-                     coalesce(lh.load_h, 0.0) AS load_h, coalesce(ls.load_s, 0.0) AS load_s,
-                     coalesce(h.hydrogen_load, 0.0) AS hydrogen_load
-              FROM reph r CROSS JOIN (SELECT * FROM techs WHERE tech IN (SELECT tech FROM afh)
-                                                         AND tech IN (SELECT tech FROM afs)) t
-              LEFT JOIN afh a ON a.tech = t.tech AND a.year = r.year AND a.hour = r.hour
-              LEFT JOIN afs s ON s.tech = t.tech AND s.year = r.year AND s.segment = r.segment
-              LEFT JOIN load_h lh ON lh.year = r.year AND lh.hour = r.hour
-              LEFT JOIN load_s ls ON ls.year = r.year AND ls.segment = r.segment
-              LEFT JOIN h2 h ON h.year = r.year AND h.segment = r.segment""",
-           ("reph", "techs", "afh", "afs", "load_h", "load_s", "h2")),
-    "hw": ("""SELECT year, hour, segment, hydrogen_load, max(load_h + hydrogen_load) AS load,
-                     """ + ",\n".join(f"max(CASE WHEN tech = '{t}' THEN {src} END) AS \"{t}|{name}\""
-                                      for name, src in (("generation", "generation_h"), ("capacity", "capacity"),
-                                                        ("af", "af_h")) for t in RE) + """
-              FROM hm GROUP BY year, hour, segment, hydrogen_load""", ("hm",)),
-    "nl": (" UNION ALL ".join(
-        f"""SELECT year, hour, segment, hydrogen_load, load, '{name}' AS type,
-                   "Solar|{name}" AS "Solar", "Wind|{name}" AS "Wind", "Offshore Wind|{name}" AS "Offshore Wind",
-                   load - "Solar|generation" - "Wind|generation" - "Offshore Wind|generation" AS net_load FROM hw"""
-        for name in ("generation", "capacity", "af")), ("hw",)),
-    "nlr": ("""SELECT *, CASE WHEN net_load IS NULL THEN
-                          CAST(count(net_load) OVER (PARTITION BY year, type)
-                               + row_number() OVER (PARTITION BY year, type, net_load IS NULL ORDER BY hour, segment) AS DOUBLE)
-                        ELSE rank() OVER (PARTITION BY year, type ORDER BY net_load DESC NULLS LAST)
-                             + (count(*) OVER (PARTITION BY year, type, net_load) - 1) / 2.0 END AS order_id FROM nl""", ("nl",)),
     "sw": ("""SELECT year, hour, segment, hydrogen_load,
                      """ + ",\n".join(f"max(CASE WHEN tech = '{t}' THEN {src} END) AS \"{t}|{a}\""
                                       for a, src in (("hour", "af_h"), ("segment", "af_s")) for t in RE) + """,
@@ -320,8 +342,8 @@ def q_hydrogen_load() -> str:
     return with_ctes(("h2",), "SELECT * FROM h2")
 
 
-_LOADS = """SELECT r.year, r.hour, r.segment, coalesce(lh.load_h, 0.0) AS load_hour,
-                   coalesce(ls.load_s, 0.0) AS load_segment, coalesce(h.hydrogen_load, 0.0) AS hydrogen_load
+_LOADS = """SELECT r.year, r.hour, r.segment, coalesce(lh.load_h, 0) AS load_hour,
+                   coalesce(ls.load_s, 0) AS load_segment, coalesce(h.hydrogen_load, 0) AS hydrogen_load
             FROM reph r LEFT JOIN load_h lh ON lh.year = r.year AND lh.hour = r.hour
             LEFT JOIN load_s ls ON ls.year = r.year AND ls.segment = r.segment
             LEFT JOIN h2 h ON h.year = r.year AND h.segment = r.segment"""
@@ -337,10 +359,10 @@ def q_loads_filtered() -> str:
 
 def _af_dense(slot: str, cte: str) -> str:
     sfx = "h" if slot == "hour" else "s"
-    cap = ", coalesce(a.capacity, 0.0) AS capacity" if slot == "hour" else ""
+    cap = ", coalesce(a.capacity, 0) AS capacity" if slot == "hour" else ""
     return with_ctes((cte, "hrep", "techs"), f"""
-        SELECT t.tech, r.year, r.{slot}, coalesce(a.generation, 0.0) AS generation_{sfx}{cap},
-               coalesce(a.generation / NULLIF(a.capacity, 0), a.af_base) AS af_{sfx}
+        SELECT t.tech, r.year, r.{slot}, coalesce(a.generation, 0) AS generation_{sfx}{cap},
+               coalesce(CAST(a.generation AS DOUBLE) / NULLIF(CAST(a.capacity AS DOUBLE), 0), a.af_base) AS af_{sfx}
         FROM (SELECT DISTINCT year, {slot} FROM hrep) r
         CROSS JOIN (SELECT * FROM techs WHERE tech IN (SELECT tech FROM {cte})) t
         LEFT JOIN {cte} a ON a.tech = t.tech AND a.year = r.year AND a.{slot} = r.{slot}""")
@@ -374,28 +396,46 @@ def q_net_load_hourly() -> str:
     return with_ctes(("nlr",), "SELECT * FROM nlr")
 
 
-def q_normalized_profile() -> str:
-    mx = ("CASE WHEN count(*) OVER (PARTITION BY year) = count(load) OVER (PARTITION BY year) "
-          "THEN max(load) OVER (PARTITION BY year) END")
-    return with_ctes(("nlr",), f"""
-        SELECT year, hour_of_day, solar, 'Load' AS type, "Load" AS value FROM agg WHERE year <> 2001
+def _normalized_profile(scen: bool = False) -> str:
+    x, sk = ("_s", "scenario, ") if scen else ("", "")
+    w = f"(PARTITION BY {sk}year)"
+    mx = f"CAST(CASE WHEN count(*) OVER {w} = count(load) OVER {w} THEN max(load) OVER {w} END AS DOUBLE)"
+    return with_ctes((f"nlr{x}",), f"""
+        SELECT {sk}year, hour_of_day, solar, 'Load' AS type, "Load" AS value FROM agg WHERE year <> 2001
         UNION ALL
-        SELECT year, hour_of_day, solar, 'Net Load', "Net Load" FROM agg WHERE year <> 2001""", {
-        "g": f"""SELECT year, CAST(hour({ts_of('hour')}) AS INTEGER) AS hour_of_day,
-                        load / NULLIF({mx}, 0) AS load_norm, net_load / NULLIF({mx}, 0) AS net_load_norm,
+        SELECT {sk}year, hour_of_day, solar, 'Net Load', "Net Load" FROM agg WHERE year <> 2001""", {
+        "g": f"""SELECT {sk}year, CAST(hour({ts_of('hour')}) AS INTEGER) AS hour_of_day,
+                        CAST(load AS DOUBLE) / NULLIF({mx}, 0) AS load_norm, CAST(net_load AS DOUBLE) / NULLIF({mx}, 0) AS net_load_norm,
                         "Solar" / NULLIF({mx}, 0) AS solar
-                 FROM nlr WHERE type = 'generation'""",
-        "agg": f"""SELECT year, hour_of_day, {na_avg('load_norm')} AS "Load",
+                 FROM nlr{x} WHERE type = 'generation'""",
+        "agg": f"""SELECT {sk}year, hour_of_day, {na_avg('load_norm')} AS "Load",
                           CASE WHEN {na_avg('net_load_norm')} IS NOT NULL THEN greatest(0.0, {na_avg('net_load_norm')}) END AS "Net Load",
                           {na_avg('solar')} AS solar
-                   FROM g GROUP BY year, hour_of_day"""})
+                   FROM g GROUP BY {sk}year, hour_of_day"""})
 
 
-def q_peak_capacity_factors() -> str:
-    return with_ctes(("nlr",), f"""
-        SELECT year, type, {na_avg('load')} AS load, {na_avg('net_load')} AS net_load,
+def q_normalized_profile() -> str:
+    return _normalized_profile()
+
+
+def q_normalized_profile_scenarios() -> str:
+    return _normalized_profile(True)
+
+
+def _peak_capacity_factors(scen: bool = False) -> str:
+    x, sk = ("_s", "scenario, ") if scen else ("", "")
+    return with_ctes((f"nlr{x}",), f"""
+        SELECT {sk}year, type, {na_avg('load')} AS load, {na_avg('net_load')} AS net_load,
                {na_avg('"Solar"')} AS solar, {na_avg('"Wind"')} AS wind, {na_avg('"Offshore Wind"')} AS offshore_wind
-        FROM nlr WHERE order_id <= 25 GROUP BY year, type""")
+        FROM nlr{x} WHERE order_id <= 25 GROUP BY {sk}year, type""")
+
+
+def q_peak_capacity_factors() -> str:
+    return _peak_capacity_factors()
+
+
+def q_peak_capacity_factors_scenarios() -> str:
+    return _peak_capacity_factors(True)
 
 
 def q_hour_vs_segment() -> str:
@@ -432,22 +472,31 @@ def q_duration_curve_wind() -> str:
 
 # -- dispatch and trade ---------------------------------------------------------------------------
 
+def _dispatch_cte(scen: bool) -> str:
+    src, sk, dk = ("lis", "scenario, ", "d.scenario, ") if scen else ("li", "", "")
+    return f"""SELECT {dk}d.tech, d.year, d.segment, d.level, h.hour FROM (
+                 SELECT {sk}tech, year, segment, sum(level) AS level FROM (
+                   SELECT {sk}CASE WHEN l_returnflag <> 'R' THEN {tech_of()} WHEN l_linestatus = 'O' THEN 'Storage-charge'
+                                   WHEN l_linestatus = 'F' THEN 'Storage-discharge' END AS tech, year, segment, l_quantity AS level
+                   FROM {src} WHERE l_returnflag IN ('N', 'A', 'R') AND region IN (SELECT region FROM cal_r))
+                 WHERE tech IS NOT NULL GROUP BY {sk}tech, year, segment) d
+               JOIN reph h ON d.year = h.year AND d.segment = h.segment"""
+
+
+def _trade_cte(scen: bool) -> str:
+    sk, ek, tk = ("scenario, ", "e.scenario, ", "t.scenario, ") if scen else ("", "", "")
+    return f"""SELECT {tk}t.year, t.segment, t.region_exp, t.region_imp, t.trade_gw, h.hour FROM (
+                 SELECT {sk}year, segment, region_exp, region_imp, sum(level) AS trade_gw FROM (
+                   SELECT {ek}e.year, e.segment, ae.value AS region_exp, ai.value AS region_imp, e.level FROM trade e
+                   LEFT JOIN area ae ON e.region_exp = ae.key LEFT JOIN area ai ON e.region_imp = ai.key)
+                 WHERE region_exp IS NOT NULL AND region_imp IS NOT NULL
+                 GROUP BY {sk}year, segment, region_exp, region_imp) t
+               JOIN reph h ON t.year = h.year AND t.segment = h.segment"""
+
+
 _CTE.update({
-    "disp": (f"""SELECT d.tech, d.year, d.segment, d.level, h.hour FROM (
-                  SELECT tech, year, segment, sum(level) AS level FROM (
-                    SELECT {tech_of()} AS tech, year, segment, l_quantity AS level FROM li
-                    WHERE l_returnflag IN ('N', 'A') AND region IN (SELECT region FROM cal_r))
-                  WHERE tech IS NOT NULL GROUP BY tech, year, segment
-                  UNION ALL
-                  SELECT 'Storage-charge', year, segment, sum(l_quantity) FROM li
-                  WHERE l_returnflag = 'R' AND l_linestatus = 'O' AND region IN (SELECT region FROM cal_r)
-                  GROUP BY year, segment
-                  UNION ALL
-                  SELECT 'Storage-discharge', year, segment, sum(l_quantity) FROM li
-                  WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND region IN (SELECT region FROM cal_r)
-                  GROUP BY year, segment) d
-                JOIN hrep h ON d.year = h.year AND d.segment = h.segment""",
-             ("li", "cal_r", "class_tax", "hrep")),
+    "disp": (_dispatch_cte(False), ("li", "cal_r", "class_tax", "reph")),
+    "disp_s": (_dispatch_cte(True), ("lis", "cal_r", "class_tax", "reph")),
     "dclean": (f"""SELECT {ordered('tech')} AS tech, year, segment, level, hour, time, {calendar('time')},
                           {order_of('tech')} AS tech_order
                    FROM (SELECT CASE WHEN tech = 'Storage-discharge' THEN 'Storage' ELSE tech END AS tech,
@@ -455,20 +504,16 @@ _CTE.update({
                          WHERE year <> 1995 AND (tech IS NULL OR tech NOT IN ('Nuclear')) AND tech <> 'Storage-charge')""",
                ("disp",)),
     "trade": ("""SELECT 's' || CAST(l.l_orderkey % 20 AS VARCHAR) AS segment, sn.n_name AS region_exp,
-                        cn.n_name AS region_imp, CAST(year(o.o_orderdate) AS INTEGER) AS year, l.l_quantity AS level
+                        cn.n_name AS region_imp, CAST(year(o.o_orderdate) AS INTEGER) AS year,
+                        CAST(l.l_quantity AS DECIMAL(12,2)) AS level, c.c_mktsegment AS scenario
                  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
                       JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation cn ON c.c_nationkey = cn.n_nationkey
                       JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation sn ON s.s_nationkey = sn.n_nationkey""", ()),
     "area": ("""SELECT n.n_name AS key, CASE WHEN r.r_name = 'AMERICA' THEN 'ca'
                        WHEN r.r_name IN ('ASIA', 'EUROPE') THEN 'rest' END AS value
                 FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""", ()),
-    "trh": ("""SELECT t.year, t.segment, t.region_exp, t.region_imp, t.trade_gw, h.hour FROM (
-                 SELECT year, segment, region_exp, region_imp, sum(level) AS trade_gw FROM (
-                   SELECT e.year, e.segment, ae.value AS region_exp, ai.value AS region_imp, e.level FROM trade e
-                   LEFT JOIN area ae ON e.region_exp = ae.key LEFT JOIN area ai ON e.region_imp = ai.key)
-                 WHERE region_exp IS NOT NULL AND region_imp IS NOT NULL
-                 GROUP BY year, segment, region_exp, region_imp) t
-               JOIN hrep h ON t.year = h.year AND t.segment = h.segment""", ("trade", "area", "hrep")),
+    "trh": (_trade_cte(False), ("trade", "area", "reph")),
+    "trh_s": (_trade_cte(True), ("trade", "area", "reph")),
 })
 
 
@@ -494,42 +539,58 @@ def q_dispatch_window() -> str:
     return with_ctes(("dclean",), "SELECT * FROM dclean WHERE year = 1996 AND hour < 121")
 
 
-def q_dispatch_deciles() -> str:
-    w = "PARTITION BY year, hour"
-    return with_ctes(("disp",), """
-        SELECT year, tech, gen_ntile, generation,
+def _deciles(scen: bool = False) -> str:
+    x, sk = ("_s", "scenario, ") if scen else ("", "")
+    w = f"PARTITION BY {sk}year, hour"
+    return with_ctes((f"disp{x}",), f"""
+        SELECT {sk}year, tech, gen_ntile, generation,
                generation / NULLIF(CASE WHEN count(*) OVER w = count(generation) OVER w
                                         THEN sum(generation) OVER w END, 0) AS pct_gen
-        FROM a WINDOW w AS (PARTITION BY year, gen_ntile)""", {
-        "d": "SELECT DISTINCT tech, year, segment, level, hour FROM disp",
-        "g": f"""SELECT {ordered('t2')} AS tech, year, segment, level, hour FROM (
-                   SELECT CASE WHEN tech = 'Storage-discharge' THEN 'Storage' ELSE tech END AS t2, year, segment, level, hour
+        FROM a WINDOW w AS (PARTITION BY {sk}year, gen_ntile)""", {
+        "d": f"SELECT DISTINCT {sk}tech, year, segment, level, hour FROM disp{x}",
+        "g": f"""SELECT {sk}{ordered('t2')} AS tech, year, segment, level, hour FROM (
+                   SELECT {sk}CASE WHEN tech = 'Storage-discharge' THEN 'Storage' ELSE tech END AS t2, year, segment, level, hour
                    FROM d WHERE (tech IS NULL OR tech NOT IN ('Nuclear')) AND tech <> 'Storage-charge')""",
         "t": f"""SELECT *, CASE WHEN count(*) OVER ({w}) = count(level) OVER ({w}) THEN sum(level) OVER ({w}) END AS total_gen
                  FROM g""",
-        "n": """SELECT *, CASE WHEN total_gen IS NOT NULL THEN
-                       ntile(10) OVER (PARTITION BY year, tech, total_gen IS NULL ORDER BY total_gen, hour, segment) END AS gen_ntile
+        "n": f"""SELECT *, CASE WHEN total_gen IS NOT NULL THEN
+                       ntile(10) OVER (PARTITION BY {sk}year, tech, total_gen IS NULL ORDER BY total_gen, hour, segment) END AS gen_ntile
                 FROM t""",
-        "a": f"""SELECT year, tech, CAST(gen_ntile AS INTEGER) AS gen_ntile, {na_avg('level')} AS generation
-                 FROM n GROUP BY year, tech, gen_ntile"""})
+        "a": f"""SELECT {sk}year, tech, CAST(gen_ntile AS INTEGER) AS gen_ntile, {na_avg('level')} AS generation
+                 FROM n GROUP BY {sk}year, tech, gen_ntile"""})
+
+
+def q_dispatch_deciles() -> str:
+    return _deciles()
+
+
+def q_dispatch_deciles_scenarios() -> str:
+    return _deciles(True)
 
 
 def q_trade_by_segment() -> str:
     return with_ctes(("trh",), "SELECT * FROM trh")
 
 
+def _trade_net(scen: bool = False) -> str:
+    x, sk = ("_s", "scenario, ") if scen else ("", "")
+    imports = "CASE WHEN region_imp = 'ca' AND region_exp <> 'ca' THEN trade_gw ELSE 0 END"
+    exports = "CASE WHEN region_exp = 'ca' AND region_imp <> 'ca' THEN trade_gw ELSE 0 END"
+    return with_ctes((f"trh{x}",), f"""
+        SELECT {sk}year, hour, imports, exports, imports - exports AS net_imports FROM (
+          SELECT {sk}year, hour, {na_sum(imports)} AS imports, {na_sum(exports)} AS exports
+          FROM trh{x} WHERE year <> 1995 GROUP BY {sk}year, hour)""")
+
+
 def q_trade_net() -> str:
-    return with_ctes(("trh",), """
-        SELECT year, hour, imports, exports, imports - exports AS net_imports FROM (
-          SELECT year, hour,
-                 sum(CASE WHEN region_imp = 'ca' AND region_exp <> 'ca' THEN trade_gw ELSE 0.0 END) AS imports,
-                 sum(CASE WHEN region_exp = 'ca' AND region_imp <> 'ca' THEN trade_gw ELSE 0.0 END) AS exports
-          FROM trh WHERE year <> 1995 GROUP BY year, hour)""")
+    return _trade_net()
 
 
-# -- figure tables --------------------------------------------------------------------------------
+def q_trade_net_scenarios() -> str:
+    return _trade_net(True)
+
 
-SCENARIOS = "'AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'"
+# -- figure tables --------------------------------------------------------------------------------
 
 
 def _report_cte(unit: str, scen: bool = False) -> str:
@@ -578,7 +639,7 @@ def _investment_ctes(scen: bool) -> dict[str, str]:
         "fi": f"""SELECT {sk}year, tech, tech_order, {na_sum('investment')} AS investment FROM (
                     SELECT {sk}year, {ordered('t2')} AS tech, {order_of('t2')} AS tech_order, investment FROM (
                       SELECT {sk}year, CASE WHEN tech IN ('Storage-capacity') THEN 'Storage' ELSE tech END AS t2, investment
-                      FROM ci WHERE year <> 1995 {"AND scenario IN (" + SCENARIOS + ")" if scen else ""}))
+                      FROM ci WHERE year <> 1995))
                   WHERE tech IS NOT NULL GROUP BY {sk}year, tech, tech_order""",
     }
 
@@ -600,18 +661,18 @@ def q_fig_cumulative_investment() -> str:
 def q_fig_capacity_scenarios() -> str:
     return with_ctes(("lis", "report_tax"), f"""
         SELECT {ordered('tech')} AS tech, region, unit, year, value, scenario, {order_of('tech')} AS tech_order FROM r
-        WHERE scenario IN ({SCENARIOS}) AND region = 'NATION_1' AND (tech IS NULL OR tech NOT IN ('Peak Load'))
+        WHERE region = 'NATION_1' AND (tech IS NULL OR tech NOT IN ('Peak Load'))
           AND year IN (1997, 1999, 2001)""", {"r": _report_cte("gw", scen=True)})
 
 
 def q_fig_peak_load_scenarios() -> str:
     return with_ctes(("lis", "report_tax"), f"""
-        SELECT * FROM r WHERE scenario IN ({SCENARIOS}) AND region = 'NATION_1' AND tech = 'Peak Load'
+        SELECT * FROM r WHERE region = 'NATION_1' AND tech = 'Peak Load'
           AND year IN (1997, 1999, 2001)""", {"r": _report_cte("gw", scen=True)})
 
 
 def q_list_scenarios() -> str:
-    return with_ctes(("lis",), "SELECT DISTINCT scenario FROM lis")
+    return "SELECT DISTINCT c_mktsegment AS scenario FROM customer"
 
 
 def q_map_long_name() -> str:
@@ -625,7 +686,41 @@ def q_map_long_name() -> str:
         WHERE tech IS NOT NULL AND tech <> 'DROP' GROUP BY tech, year""")
 
 
+def _values(mapping: dict[str, str]) -> str:
+    return ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(mapping.items()))
+
+
+def q_class_code_capacity() -> str:
+    return with_ctes(("li", "cal_r"), f"""
+        SELECT tech, year, sum(level) AS capacity FROM (
+          SELECT t.tech, year, l_quantity AS level FROM li JOIN codes t ON l_partkey % {len(lookups.TECH_SET)} = t.i WHERE region IN (SELECT region FROM cal_r)
+          UNION ALL SELECT 'Storage-capacity', year, l_quantity FROM li WHERE l_returnflag = 'R' AND region IN (SELECT region FROM cal_r)
+          UNION ALL SELECT 'Storage-energy', year, l_quantity FROM li WHERE l_returnflag = 'A' AND region IN (SELECT region FROM cal_r))
+        GROUP BY tech, year""", {"codes": f"SELECT * FROM (VALUES {_values(lookups.TECH_SET)}) t(i, code, tech)"})
+
+
+def q_report_code_generation() -> str:
+    return with_ctes(("li",), f"""
+        SELECT n.tech, region, 'TWh' AS unit, year, sum(l_quantity) AS value
+        FROM li JOIN codes c ON l_partkey % {len(lookups.TYPE_TO_TECH)} = c.i JOIN codes n ON n.code = regexp_replace(c.code, '[0-9]+', '', 'g')
+        WHERE l_linestatus = 'O' GROUP BY n.tech, region, year""",
+                     {"codes": f"SELECT * FROM (VALUES {_values(lookups.TYPE_TO_TECH)}) t(i, code, tech)"})
+
+
+def q_long_label_value() -> str:
+    return with_ctes(("li",), f"""
+        SELECT tech, year, sum(l_quantity) AS value FROM li JOIN codes c ON l_partkey % {len(lookups.TECH_SUB)} = c.i
+        WHERE tech <> 'DROP' GROUP BY tech, year""", {"codes": f"SELECT * FROM (VALUES {_values(lookups.TECH_SUB)}) t(i, code, tech)"})
+
+
 QUERIES = {
+    "class_code_capacity": q_class_code_capacity,
+    "report_code_generation": q_report_code_generation,
+    "long_label_value": q_long_label_value,
+    "normalized_profile_scenarios": q_normalized_profile_scenarios,
+    "peak_capacity_factors_scenarios": q_peak_capacity_factors_scenarios,
+    "dispatch_deciles_scenarios": q_dispatch_deciles_scenarios,
+    "trade_net_scenarios": q_trade_net_scenarios,
     "ca_capacity": q_ca_capacity,
     "capacity_by_region": q_capacity_by_region,
     "capacity_dense": q_capacity_dense,
@@ -672,7 +767,7 @@ QUERIES = {
     "map_long_name": q_map_long_name,
 }
 
-# DOUBLE result columns per query (rounded on both sides; checked by tools/check_oracle.py).
+# DOUBLE result columns per query (exact DECIMAL sums become DOUBLE; checked by tools/check_oracle.py).
 DOUBLE_COLUMNS: dict[str, list[str]] = {
     "ca_capacity": ["capacity"],
     "capacity_by_region": ["capacity"],
@@ -717,4 +812,22 @@ DOUBLE_COLUMNS: dict[str, list[str]] = {
     "fig_capacity_scenarios": ["value"],
     "fig_peak_load_scenarios": ["value"],
     "map_long_name": ["value"],
+    "class_code_capacity": ["capacity"],
+    "report_code_generation": ["value"],
+    "long_label_value": ["value"],
+    "normalized_profile_scenarios": ["solar", "value"],
+    "peak_capacity_factors_scenarios": ["load", "net_load", "solar", "wind", "offshore_wind"],
+    "dispatch_deciles_scenarios": ["generation", "pct_gen"],
+    "trade_net_scenarios": ["imports", "exports", "net_imports"],
+}
+
+# Means and shares of inexact numbers, whose last digits depend on the order of addition.
+ROUNDED: dict[str, list[str]] = {
+    "normalized_profile": ["solar", "value"],
+    "peak_capacity_factors": ["solar", "wind", "offshore_wind"],
+    "monthly_comparison": ["Wind", "Solar"],
+    "dispatch_deciles": ["pct_gen"],
+    "normalized_profile_scenarios": ["solar", "value"],
+    "peak_capacity_factors_scenarios": ["solar", "wind", "offshore_wind"],
+    "dispatch_deciles_scenarios": ["pct_gen"],
 }

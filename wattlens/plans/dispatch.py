@@ -7,14 +7,16 @@ Windows are partitioned by (scenario, year, ...), i.e. at most one model year of
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import na_mean
+from ..functions.aggregates import na_mean, na_sum
 from ..functions.scalar import calendar_parts, hour_to_timestamp, ordered_tech, recode_if, tech_order
 from ..lookups import storage_label
 from ..operators.aggregate import scen_keys, sum_by
-from ..operators.expand import expand_to_hours
+from ..operators.expand import expand_to_hours, rep_hours
 from ..operators.filters import not_in_keep_null, subset_region
 from ..operators.lookup import apply_lookup
 from ..operators.partitioning import cluster_by_year
@@ -24,18 +26,24 @@ from .marts import with_tech
 from .params import Params
 
 
-def dispatch_by_segment(sym: SymbolSource, p: Params) -> DataFrame:
+#: Symbols of dispatch; only the last may be absent.
+DISPATCH_SYMBOLS = ("X", "G", "GD", "X_45V")
+
+
+def dispatch_by_segment(sym: SymbolSource, p: Params, symbols: Sequence[str] = DISPATCH_SYMBOLS) -> DataFrame:
     """tech, year, segment, level, hour: generator dispatch by technology (``X`` and the
-    optional ``X_45V``) plus storage charge and discharge, summed over the region set, fanned
-    out to the hours of each segment."""
-    cal = sym.get("cal_r")
-    gen = with_tech(subset_region(sym.optional_union(["X", "X_45V"]), cal), p)
-    parts = [sum_by(gen, ["tech", "year", "segment"], "level")]
-    for symbol, kind in (("G", "charge"), ("GD", "discharge")):
-        s = sum_by(subset_region(sym.get(symbol), cal), ["year", "segment"], "level")
-        parts.append(s.withColumn("tech", F.lit(storage_label(kind))))
-    seg = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    out = expand_to_hours(seg, sym.get("hrep"))
+    optional ``X_45V``) plus storage charge and discharge, summed over the region set in one
+    aggregate, fanned out to the hours of each segment. ``symbols`` limits the job to some."""
+    names = [n for n in symbols if n != "X_45V" or sym.available(n)]
+    rows = sym.stacked(names)
+    if {"X", "X_45V"} & set(names):
+        rows = with_tech(rows, p)
+    else:
+        rows = rows.withColumn("tech", F.lit(None).cast("string"))
+    rows = rows.withColumn("tech", F.when(F.col("symbol") == "G", storage_label("charge"))
+                           .when(F.col("symbol") == "GD", storage_label("discharge")).otherwise(F.col("tech")))
+    seg = sum_by(subset_region(rows, sym.get("cal_r")), ["tech", "year", "segment"], "level")
+    out = expand_to_hours(seg, rep_hours(sym))
     return out.select(*scen_keys(out), "tech", "year", "segment", "level", "hour")
 
 
@@ -48,7 +56,7 @@ def trade_by_segment(sym: SymbolSource, p: Params) -> DataFrame:
     e = apply_lookup(e, "region_imp", "area_imp", areas)
     e = e.drop("region_exp", "region_imp").withColumnsRenamed({"area_exp": "region_exp", "area_imp": "region_imp"})
     agg = sum_by(e, ["year", "segment", "region_exp", "region_imp"], "level", "trade_gw")
-    out = expand_to_hours(agg, sym.get("hrep"))
+    out = expand_to_hours(agg, rep_hours(sym))
     return out.select(*scen_keys(out), "year", "segment", "region_exp", "region_imp", "trade_gw", "hour")
 
 
@@ -69,7 +77,7 @@ def dispatch_clean(d: DataFrame, p: Params) -> DataFrame:
     """Dispatch for the figures: base year left out, excluded technologies and charging
     removed, calendar parts added, ``tech`` as ordered category (NULL when unlisted) plus its
     position ``tech_order``."""
-    d = _generation_rows(cluster_by_year(d.where(F.col("year") != p.base_year)), p)
+    d = _generation_rows(d.where(F.col("year") != p.base_year), p)
     d = _calendar(d)
     return d.withColumns({"tech_order": tech_order("tech", p.tech_order),
                           "tech": ordered_tech("tech", p.tech_order)})
@@ -108,12 +116,12 @@ def dispatch_deciles(d: DataFrame, p: Params) -> DataFrame:
 
 def trade_net(t: DataFrame, p: Params) -> DataFrame:
     """year, hour, imports, exports, net_imports of the home area (flows inside the area and
-    between other areas ignored); base year left out."""
+    between other areas ignored; a missing flow makes its sum missing); base year left out."""
     home = p.home_area
     imp = (F.col("region_imp") == home) & (F.col("region_exp") != home)
     exp = (F.col("region_exp") == home) & (F.col("region_imp") != home)
     keys = scen_keys(t) + ["year", "hour"]
     g = (t.where(F.col("year") != p.base_year).groupBy(*keys)
-         .agg(F.sum(F.when(imp, F.col("trade_gw")).otherwise(F.lit(0.0))).alias("imports"),
-              F.sum(F.when(exp, F.col("trade_gw")).otherwise(F.lit(0.0))).alias("exports")))
+         .agg(na_sum(F.when(imp, F.col("trade_gw")).otherwise(F.lit(0))).alias("imports"),
+              na_sum(F.when(exp, F.col("trade_gw")).otherwise(F.lit(0))).alias("exports")))
     return g.withColumn("net_imports", F.col("imports") - F.col("exports"))

@@ -73,8 +73,8 @@ def fig_peak_load_scenarios(sym: SymbolSource, p: Params) -> DataFrame:
     return c.where((F.col("tech") == "Peak Load") & F.col("year").isin(p.comparison_years))
 
 
-def list_scenarios(sym: SymbolSource, symbol: str = "IX") -> DataFrame:
-    return sym.get(symbol).select("scenario").distinct()
+def list_scenarios(sym: SymbolSource) -> DataFrame:
+    return sym.scenarios()
 
 
 def map_long_name(labels: DataFrame, p: Params) -> DataFrame:

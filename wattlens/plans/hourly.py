@@ -20,9 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import floor0, na_mean, weighted_mean_fallback
+from ..functions.aggregates import floor0, mean, na_mean, weighted_mean_fallback
 from ..functions.scalar import calendar_parts, hour_to_timestamp
 from ..operators.aggregate import scen_keys, sum_by
+from ..operators.expand import rep_hours
 from ..operators.filters import subset_data, subset_region
 from ..operators.partitioning import cluster_by_year
 from ..operators.reshape import separate
@@ -32,11 +33,6 @@ from .marts import with_tech
 from .params import Params
 
 
-def rep_hours(sym: SymbolSource) -> DataFrame:
-    """Hour -> segment map (year, hour, segment), duplicate rows removed."""
-    return sym.get("hrep").dropDuplicates()
-
-
 # Scenario-specific inputs of the hourly marts (the hour map, loads and availability factors are
 # usually shared by all scenarios).
 SCENARIO_SOURCES = ("XC", "dspsrpt_r")
@@ -90,7 +86,7 @@ def ca_loads(sym: SymbolSource, p: Params) -> DataFrame:
     df = _join(hour_map(sym), load_hour(sym, p), ["year", "hour"], how)
     df = _join(df, load_segment(sym, p), ["year", "segment"], how)
     df = _join(df, hydrogen_load(sym, p), ["year", "segment"], how)
-    z = (lambda c: F.coalesce(F.col(c), F.lit(0.0))) if p.dense else F.col
+    z = (lambda c: F.coalesce(F.col(c), F.lit(0))) if p.dense else F.col
     return df.select(*scen_keys(df), "year", "hour", "segment", z("load_h").alias("load_hour"),
                      z("load_s").alias("load_segment"), z("hydrogen_load").alias("hydrogen_load"))
 
@@ -112,7 +108,7 @@ def _af_sparse(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
     keys = scen_keys(df) + ["tech", "year", slot]
     agg = (df.groupBy(*keys)
            .agg(F.sum(F.col("capacity") * F.col("value")).alias("generation"),
-                F.sum("capacity").alias("capacity"), F.avg("value").alias("af_base")))
+                F.sum("capacity").alias("capacity"), mean("value").alias("af_base")))
     return agg.select(*keys, "generation", "capacity",
                       weighted_mean_fallback("generation", "capacity", "af_base").alias("af"))
 
@@ -125,8 +121,9 @@ def _tech_spine(spine: DataFrame, techs: Sequence[str]) -> DataFrame:
 def _keep_observed(df: DataFrame, *markers: str) -> DataFrame:
     """Keep the technologies that matched at least one row of every marked aggregate (a
     group-by over a plain text key only emits observed values). ``markers`` are columns that
-    are non-NULL where the left join found a row. One window per (scenario, tech): the
-    aggregates are computed once and not re-scanned for their distinct technologies."""
+    are non-NULL where the left join found a row. One window per (scenario, tech), over the hours
+    of all model years (61,320 for seven): asking the aggregates instead would compute them, and
+    so scan the availability factors, a second time."""
     w = Window.partitionBy(*scen_keys(df), "tech")
     cond = None
     for m in markers:
@@ -145,8 +142,8 @@ def _af(sym: SymbolSource, p: Params, slot: str) -> DataFrame:
                ["tech", "year", slot], "left")
     df = _keep_observed(df, "_hit")
     return df.select(*scen_keys(df), "tech", "year", slot,
-                     F.coalesce("generation", F.lit(0.0)).alias("generation"),
-                     F.coalesce("capacity", F.lit(0.0)).alias("capacity"), "af")
+                     F.coalesce("generation", F.lit(0)).alias("generation"),
+                     F.coalesce("capacity", F.lit(0)).alias("capacity"), "af")
 
 
 def af_hour(sym: SymbolSource, p: Params) -> DataFrame:
@@ -184,7 +181,7 @@ def ca_hourly_mapping(sym: SymbolSource, p: Params) -> DataFrame:
     df = _join(df, load_hour(sym, p), ["year", "hour"], how)
     df = _join(df, load_segment(sym, p), ["year", "segment"], how)
     df = _join(df, hydrogen_load(sym, p), ["year", "segment"], how)
-    z = (lambda c: F.coalesce(F.col(c), F.lit(0.0))) if p.dense else F.col
+    z = (lambda c: F.coalesce(F.col(c), F.lit(0))) if p.dense else F.col
     return df.select(*scen_keys(df), "tech", "year", "hour", z("generation_h").alias("generation_h"),
                      z("capacity").alias("capacity"), F.coalesce("af_h", F.lit(0.0)).alias("af_h"),
                      "segment", z("generation_s").alias("generation_s"),
@@ -243,7 +240,7 @@ def net_load_hourly(mapping: DataFrame, p: Params) -> DataFrame:
     long = wide.select(*keys, "load", "net_load", F.inline(rows))
     long = long.select(*keys, "load", "type", *[F.col(f"`{t}`") for t in techs], "net_load")
     part = scen_keys(long) + ["year", "type"]
-    return long.withColumn("order_id", avg_rank("net_load", part, tie_break=["hour", "segment"]))
+    return long.withColumn("order_id", avg_rank("net_load", part, tie_break=["hour", "segment"], nullable=not p.dense))
 
 
 def normalized_profile(net: DataFrame, p: Params) -> DataFrame:

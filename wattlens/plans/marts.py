@@ -11,10 +11,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import mean
 from ..functions.scalar import current_dollars, strip_digits, tech_prefix
 from ..lookups import storage_label
 from ..operators.aggregate import dense_over_values, partial_rollup, scen_keys, sum_by
-from ..operators.filters import drop_null_keys, subset_region
+from ..operators.filters import drop_null_keys, flag_region, subset_region
 from ..operators.lookup import apply_lookup
 from ..operators.reshape import pivot_values
 from ..sources.symbols import SymbolSource
@@ -26,13 +27,15 @@ def with_tech(df: DataFrame, p: Params) -> DataFrame:
     return apply_lookup(df, tech_prefix("tech_class"), "tech", p.class_taxonomy)
 
 
-def _storage(sym: SymbolSource, symbol: str, kind: str, measure: str, keys=("region", "year"),
-             drop_year: int | None = None) -> DataFrame:
-    df = sym.get(symbol)
+def _plants_and_storage(sym: SymbolSource, p: Params, plants: str, power: str, energy: str, measure: str,
+                        drop_year: int | None = None) -> DataFrame:
+    """One aggregate over three symbols stacked: plants by technology, and the two storage totals."""
+    rows = with_tech(sym.stacked([plants, power, energy]), p)
+    rows = rows.withColumn("tech", F.when(F.col("symbol") == power, storage_label("capacity"))
+                           .when(F.col("symbol") == energy, storage_label("energy")).otherwise(F.col("tech")))
     if drop_year is not None:
-        df = df.where(F.col("year") != drop_year)
-    agg = sum_by(df, list(keys), "level", measure)
-    return agg.withColumn("tech", F.lit(storage_label(kind)))
+        rows = rows.where((F.col("symbol") == plants) | (F.col("year") != drop_year))
+    return sum_by(rows, ["tech", "region", "year"], "level", measure)
 
 
 # -- capacity --------------------------------------------------------------------------------------
@@ -40,10 +43,7 @@ def _storage(sym: SymbolSource, symbol: str, kind: str, measure: str, keys=("reg
 def capacity_by_region(sym: SymbolSource, p: Params) -> DataFrame:
     """tech, region, year, capacity: generator capacity by technology plus the two storage
     totals (power and energy)."""
-    gen = sum_by(with_tech(sym.get("XC"), p), ["tech", "region", "year"], "level", "capacity")
-    power = _storage(sym, "GC", "capacity", "capacity")
-    energy = _storage(sym, "GR", "energy", "capacity")
-    return gen.unionByName(power).unionByName(energy)
+    return _plants_and_storage(sym, p, "XC", "GC", "GR", "capacity")
 
 
 def ca_capacity(sym: SymbolSource, p: Params) -> DataFrame:
@@ -64,11 +64,7 @@ def capacity_dense(sym: SymbolSource, p: Params) -> DataFrame:
 def investment_by_region(sym: SymbolSource, p: Params) -> DataFrame:
     """tech, region, year, investment. Summing by class then by technology equals one sum by
     technology, so a single aggregate is used. Storage leaves out the base year."""
-    drop = p.base_year if p.drop_base_year else None
-    gen = sum_by(with_tech(sym.get("IX"), p), ["tech", "region", "year"], "level", "investment")
-    power = _storage(sym, "IGC", "capacity", "investment", drop_year=drop)
-    energy = _storage(sym, "IGR", "energy", "investment", drop_year=drop)
-    return gen.unionByName(power).unionByName(energy)
+    return _plants_and_storage(sym, p, "IX", "IGC", "IGR", "investment", p.base_year if p.drop_base_year else None)
 
 
 def ca_investment(sym: SymbolSource, p: Params) -> DataFrame:
@@ -79,46 +75,55 @@ def ca_investment(sym: SymbolSource, p: Params) -> DataFrame:
 # -- costs -----------------------------------------------------------------------------------------
 
 def _pivot(df: DataFrame, idx: list, column: str, labels: list | None, value: str) -> DataFrame:
-    """Mean pivot over explicit labels, or over the labels found in the data when None."""
+    """Mean pivot over explicit labels (a label outside them is an error), or over the labels found
+    in the data when None."""
     if labels is None:
-        return df.groupBy(*idx).pivot(column).agg(F.avg(value))
-    return pivot_values(df, idx, column, labels, value, agg=F.avg, names=[str(v) for v in labels])
+        return df.groupBy(*idx).pivot(column).agg(mean(value))
+    return pivot_values(df, idx, column, labels, value, names=[str(v) for v in labels])
 
 
-def _cost_wide(sym: SymbolSource, p: Params, symbol: str, rename_open: bool) -> DataFrame:
+def _cost_wide(sym: SymbolSource, p: Params, symbol: str) -> DataFrame:
     """Regional mean cost by (tech, vintage), deflated, one column per vintage; the base-year
-    vintage column is dropped. The mean is taken by the pivot itself (one aggregation)."""
+    vintage is left out. The mean is taken by the pivot itself (one aggregation)."""
     df = with_tech(subset_region(sym.get(symbol), sym.get("cal_r")), p)
     idx = scen_keys(df) + ["tech"]
-    df = drop_null_keys(df, idx + ["vintage"])
-    wide = _pivot(df, idx, "vintage", p.vintages, "value")
-    labels = [c for c in wide.columns if c not in idx]
-    wide = wide.select(*idx, *[current_dollars(c).alias(c) for c in labels])
-    wide = wide.drop(str(p.base_year))
-    if rename_open and p.open_vintage in wide.columns:
-        wide = wide.withColumnRenamed(p.open_vintage, str(p.last_year))
-    return wide
+    df = drop_null_keys(df, idx + ["vintage"]).where(F.col("vintage") != str(p.base_year))
+    labels = None if p.vintages is None else [v for v in p.vintages if v != str(p.base_year)]
+    wide = _pivot(df, idx, "vintage", labels, "value")
+    return wide.select(*idx, *[current_dollars(F.col(f"`{c}`"), p.deflator).alias(c) for c in wide.columns if c not in idx])
 
 
 def capcosts_wide(sym: SymbolSource, p: Params) -> DataFrame:
     """tech, <vintage...>: capital costs, plus the storage power/energy rows (all regions, by
-    year); year columns missing from the generator part are appended at the end."""
-    gen = _cost_wide(sym, p, "capcost", rename_open=True)
-    parts = []
-    for symbol, label in (("icg", "power"), ("irg", "energy")):
-        s = sym.get(symbol).where(F.col("tech_class") == p.storage_class)
-        if p.storage_cost_region_filter:
-            s = subset_region(s, sym.get("cal_r"))
-        parts.append(s.withColumn("tech", F.lit(f"{p.storage_class}-{label}")))
-    storage = parts[0].unionByName(parts[1])
-    storage = storage.withColumn("capcost", current_dollars("value"))
-    idx = scen_keys(storage) + ["tech"]
-    storage_wide = _pivot(storage, idx, "year", p.pivot_years, "capcost")
-    return gen.unionByName(storage_wide, allowMissingColumns=True)
+    year); year columns that only storage has come last. One pass and one pivot: vintages (the
+    open one under the last year's name) and years are the same labels."""
+    rows = with_tech(sym.stacked(["capcost", "icg", "irg"]), p)
+    plant = F.col("symbol") == "capcost"
+    rows = flag_region(rows, sym.get("cal_r"), "__in")
+    storage = F.col("tech_class") == p.storage_class
+    if p.storage_cost_region_filter:
+        storage = storage & F.col("__in")
+    rows = rows.where(F.when(plant, F.col("__in") & (F.col("vintage") != str(p.base_year))).otherwise(storage))
+    label = (F.when(~plant, F.col("year").cast("string"))
+             .when(F.col("vintage") == p.open_vintage, str(p.last_year)).otherwise(F.col("vintage")))
+    name = (F.when(F.col("symbol") == "icg", f"{p.storage_class}-power")
+            .when(F.col("symbol") == "irg", f"{p.storage_class}-energy").otherwise(F.col("tech")))
+    idx = scen_keys(rows) + ["tech"]
+    rows = drop_null_keys(rows.withColumns({"tech": name, "label": label}), idx + ["label"])
+    if p.vintages is None or p.pivot_years is None:
+        # the labels present: a small job over the cost symbols' keys
+        found = rows.select(plant.alias("plant"), "label").distinct().collect()
+        own = sorted({r.label for r in found if r.plant})
+        labels = own + sorted({r.label for r in found} - set(own))
+    else:
+        own = [str(p.last_year) if v == p.open_vintage else v for v in p.vintages if v != str(p.base_year)]
+        labels = own + [str(y) for y in p.pivot_years if str(y) not in own]
+    wide = pivot_values(rows, idx, "label", labels, "value")
+    return wide.select(*idx, *[current_dollars(F.col(f"`{c}`"), p.deflator).alias(c) for c in labels])
 
 
 def fom_costs_wide(sym: SymbolSource, p: Params) -> DataFrame:
-    return _cost_wide(sym, p, "fomcost", rename_open=False)
+    return _cost_wide(sym, p, "fomcost")
 
 
 def marginal_costs(sym: SymbolSource, p: Params) -> DataFrame:
@@ -126,7 +131,7 @@ def marginal_costs(sym: SymbolSource, p: Params) -> DataFrame:
     df = with_tech(subset_region(sym.get("icost"), sym.get("cal_r")), p)
     keys = scen_keys(df) + ["tech", "vintage"]
     return (drop_null_keys(df, keys).groupBy(*keys)
-            .agg(current_dollars(F.avg("value")).alias("marginal_cost")))
+            .agg(current_dollars(mean("value"), p.deflator).alias("marginal_cost")))
 
 
 # -- emissions -------------------------------------------------------------------------------------

@@ -36,24 +36,28 @@ MART_JOBS = {
 
 
 def build_marts(sym: SymbolSource, p: Params, out_root: str, names=None, fmt: str = "parquet") -> list[str]:
-    """Write the marts (all, or ``names``) under ``out_root/<mart>``; returns the paths."""
+    """Write the marts (all, or ``names``) under ``out_root/<mart>``; returns the paths. A source
+    limited to some scenarios rewrites those only."""
     paths = []
     for name in (names or MART_JOBS):
         path = os.path.join(out_root, name)
-        write_mart(MART_JOBS[name](sym, p), path, fmt=fmt)
+        write_mart(MART_JOBS[name](sym, p), path, fmt=fmt, scenarios=getattr(sym, "selected", None))
         paths.append(path)
     return paths
 
 
+#: Order of the rows in written statistics.
+STATISTICS_ORDER = {"capacity_factors_top_25": ["type", "year"]}
+
+
 def write_statistics(spark: SparkSession, mart_root: str, p: Params, out_root: str,
                      fmt: str = "parquet") -> list[str]:
-    """Compute the statistics from written marts and write each one (e.g. the peak-hour
-    capacity factors table, ordered by type as in the original output)."""
+    """Compute the statistics from written marts and write each one (the peak-hour capacity
+    factors in one order by type and year, as in the original output)."""
     paths = []
     for name, df in statistics(spark, mart_root, p, fmt=fmt).items():
         path = os.path.join(out_root, name)
-        order = ["type", "year"] if name == "capacity_factors_top_25" else None
-        write_mart(df, path, fmt=fmt, order_by=order)
+        write_mart(df, path, fmt=fmt, order_by=STATISTICS_ORDER.get(name))
         paths.append(path)
     return paths
 
@@ -61,7 +65,7 @@ def write_statistics(spark: SparkSession, mart_root: str, p: Params, out_root: s
 def statistics(spark: SparkSession, mart_root: str, p: Params, fmt: str = "parquet") -> dict[str, DataFrame]:
     """Statistics jobs over written marts (lazy DataFrames)."""
     def m(name):
-        return read_mart(spark, os.path.join(mart_root, name), fmt=fmt)
+        return read_mart(spark, os.path.join(mart_root, name), name, fmt=fmt)
 
     mapping = m("ca_hourly_mapping")
     net = hourly.net_load_hourly(mapping, p)

@@ -2,7 +2,7 @@
 
 Each symbol is stored as its own Parquet table (``<root>/<symbol>/scenario=<name>/...``) so a
 job reads exactly the symbols it needs, pruned to its columns and scenarios. The registry fixes
-the canonical column names and types, so no read infers a schema.
+the canonical column names and types; marts are read back with typed schemas.
 """
 
 from __future__ import annotations
@@ -78,20 +78,36 @@ SYMBOLS = {s.name: s for s in [
     _sym("vrsc_100", "parameter", _TVRY + [("segment", S), ("value", D)], {"uni": "tech_class"}),
 ]}
 
-# Marts: canonical output layouts (wide cost/emission marts have one column per label and are
-# not listed).
+# Marts: canonical output layouts. Wide marts list their keys; the label columns that follow are DOUBLE.
+_MAPPING = [("tech", S), ("year", I), ("hour", I), ("generation_h", D), ("capacity", D), ("af_h", D), ("segment", S),
+            ("generation_s", D), ("af_s", D), ("load_h", D), ("load_s", D), ("hydrogen_load", D)]
+_REPORT = [("tech", S), ("region", S), ("unit", S), ("year", I), ("value", D)]
 MARTS = {
-    "capacity_by_region_gw": ["tech", "region", "year", "capacity"],
-    "ca_capacity": ["tech", "year", "capacity"],
-    "investment_by_region_gw": ["tech", "region", "year", "investment"],
-    "ca_investment": ["tech", "year", "investment"],
-    "marginal_costs_usd2024": ["tech", "vintage", "marginal_cost"],
-    "ca_loads": ["year", "hour", "segment", "load_hour", "load_segment", "hydrogen_load"],
-    "ca_hourly_mapping": ["tech", "year", "hour", "generation_h", "capacity", "af_h", "segment",
-                          "generation_s", "af_s", "load_h", "load_s", "hydrogen_load"],
-    "generation_twh": ["tech", "region", "unit", "year", "value"],
-    "capacity_gw": ["tech", "region", "unit", "year", "value"],
-    "dispatch_by_segment_gwh": ["tech", "year", "segment", "level", "hour"],
-    "trade_gw": ["year", "segment", "region_exp", "region_imp", "trade_gw", "hour"],
-    "capacity_factors_top_25": ["year", "type", "load", "net_load", "solar", "wind", "offshore_wind"],
+    "capacity_by_region_gw": [("tech", S), ("region", S), ("year", I), ("capacity", D)],
+    "ca_capacity": [("tech", S), ("year", I), ("capacity", D)],
+    "investment_by_region_gw": [("tech", S), ("region", S), ("year", I), ("investment", D)],
+    "ca_investment": [("tech", S), ("year", I), ("investment", D)],
+    "marginal_costs_usd2024": [("tech", S), ("vintage", S), ("marginal_cost", D)],
+    "ca_loads": [("year", I), ("hour", I), ("segment", S), ("load_hour", D), ("load_segment", D), ("hydrogen_load", D)],
+    "ca_hourly_mapping": _MAPPING,
+    "generation_twh": _REPORT,
+    "capacity_gw": _REPORT,
+    "dispatch_by_segment_gwh": [("tech", S), ("year", I), ("segment", S), ("level", D), ("hour", I)],
+    "trade_gw": [("year", I), ("segment", S), ("region_exp", S), ("region_imp", S), ("trade_gw", D), ("hour", I)],
+    "capacity_factors_top_25": [("year", I), ("type", S), ("load", D), ("net_load", D), ("solar", D), ("wind", D),
+                                ("offshore_wind", D)],
 }
+WIDE_MARTS = {
+    "capcosts_usd2024": [("tech", S)],
+    "fom_costs_usd2024": [("tech", S)],
+    "regional_emissions_mtco2": [("region", S)],
+}
+
+
+def mart_schema(name: str, columns: list[str]) -> StructType:
+    """Types of a stored mart's columns, in their order there."""
+    keys = dict(MARTS.get(name) or WIDE_MARTS[name]) | {"scenario": S}
+    unknown = [c for c in columns if c not in keys] if name in MARTS else []
+    if unknown:
+        raise ValueError(f"mart {name!r} has unknown columns {unknown}")
+    return StructType([StructField(c, keys.get(c, D), True) for c in columns])

@@ -33,19 +33,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The folder configured on the session wins; only when none is configured (local tests) a
-    scratch folder is created so that ``DataFrame.checkpoint()`` works.
+    The folder configured on the session wins. Only in local mode (tests) a scratch folder is
+    made where none is configured; on a cluster that is an error, as executors don't share it.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         # core setting, not settable on a running session: set the context's folder instead
         current = tempfile.mkdtemp(prefix="wattlens-ckpt-")
     if not sc.getCheckpointDir():

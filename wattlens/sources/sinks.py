@@ -2,24 +2,46 @@
 
 Marts are written per scenario (``partitionBy('scenario')`` with dynamic partition overwrite, so
 rewriting one scenario leaves the others in place), as Parquet by default or as CSV with a
-header. Reading a mart back uses an explicit schema: no inference job, stable types.
+header. A mart is read back with its typed schema from the registry, from either format.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+from ..schemas import mart_schema
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Exact DECIMAL sums as the DOUBLE that marts hold."""
+    return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
 
 
-def write_mart(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-               order_by: list[str] | None = None, global_order: bool = False) -> None:
-    """Write a mart. ``order_by`` gives key-ordered output files: rows are sorted within each
-    task (no extra shuffle); ``global_order`` instead range-partitions for one total order
-    across files (an extra shuffle, only worth it for small marts read by people)."""
+def _drop_partitions(spark: SparkSession, path: str, scenarios: Sequence[str]) -> None:
+    for name in scenarios:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"scenario={name}"))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_mart(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", order_by: list[str] | None = None,
+               scenarios: Sequence[str] | None = None) -> None:
+    """Write a mart. ``order_by`` gives one total order across the files by name (a range exchange: for
+    small marts that people read). ``scenarios`` names the scenarios that are being rebuilt: their old
+    rows go first, so one that has no rows any more doesn't keep them."""
+    df = plain(df)
+    partitioned = "scenario" in df.columns
     if order_by:
-        df = df.orderBy(*order_by) if global_order else df.sortWithinPartitions(*order_by)
-    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    if "scenario" in df.columns:
+        df = df.orderBy(*(["scenario"] if partitioned else []), *order_by)
+    if partitioned and scenarios and mode == "overwrite":
+        _drop_partitions(df.sparkSession, path, scenarios)
+    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic" if scenarios else "static")
+    if partitioned:
         w = w.partitionBy("scenario")
     if fmt == "csv":
         w.option("header", True).csv(path)
@@ -27,11 +49,10 @@ def write_mart(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
         w.format(fmt).save(path)
 
 
-def read_mart(spark: SparkSession, path: str, schema: StructType | None = None,
-              fmt: str = "parquet") -> DataFrame:
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    if fmt == "csv":
-        return r.option("header", True).csv(path)
-    return r.format(fmt).load(path)
+def read_mart(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
+    """A stored mart with the registry's types (partition names and CSV fields are text otherwise)."""
+    if fmt != "csv":
+        df = spark.read.format(fmt).load(path)
+        return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in mart_schema(name, df.columns)])
+    columns = spark.read.option("header", True).csv(path).columns  # reads a header line only
+    return spark.read.option("header", True).option("enforceSchema", False).schema(mart_schema(name, columns)).csv(path)

@@ -1,7 +1,7 @@
 """Scans of the model's result symbols.
 
 A *symbol source* hands out one DataFrame per symbol, already in canonical form (canonical key
-names, the measure column, attributes dropped). Jobs only ever call ``get``/``optional_union``,
+names, the measure column, attributes dropped). Jobs only ever call ``get``/``stacked``,
 so the same job runs against stored Parquet symbol tables (``ParquetSymbols``) or against any
 other binding (``sources.driver``).
 """
@@ -11,9 +11,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType
 
 from ..schemas import DROPPED_ATTRIBUTES, SYMBOLS, Symbol
 
@@ -30,10 +31,19 @@ def rename_domains(df: DataFrame, mapping: dict) -> DataFrame:
 
 def canonicalize(df: DataFrame, symbol: Symbol) -> DataFrame:
     """Raw symbol records -> canonical layout: rename domains, drop attributes, keep the registry
-    columns (plus ``scenario``) with the registry types."""
+    columns (plus ``scenario``) with the registry types. A DECIMAL measure stays DECIMAL, so that
+    sums of it are exact."""
     df = rename_domains(df, symbol.renames())
     df = df.drop(*[c for c in DROPPED_ATTRIBUTES if c in df.columns])
-    cols = [F.col(n).cast(t).alias(n) for n, t in symbol.columns]
+    missing = [n for n, _ in symbol.columns if n not in df.columns]
+    if missing:
+        raise SymbolMissing(f"symbol {symbol.name!r} has no column {missing} (found: {df.columns})")
+
+    def typed(name: str, type_: DataType) -> Column:
+        exact = name == symbol.measure and isinstance(df.schema[name].dataType, DecimalType)
+        return F.col(name) if exact else F.col(name).cast(type_).alias(name)
+
+    cols = [typed(n, t) for n, t in symbol.columns]
     if "scenario" in df.columns:
         cols.append(F.col("scenario"))
     return df.select(*cols)
@@ -63,17 +73,22 @@ class SymbolSource:
             return empty_symbol(self.spark, SYMBOLS[name], self.with_scenario)
         return df
 
-    def optional_union(self, names: Sequence[str]) -> DataFrame:
-        """Stack symbols with the same layout; absent ones are skipped (``X`` ∪ ``X_45V``)."""
-        frames = [self._load(n) for n in names]
-        frames = [f for f in frames if f is not None]
-        if not frames:
-            return self.get(names[0], required=False)
+    def stacked(self, names: Sequence[str]) -> DataFrame:
+        """Several symbols as one table: a ``symbol`` column and the union of their columns (NULL where
+        a symbol has none). Sources whose symbols share a base override this with one pass over it."""
+        frames = [self.get(n).withColumn("symbol", F.lit(n)) for n in names]
         out = frames[0]
         for f in frames[1:]:
-            out = out.unionByName(f)
+            out = out.unionByName(f, allowMissingColumns=True)
         return out
 
+    def available(self, name: str) -> bool:
+        return self._load(name) is not None
+
+    def scenarios(self) -> DataFrame:
+        """Distinct scenario names (for stored symbols the partition values of one small symbol)."""
+        return self.get("IX").select("scenario").distinct()
+
     def override(self, **builders: Callable[[], DataFrame]) -> "SymbolSource":
         return _Overridden(self, builders)
 
@@ -88,17 +103,24 @@ class _Overridden(SymbolSource):
             return self.builders[name]()
         return self.base._load(name)
 
+    def stacked(self, names):
+        return super().stacked(names) if set(names) & set(self.builders) else self.base.stacked(names)
+
+    def scenarios(self):
+        return self.base.scenarios()
+
 
 class ParquetSymbols(SymbolSource):
     """Symbols stored as ``<root>/<symbol>/scenario=<s>/*.parquet``.
 
-    The registry schema is given to the reader (no inference, no footer sampling job) and the
-    scenario list becomes a partition filter, so only the requested scenario folders are read.
+    The scenario list becomes a partition filter, so only the requested scenario folders are
+    read. Column names are those of the files (raw or canonical); types become the registry's. A
+    symbol without a folder is absent; anything else that can't be read is an error.
     """
 
     def __init__(self, spark: SparkSession, root: str, scenarios: Iterable[str] | None = None):
         self.spark, self.root = spark, root
-        self.scenarios = list(scenarios) if scenarios is not None else None
+        self.selected = list(scenarios) if scenarios is not None else None
         self.with_scenario = True
         self._memo: dict[str, DataFrame | None] = {}
 
@@ -115,12 +137,19 @@ class ParquetSymbols(SymbolSource):
             return None
         try:
             df = self.spark.read.parquet(self.path(name))
-        except AnalysisException:  # no such folder: the symbol is absent from these results
-            return None
-        if self.scenarios is not None and "scenario" in df.columns:
-            df = df.where(F.col("scenario").isin(self.scenarios))
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        if self.selected is not None and "scenario" in df.columns:
+            df = df.where(F.col("scenario").isin(self.selected))
         return canonicalize(df, SYMBOLS[name])
 
+    def get(self, name: str, required: bool = True) -> DataFrame:
+        if required and self._load(name) is None:
+            raise SymbolMissing(f"symbol {name!r} is missing: there is no folder {self.path(name)}")
+        return super().get(name, required)
+
 
 class FrameSymbols(SymbolSource):
     """Symbols given as DataFrames in raw or canonical form (tests, notebooks, other readers)."""
@@ -134,11 +163,14 @@ class FrameSymbols(SymbolSource):
         return None if df is None else canonicalize(df, SYMBOLS[name])
 
 
-def scan_multi_file(spark: SparkSession, paths: Sequence[str], symbol: str) -> DataFrame:
-    """Several files of one symbol (e.g. one hour map per model year) read as one table."""
-    return canonicalize(spark.read.parquet(*paths), SYMBOLS[symbol])
+def stack_parts(parts: Sequence[DataFrame], symbol: str) -> DataFrame:
+    """Parts of one symbol (e.g. one hour map per model year) as one table."""
+    out = canonicalize(parts[0], SYMBOLS[symbol])
+    for part in parts[1:]:
+        out = out.unionByName(canonicalize(part, SYMBOLS[symbol]))
+    return out
 
 
-def list_scenarios(df: DataFrame) -> DataFrame:
-    """Distinct scenario names of a scenario-partitioned table."""
-    return df.select("scenario").distinct()
+def scan_multi_file(spark: SparkSession, paths: Sequence[str], symbol: str) -> DataFrame:
+    """Several files of one symbol read as one table; each may have raw or canonical names."""
+    return stack_parts([spark.read.parquet(path) for path in paths], symbol)
