@@ -36,7 +36,7 @@ from . import _text
 
 WINDOW = 50
 #: Bytes of text in a part: what one task holds of a table at a time.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Small inputs still use this many parts.
 MIN_PARTS = 12
 
@@ -107,6 +107,25 @@ def refine(load, n: int, depth: int, rank: np.ndarray | None = None) -> np.ndarr
     return rank
 
 
+def _pack48(h: np.ndarray) -> bytes:
+    """The upper 48 bits of hashes. A chance match only lets a string travel in vain."""
+    return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack48(blobs: list[bytes]) -> list[np.ndarray]:
+    out = []
+    for b in blobs:
+        wide = np.zeros((len(b) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+        out.append(wide.view("<u8")[:, 0])
+    return out
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """What names a minimiser within a part or a bucket: 32 bits of its hash."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def _blob(values: np.ndarray, kind: Any) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
@@ -170,7 +189,7 @@ class Repeats:
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(self.parts + 1))
         part = table.column(_PART)[0].as_py()
-        rows = [(b, part, _blob(h[x[~several[x]]], np.uint64), _blob(h[x[several[x]]], np.uint64))
+        rows = [(b, part, _pack48(h[x[~several[x]]]), _pack48(h[x[several[x]]]))
                 for b in range(self.parts) if len(x := order[edge[b]:edge[b + 1]])]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()),
                          "one": pa.array([r[2] for r in rows], pa.binary()), "several": pa.array([r[3] for r in rows], pa.binary())})
@@ -178,7 +197,7 @@ class Repeats:
     # 2
     def shared(self, table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
-        one, several = _blobs(table.column("one"), np.uint64), _blobs(table.column("several"), np.uint64)
+        one, several = (_unpack48(table.column(c).to_pylist()) for c in ("one", "several"))
         h = _cat(one + several, np.uint64)
         owner = np.repeat(np.concatenate([part, part]), [len(x) for x in one + several])
         surely = np.arange(len(h)) >= sum(map(len, one))
@@ -191,7 +210,7 @@ class Repeats:
         order = np.argsort(owner, kind="stable")
         h, owner = h[order], owner[order]
         head, tail = _groups(owner)
-        return self._to_parts([(int(owner[a]), _blob(np.sort(h[a:b]), np.uint64), None, None)
+        return self._to_parts([(int(owner[a]), _blob(np.unique(h[a:b] >> np.uint64(16)), np.uint32), None, None)
                                for a, b in zip(head, tail, strict=True)])
 
     @staticmethod
@@ -201,7 +220,7 @@ class Repeats:
 
     def _pieces(self, table: pa.Table, news: pa.Table):
         """The part's rows by id, its distinct strings with shared minimisers, and where they stand."""
-        anchors = np.unique(_cat(_blobs(pc.drop_null(news.column("anchors")), np.uint64), np.uint64))
+        anchors = np.unique(_cat(_blobs(pc.drop_null(news.column("anchors")), np.uint32), np.uint32))
         table = table.take(pc.sort_indices(table, [(self.id_col, "ascending"), (self.text_col, "ascending")]))
         number: dict[bytes, int] = {}
         anchor, smallest, found, base = [], [], [], 0
@@ -209,8 +228,9 @@ class Repeats:
             if len(anchors):
                 s = self.supermers(*_text.utf8(t.column(self.text_col)))
                 ids, known = _ids(t, self.id_col)
-                at = np.minimum(np.searchsorted(anchors, s.anchor), len(anchors) - 1)
-                x = np.flatnonzero((anchors[at] == s.anchor) & known[s.row])
+                own = _short(s.anchor)
+                at = np.minimum(np.searchsorted(anchors, own), len(anchors) - 1)
+                x = np.flatnonzero((anchors[at] == own) & known[s.row])
                 data, piece = s.text.tobytes(), np.empty(len(x), np.int64)
                 for j, (a, b, h, i) in enumerate(zip(s.start[x].tolist(), s.end[x].tolist(), s.anchor[x].tolist(), ids[s.row[x]].tolist(), strict=True)):
                     piece[j] = k = number.setdefault(data[a:b], len(number))
@@ -237,7 +257,7 @@ class Repeats:
             for b in range(self.parts):
                 if len(x := order[edge[b]:edge[b + 1]]):
                     own = [pieces[k] for k in x]
-                    rows.append((b, part, _blob(x, np.uint32), _blob(smallest[x], np.int64), _blob(anchor[x] >> np.uint64(32), np.uint32),
+                    rows.append((b, part, _blob(x, np.uint32), _blob(smallest[x], np.int64), _blob(_short(anchor[x]), np.uint32),
                                  _blob(np.fromiter(map(len, own), np.int64, len(own)), np.uint32), pack.compress(b"".join(own))))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()),
                          **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("pieces", "ids", "anchors", "lengths", "data"), 2)}})
