@@ -34,8 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents with smaller ids have; those of which nothing is left go."""
-    rows = suffix_dedup.dedup(docs).where("n_removed = 0 OR n_removed < n_bytes")
-    return suffix_dedup.with_text(rows).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows = suffix_dedup.dedup(docs, as_text=True).where("n_removed = 0 OR n_removed < n_bytes")
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,3 +108,17 @@ def test_refine_ranks_strings():
     rank = _repeats.refine(lambda k, x: keys[x, k], 200, 5)
     rows = [tuple(k) for k in keys.tolist()]
     assert rank.tolist() == [sorted(rows).index(k) for k in rows]
+
+
+def test_text_is_left_without_cut_characters(docs):
+    # 25 two-byte characters shared at odd byte offsets: the window cuts none of them, but a window may end inside one
+    shared = "aé" * 30
+    rows = [(1, "x" + shared), (2, "ü" + shared + "ß"), (3, shared[1:] + "é")]
+    data = [(i, t.encode()) for i, t in rows]
+    for (i, b), gone, r in zip(data, cover(data), sorted(suffix_dedup.dedup(docs(rows), as_text=True).collect())):
+        left, at = "", 0
+        for ch in b.decode():
+            n = len(ch.encode())
+            left += ch if not gone & set(range(at, at + n)) else ""
+            at += n
+        assert (r.doc_id, r.text, r.n_removed) == (i, left, len(gone))

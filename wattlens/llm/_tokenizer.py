@@ -44,14 +44,24 @@ class Vocabulary:
         self.byte_ids = [0] * 256
         for ch, b in symbols.items():
             self.byte_ids[b] = self.ids[ch]
-        self.bytes_of = {s: bytes(symbols[ch] for ch in s) for s in self.ids if s not in self.special}
-        #: (left, right) -> (rank, merged)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(model["merges"]):
-            left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+        self._merges = model["merges"]
         self._split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    @functools.cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(left, right) -> (rank, merged)"""
+        out = {}
+        for rank, merge in enumerate(self._merges):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            out[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+        self._merges = []
+        return out
+
+    def ranks(self) -> dict[bytes, int]:
+        """The ids of all byte strings."""
+        symbols = byte_symbols()
+        return {bytes(symbols[ch] for ch in s): i for s, i in self.ids.items() if s not in self.special}
+
     def plain_parts(self, text: str) -> tuple[list[str], int]:
         """The text between special strings, and how many of these there are."""
         if self._split is None or not self._split.search(text):
@@ -86,5 +96,4 @@ def encoder(path: str):
     import tiktoken
 
     v = vocabulary(path)
-    ranks = {b: v.ids[s] for s, b in v.bytes_of.items()}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=v.special)
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=v.ranks(), special_tokens=v.special)

@@ -21,12 +21,9 @@ like an added one are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _repeats, _text
@@ -155,33 +152,45 @@ class Bytes(_repeats.Repeats):
         cls[order] = np.cumsum(new)
         return windows, cls
 
-    def cut(self, buf, offs, first):
+    def _gone(self, buf, first):
         mark = np.zeros(len(buf) + 1, np.int64)
         np.add.at(mark, first, 1)
         np.add.at(mark, first + WINDOW, -1)
-        gone = np.cumsum(mark[:-1]) > 0
+        return np.cumsum(mark[:-1]) > 0
+
+    def cut(self, buf, offs, first):
+        gone = self._gone(buf, first)
         n = len(offs) - 1
         a, b, row = _text.runs(gone, offs)
         spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()),
                                          pa.StructArray.from_arrays([pa.array(a - offs[row]), pa.array(b - offs[row])], ["start", "end"]))
         removed = _text.sum_between(gone, offs[:-1], offs[1:])
-        size = np.diff(offs)
-        kept = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size - removed)).astype(np.int64)), pa.py_buffer(buf[~gone])])
-        return [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), spans, kept.cast(pa.binary())]
+        return [pa.array(np.diff(offs), pa.int64()), pa.array(removed, pa.int64()), spans, self.left(buf, offs, gone)]
+
+    def left(self, buf, offs, gone):
+        return _column(buf, offs, ~gone, pa.large_binary()).cast(pa.binary())
+
+
+class Texts(Bytes):
+    """Leaves text: characters of which a byte is removed go whole."""
 
+    added = [*Bytes.added[:-1], ("text", T.StringType())]
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = _repeats.PART_BYTES) -> DataFrame:
-    """Replace the text by ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs of bytes) and ``kept`` (the remaining bytes)."""
-    return _repeats.run(docs, Bytes, id_col, text_col, part_bytes)
+    def left(self, buf, offs, gone):
+        character = np.cumsum((buf & 0xC0) != 0x80) - 1
+        cut = np.zeros(len(buf), bool)
+        cut[character[gone]] = True
+        return _column(buf, offs, ~cut[character], pa.large_string()).cast(pa.string())
 
 
-def with_text(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Put the kept bytes back as text. Characters of which a part was removed go whole."""
-    schema = T.StructType([*(f for f in rows.schema if f.name not in ("kept", text_col)), T.StructField(text_col, T.StringType(), False)])
+def _column(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray, type_: pa.DataType) -> pa.Array:
+    """The kept bytes of every row."""
+    size = _text.sum_between(keep, offs[:-1], offs[1:])
+    return pa.Array.from_buffers(type_, len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(buf[keep])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _text.slices(batches, "kept"):
-            texts = [(b.as_py() or b"").decode("utf-8", "ignore") for b in part.column("kept")]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in schema.names[:-1]), pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.select(*(F.col(f"`{c}`") for c in [*schema.names[:-1], "kept"])).mapInArrow(run, schema)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = _repeats.PART_BYTES, as_text: bool = False) -> DataFrame:
+    """Replace the text by ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs of bytes) and ``kept`` (the remaining
+    bytes). With ``as_text`` the remaining text stays in the text column instead, without characters cut in part."""
+    rows = _repeats.run(docs, Texts if as_text else Bytes, id_col, text_col, part_bytes)
+    return rows.withColumnRenamed("text", text_col) if as_text else rows
