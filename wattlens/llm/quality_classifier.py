@@ -106,9 +106,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Two passes over the sampled texts: blocks for the dictionaries, then differences for the calibration."""
     known = (labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull() & ~_learn.held_out(id_col))
              .groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min(F.col(f"`{label_col}`").cast("int")).alias("label")))
-    # the documents' own ids: not every label need have a text
+    # not every label need have a text
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    keys = _learn.sample_keys(known.join(rows.select("id").distinct(), "id"), "id", "label", per_label, "quality", 2)
+    keys = _learn.sample_keys(known.join(rows.select("id"), "id", "left_semi"), "id", "label", per_label, "quality", 2)
     sample = rows.join(F.broadcast(keys), "id").withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
