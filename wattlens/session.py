@@ -63,3 +63,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables written by a job."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers on this file system import the package from where the driver has it (a cluster
+    without the path gets it by ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
