@@ -17,34 +17,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattlens.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
-from wattlens.session import scratch_path
+from wattlens.session import scratch_path, ship_package
 
 QUALITY_POLICY = "v1"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality policy."""
+    ship_package(spark)
     return quality_rules.apply_policy(quality_rules.ledger(docs), QUALITY_POLICY).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
+    ship_package(spark)
     return simhash.representatives(docs, shingle=3, radius=2)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents with smaller ids have; those of which nothing is left go."""
+    ship_package(spark)
     rows = suffix_dedup.dedup(docs, as_text=True).where("n_removed = 0 OR n_removed < n_bytes")
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    ship_package(spark)
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids: one row per piece of a document, with its place."""
+    ship_package(spark)
     return packing.pack(docs, as_array=True)
 
 

@@ -33,6 +33,18 @@ def test_counts_and_ids_match_the_library(library):
         assert packing.token_ids(t, PATH).tolist() == ids, t
 
 
+def test_runs_too_long_for_the_pattern(library):
+    # the library's own merging of such runs is slow: compare the pieces' path on ordinary texts, and long runs by length
+    for t in strange():
+        assert packing._encode_by_pieces(t, PATH).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    run = "a" * 1_200_000 + "<|endoftext|>" + " " * 1_100_000 + "b"
+    ids = packing.token_ids(run, PATH)
+    assert len(ids) == token_count.counter(PATH).count(run)
+    v = _tokenizer.vocabulary(PATH)
+    names = {i: b for b, i in v.ranks().items()} | {i: s.encode() for s, i in v.special.items()}
+    assert b"".join(names[i] for i in ids.tolist()).decode() == run
+
+
 def test_every_code_point_splits_alike(library):
     count = token_count.counter(PATH).count
     for block in range(0, 0x110000, 0x400):

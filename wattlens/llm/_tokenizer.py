@@ -62,6 +62,12 @@ class Vocabulary:
         symbols = byte_symbols()
         return {bytes(symbols[ch] for ch in s): i for s, i in self.ids.items() if s not in self.special}
 
+    def parts(self, text: str) -> list[str]:
+        """The text cut before and after each special string."""
+        if not self.special:
+            return [text]
+        return [p for p in re.split("(" + self._split.pattern + ")", text) if p]
+
     def plain_parts(self, text: str) -> tuple[list[str], int]:
         """The text between special strings, and how many of these there are."""
         if self._split is None or not self._split.search(text):

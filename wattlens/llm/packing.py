@@ -10,7 +10,7 @@ laid end to end and cut at the capacity, so a worker pads one sequence besides t
 
 Defined results: a null or empty text is the end id alone; rows with a null id and repeated rows are
 packed like others; an empty table gives no pieces. Very long texts are tokenised in segments cut
-where no token can change. Only the id and the text are read; other columns are not returned.
+where no token can change; runs of a million equal characters are merged piece by piece. Only the id and the text are read; other columns are not returned.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text, _tokenizer
+from . import _text, _tokenizer, token_count
 
 CAPACITY = 2048
 #: Documents are cut at halves, quarters, ... of the capacity down to this share of it.
@@ -34,12 +34,32 @@ WORKER_ROWS = 2000
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    v, encode = _tokenizer.vocabulary(path), _tokenizer.encoder(path).encode_to_numpy
-    if len(text) <= _tokenizer.SEGMENT_CHARS:
-        return encode(text, allowed_special="all").astype(np.uint32)
-    if v.plain_parts(text)[1]:  # a special string may hold white space
-        return encode(text, allowed_special="all").astype(np.uint32)
-    return np.concatenate([encode(s, allowed_special="all") for s in _tokenizer.segments(text)]).astype(np.uint32)
+    """The ids of a whole text, special strings included."""
+    v = _tokenizer.vocabulary(path)
+    if len(text) <= _tokenizer.SEGMENT_CHARS or v.plain_parts(text)[1]:  # a special string may hold white space
+        return _encode(text, path)
+    return np.concatenate([_encode(s, path) for s in _tokenizer.segments(text)])
+
+
+def _encode(text: str, path: str) -> np.ndarray:
+    try:
+        return _tokenizer.encoder(path).encode_to_numpy(text, allowed_special="all").astype(np.uint32)
+    except ValueError:
+        return _encode_by_pieces(text, path)
+
+
+def _encode_by_pieces(text: str, path: str) -> np.ndarray:
+    """For texts with runs (of one letter, of white space) that are too long for the library's pattern."""
+    v = _tokenizer.vocabulary(path)
+    pattern = token_count.counter(path).pattern
+    out: list[int] = []
+    for part in v.parts(text):
+        if part in v.special:
+            out.append(v.special[part])
+        else:
+            for m in pattern.finditer(part):
+                out += [i for i in token_count.merge(m[0].encode(), v)[1] if i >= 0]
+    return np.array(out, np.uint32)
 
 
 def cut_lengths(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:

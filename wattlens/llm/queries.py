@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlens.session import scratch_path
+from wattlens.session import scratch_path, ship_package
 
 from . import _learn, decontaminate, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -62,6 +63,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = warc.round_trip(spark, pages, scratch_path(spark, f"warc-{uuid.uuid4().hex}"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

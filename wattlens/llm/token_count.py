@@ -40,7 +40,7 @@ class Counter(dict):
         self.pattern = regex.compile(_tokenizer.PATTERN)
 
     def __missing__(self, piece: str) -> int:
-        n = merged_length(piece.encode(), self.vocabulary)
+        n = merge(piece.encode(), self.vocabulary)[0]
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
                 self.clear()
@@ -55,8 +55,9 @@ class Counter(dict):
         return total
 
 
-def merged_length(piece: bytes, vocabulary: _tokenizer.Vocabulary) -> int:
-    """Symbols left of a piece when no pair can merge any more."""
+def merge(piece: bytes, vocabulary: _tokenizer.Vocabulary) -> tuple[int, list[int]]:
+    """Merge a piece until no pair can merge any more: how many symbols are left, and the list of
+    symbols, in which those that were taken up by their left neighbour are -1."""
     merges, n = vocabulary.merges, len(piece)
     symbol = [vocabulary.byte_ids[b] for b in piece]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -85,7 +86,7 @@ def merged_length(piece: bytes, vocabulary: _tokenizer.Vocabulary) -> int:
             pair = symbol[h], symbol[i]
             if pair in merges:
                 heapq.heappush(heap, (merges[pair][0], h, pair))
-    return n - done
+    return n - done, symbol
 
 
 @functools.lru_cache(maxsize=2)
