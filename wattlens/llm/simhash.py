@@ -245,12 +245,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in a component one stays.
     """
     key, text = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
-    rows = near_duplicates(docs.select(key.alias("_id"), text.alias("_hash"), F.col(f"`{text_col}`").alias("_text")), "_id", "_text", shingle, radius)
-    chosen = (rows.where(F.col("_id").eqNullSafe(F.col("component_id")))
-              .groupBy("_id", F.when(F.col("_id").isNull(), F.col("fingerprint")).alias("_print")).agg(F.min("_hash").alias("_hash")))
-    chosen = chosen.select(F.coalesce("_id", "_hash").alias("_key"), "_hash", F.col("_id").isNull().alias("_none"))
-    known = docs.withColumns({"_key": F.coalesce(key, text), "_hash": text, "_none": key.isNull()})
-    on = ["_key", "_hash", "_none"]
+    rows = near_duplicates(docs.select(key.alias("__id"), text.alias("__hash"), F.col(f"`{text_col}`").alias("__text")), "__id", "__text", shingle, radius)
+    chosen = (rows.where(F.col("__id").eqNullSafe(F.col("component_id")))
+              .groupBy("__id", F.when(F.col("__id").isNull(), F.col("fingerprint")).alias("__print")).agg(F.min("__hash").alias("__hash")))
+    chosen = chosen.select(F.coalesce("__id", "__hash").alias("__key"), "__hash", F.col("__id").isNull().alias("__none"))
+    known = docs.withColumns({"__key": F.coalesce(key, text), "__hash": text, "__none": key.isNull()})
+    on = ["__key", "__hash", "__none"]
     return known.join(chosen, on, "left_semi").dropDuplicates(on).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
