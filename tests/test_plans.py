@@ -56,16 +56,18 @@ def test_storage_and_scenario_names_read_no_more_than_they_need(spark):
 
 
 HOURLY = [n for n in catalog.QUERIES if n in ("hydrogen_load", "ca_loads", "loads_filtered", "af_hour", "af_segment", "ca_hourly_mapping",
-                                              "hourly_long", "net_load_hourly", "peak_capacity_factors", "duration_curve_load")]
+                                              "hourly_long", "net_load_hourly", "peak_capacity_factors", "duration_curve_load",
+                                              "peak_capacity_factors_scenarios")]
 
 
 @pytest.mark.parametrize("name", HOURLY)
-def test_events_are_scanned_once(spark, monkeypatch, name):
-    """The checkpoint of the event cells reads them; the rest of the plan doesn't."""
+def test_events_and_lines_are_scanned_once(spark, monkeypatch, name):
+    """The checkpoints of the event cells and of their capacity read them; the rest of the plan doesn't."""
     cuts = []
-    monkeypatch.setattr(driver, "cut_lineage", lambda df: cuts.append(_leaves(df)["events"]) or session.cut_lineage(df))
-    assert _leaves(catalog.run(spark, name, "/root/testdata/sf0.001"))["events"] == 0
-    assert cuts == [1]
+    monkeypatch.setattr(driver, "cut_lineage", lambda df: cuts.append(_leaves(df)) or session.cut_lineage(df))
+    n = _leaves(catalog.run(spark, name, "/root/testdata/sf0.001"))
+    assert n["events"] == n["lineitem"] == 0
+    assert sum(c["events"] for c in cuts) == 1 and sum(c["lineitem"] for c in cuts) <= 1
 
 
 def test_years_outside_the_binding_are_an_error(spark):

@@ -302,10 +302,14 @@ class DriverSymbols(SymbolSource):
                          F.col("l_quantity").cast(QUANTITY).alias("level"), *scen)
 
     def hourly_capacity(self) -> DataFrame:
-        """Capacity of the lines, one row per part type (class ``type-all``), vintage, region and year."""
-        xc = self.get("XC").withColumn("tech_class", F.concat(F.substring_index("tech_class", "-", 1), F.lit("-all")))
-        return self._once("hourly_capacity", lambda: sum_by(xc, ["tech_class", "vintage", "region", "year"], "level")
-                          .withColumn("level", F.col("level").cast(QUANTITY)))
+        """Capacity of the lines, one row per part type (class ``type-all``), vintage, region and year (and
+        scenario): at most 6 x 7 x 25 x 7 rows each, however many lines. Checkpointed, as the factors of both
+        time slots and the scenarios' model years read it."""
+        def build() -> DataFrame:
+            xc = self.get("XC").withColumn("tech_class", F.concat(F.substring_index("tech_class", "-", 1), F.lit("-all")))
+            return cut_lineage(sum_by(xc, ["tech_class", "vintage", "region", "year"], "level")
+                               .withColumn("level", F.col("level").cast(QUANTITY)))
+        return self._once("hourly_capacity", build)
 
     # -- data-derived taxonomies and names -------------------------------------------------------
     def scenarios(self) -> DataFrame:
