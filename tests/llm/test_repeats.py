@@ -122,3 +122,15 @@ def test_text_is_left_without_cut_characters(docs):
             left += ch if not gone & set(range(at, at + n)) else ""
             at += n
         assert (r.doc_id, r.text, r.n_removed) == (i, left, len(gone))
+
+
+def test_very_long_texts(docs):
+    r = random.Random(9)
+    long_ = " ".join(r.choice(["the", "of", "é"]) + str(r.randrange(5000)) for _ in range(40_000))
+    rows = [(2, long_), (9, long_[:100_000] + "?" + long_[100_000:]), (5, long_[50_000:50_400]), (3, "z" * 200_000), (4, "z" * 100)]
+    data = [(i, t.encode()) for i, t in rows]
+    want = {i: len(g) for (i, _), g in zip(data, cover(data))}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs(rows)).collect()} == want and want[4] == 100
+    units = [(i, words_of(t)) for i, t in rows]
+    want = {i: len(g) for (i, _), g in zip(units, cover(units))}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(docs(rows)).collect()} == want and want[9] > 39_000

@@ -127,3 +127,18 @@ def test_components(spark):
     want = {x: find(x) for x in up}
     assert all(got.get(x, x) == c for x, c in want.items()) and set(got) <= set(want)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_very_long_text(docs):
+    r = random.Random(3)
+    long_ = " ".join(f"w{r.randrange(9000)}" for _ in range(60_000))
+    got = sorted(simhash.near_duplicates(docs([(7, long_), (3, long_ + " end"), (5, "x" * 300_000)])).collect())
+    assert [r.fingerprint & (2 ** 64 - 1) for r in got] == [brute_print(t) for t in (long_ + " end", "x" * 300_000, long_)]
+    assert [r.component_id for r in got] == [3, 5, 3]
+
+
+def test_representatives_of_ties_and_repeats(docs):
+    rows = [(4, "a b c d"), (2, "a b c d"), (2, "a b c d"), (2, "quite another text of words"), (None, "a b c d"), (None, "no id here at all"), (None, "no id here at all")]
+    got = sorted((str(r.doc_id), r.text) for r in simhash.representatives(docs(rows)).collect())
+    assert got == [("2", "a b c d"), ("2", "quite another text of words"), ("None", "no id here at all")]
+    assert simhash.representatives(docs([])).count() == 0

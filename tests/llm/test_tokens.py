@@ -109,7 +109,7 @@ def test_packing_edge_cases(docs, library):
     rows = packing.pack(docs(texts).repartition(3)).withColumn("ids_crc32", F.crc32("ids")).collect()
     check_packing(rows, texts, library)
     assert packing.pack(docs([])).count() == 0
-    twice = packing.pack(docs([(7, "same"), (7, "same")])).collect()
+    twice = packing.pack(docs([(7, "same"), (7, "same")]).withColumn("start", F.lit("mine")).withColumn("ids", F.lit("x"))).collect()
     assert len(twice) == 2 and {r.offset for r in twice} == {0, twice[0].length}
 
 

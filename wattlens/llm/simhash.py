@@ -227,27 +227,28 @@ def _links(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The input's columns but the text, ``fingerprint`` (long) and ``component_id``: the smallest id reachable over links of at most ``radius`` bits."""
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("fingerprint", "component_id")))
+    """The input's columns but the text, ``fingerprint`` (long), ``component_id``: the smallest id reachable over links of at most ``radius`` bits, and
+    ``component_print``: the component's smallest (signed) fingerprint."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("fingerprint", "component_id", "component_print")))
     rows = cut_lineage(fingerprint(docs, text_col, shingle))
     least = rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("least_id"))
     found = components(_links(least, radius))
     members = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     named = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_print = members.join(named, "component").select(F.col("fp").alias("fingerprint"), "component_id")
-    return rows.join(by_print, "fingerprint").select(*rows.columns, "component_id")
+    by_print = members.join(named, "component").select(F.col("fp").alias("fingerprint"), "component_id", F.col("component").alias("component_print"))
+    return rows.join(by_print, "fingerprint").select(*rows.columns, "component_id", "component_print")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """The input's rows without all but one of each component: that with the smallest id.
 
-    Where no row of a component has an id, one row of each fingerprint stays. Of rows with one id
-    in a component one stays.
+    Where no row of a component has an id, one of its rows stays, and so does one of several rows
+    with the smallest id.
     """
     key, text = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
     rows = near_duplicates(docs.select(key.alias("__id"), text.alias("__hash"), F.col(f"`{text_col}`").alias("__text")), "__id", "__text", shingle, radius)
     chosen = (rows.where(F.col("__id").eqNullSafe(F.col("component_id")))
-              .groupBy("__id", F.when(F.col("__id").isNull(), F.col("fingerprint")).alias("__print")).agg(F.min("__hash").alias("__hash")))
+              .groupBy("__id", "component_print").agg(F.min("__hash").alias("__hash")))
     chosen = chosen.select(F.coalesce("__id", "__hash").alias("__key"), "__hash", F.col("__id").isNull().alias("__none"))
     known = docs.withColumns({"__key": F.coalesce(key, text), "__hash": text, "__none": key.isNull()})
     on = ["__key", "__hash", "__none"]
