@@ -35,8 +35,11 @@ from pyspark.sql import types as T
 from . import _text
 
 WINDOW = 50
-#: Bytes of text in a part: what one task holds of a table at a time.
+#: Bytes of text in a part at least: what one task holds of a table at a time.
 PART_BYTES = 8 << 20
+#: The exchanges have an entry for each pair of part and bucket, and as many buckets as parts. Parts of
+#: sqrt(ENTRY_BYTES * all bytes) keep about 16 minimisers in an entry: 8 MB up to 230 GB of text, 230 MB at 180 TB.
+ENTRY_BYTES = 290
 #: Small inputs still use this many parts.
 MIN_PARTS = 12
 
@@ -327,7 +330,7 @@ def run(docs: DataFrame, kind: type[Repeats], id_col: str, text_col: str, part_b
     names = {name for name, _ in kind.added}
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in names))
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    parts = max(MIN_PARTS, math.ceil(size / part_bytes))
+    parts = max(MIN_PARTS, math.ceil(size / max(part_bytes, math.isqrt(ENTRY_BYTES * size))))
     job = kind(id_col, text_col, parts)
     own = F.col(f"`{id_col}`").cast("long")
     key = F.when(own.isNull(), F.xxhash64(F.col(f"`{text_col}`"))).otherwise(F.xxhash64(own))
