@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +136,42 @@ def test_very_long_texts(docs):
     units = [(i, words_of(t)) for i, t in rows]
     want = {i: len(g) for (i, _), g in zip(units, cover(units))}
     assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(docs(rows)).collect()} == want and want[9] > 39_000
+
+
+def hot_line(n):
+    """A line of 60 bytes (60 words) in n documents, with other surroundings in each."""
+    r = random.Random(4)
+    def noise(k):
+        return " ".join(f"{r.randrange(36 ** 4):x}" for _ in range(k))
+    line = " ".join(r.choice("abcdefghij") + str(k % 7) for k in range(60))
+    return [(i, f"{noise(60)} {line} {noise(60)}") for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", [suffix_dedup.Bytes, substring_dedup.Words])
+def test_a_hot_minimiser_is_spread(kind):
+    rows, parts = hot_line(6000), 12
+    job = kind("doc_id", "text", parts)
+    tables = [pa.table({"doc_id": pa.array([i for i, _ in rows[p::parts]], pa.int64()), "text": [t for _, t in rows[p::parts]],
+                        "__part": pa.array([p] * len(rows[p::parts]), pa.int32())}) for p in range(parts)]
+    def dealt(out, key):
+        out = pa.concat_tables(out)
+        return {k: out.filter(pc.equal(out.column(key), k)) for k in pc.unique(out.column(key)).to_pylist()}
+    news = dealt([job.shared(t) for t in dealt([job.census(t) for t in tables], "bucket").values()], "__part")
+    sent = dealt([job.travel(t, news[p]) for p, t in enumerate(tables)], "bucket")
+    size = [sum(len(x) // 4 for x in t.column("lengths").to_pylist()) for t in sent.values()]
+    strings = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("anchors").to_pylist()]), return_counts=True)[1].max() for t in sent.values()]
+    assert max(strings) < _repeats.HOT and max(size) < 0.1 * sum(size)
+
+
+@pytest.mark.parametrize("hot", [2, 40])
+def test_hot_minimisers_match_brute_force(docs, monkeypatch, hot):
+    monkeypatch.setattr(_repeats, "HOT", hot)
+    rows = corpus(8) + [(1000 + i, t) for i, t in hot_line(60)]
+    data = [(i, (t or "").encode()) for i, t in rows]
+    want = sorted((str(i), bytes(x for k, x in enumerate(b) if k not in g)) for (i, b), g in zip(data, cover(data)))
+    got = suffix_dedup.dedup(docs(rows).repartition(5), part_bytes=4000).collect()
+    assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == want
+    units = [(i, words_of(t)) for i, t in rows]
+    want = sorted((str(i), " ".join(w for k, w in enumerate(u) if k not in g).encode()) for (i, u), g in zip(units, cover(units)))
+    got = substring_dedup.dedup(docs(rows).repartition(5), part_bytes=4000).collect()
+    assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == want

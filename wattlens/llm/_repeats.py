@@ -9,7 +9,10 @@ Consecutive windows whose smallest gram hash (minimiser) is the same gram form o
 2. ``shared``: a bucket of minimisers tells each part which of its minimisers other documents have.
    Equal windows have equal minimisers, so all other windows are unique and never travel.
 3. ``travel``: super-k-mers with shared minimisers go as packed strings to their minimiser's bucket,
-   each distinct string of a part once, with the smallest document id that holds it.
+   each distinct string of a part once, with the smallest document id that holds it. Strings reach past
+   a repeated passage into its surroundings, so a passage in many different documents gives as many
+   strings for one minimiser. Minimisers with ``HOT`` super-k-mers (``census`` counts, ``shared`` adds
+   up) therefore send single windows, keyed by the window's own hash, each distinct one of a part once.
 4. ``resolve``: a bucket sorts the windows of its strings (the operator's own method) and returns,
    as one bit a window, whether a smaller id has the window too.
 5. ``settle``: the parts find their super-k-mers again and cut what the bits say.
@@ -22,6 +25,7 @@ can simply run again.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -40,6 +44,10 @@ PART_BYTES = 8 << 20
 #: The exchanges have an entry for each pair of part and bucket, and as many buckets as parts. Parts of
 #: sqrt(ENTRY_BYTES * all bytes) keep about 16 minimisers in an entry: 8 MB up to 230 GB of text, 230 MB at 180 TB.
 ENTRY_BYTES = 290
+#: Super-k-mers of one minimiser, at least, whose windows are dealt out one by one: bounds what one bucket gets for one minimiser.
+HOT = 4096
+#: Buckets of such windows for each bucket of minimisers: a window takes more room than its share of a string.
+SPREAD = 4
 #: Small inputs still use this many parts.
 MIN_PARTS = 12
 
@@ -60,6 +68,7 @@ class Supermers(NamedTuple):
     end: np.ndarray
     first: np.ndarray     #: unit of the batch at which the first window starts
     count: np.ndarray     #: number of windows, 64 at most
+    window: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]  #: spans in ``text`` of the windows at some units
 
 
 def minimiser_runs(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +133,11 @@ def _unpack48(blobs: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _names(h: np.ndarray) -> np.ndarray:
+    """Hashes as ``_pack48`` keeps them. Whether a minimiser is hot goes by this name, so that all parts agree."""
+    return h >> np.uint64(16)
+
+
 def _short(h: np.ndarray) -> np.ndarray:
     """What names a minimiser within a part or a bucket: 32 bits of its hash."""
     return (h >> np.uint64(32)).astype(np.uint32)
@@ -160,8 +174,8 @@ class Repeats:
     #: name and type of the columns that ``cut`` adds
     added: list[tuple[str, T.DataType]] = []
 
-    def __init__(self, id_col: str, text_col: str, parts: int):
-        self.id_col, self.text_col, self.parts = id_col, text_col, parts
+    def __init__(self, id_col: str, text_col: str, parts: int, hot: int = HOT):
+        self.id_col, self.text_col, self.parts, self.hot = id_col, text_col, parts, hot
 
     def supermers(self, buf: np.ndarray, offs: np.ndarray) -> Supermers:
         raise NotImplementedError
@@ -188,14 +202,18 @@ class Repeats:
         head, tail = _groups(h)
         several = d[tail - 1] != d[head]
         h = h[head]
-        bucket = (h % np.uint64(self.parts)).astype(np.int64)
+        log = np.ceil(np.log2(tail - head)).astype(np.uint8)  # of the count, rounded up
+        bucket = (_names(h) % np.uint64(self.parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(self.parts + 1))
         part = table.column(_PART)[0].as_py()
-        rows = [(b, part, _pack48(h[x[~several[x]]]), _pack48(h[x[several[x]]]))
-                for b in range(self.parts) if len(x := order[edge[b]:edge[b + 1]])]
+        rows = []
+        for b in range(self.parts):
+            if len(x := order[edge[b]:edge[b + 1]]):
+                one, more = x[~several[x]], x[several[x]]
+                rows.append((b, part, _pack48(h[one]), _pack48(h[more]), _blob(log[one], np.uint8), _blob(log[more], np.uint8)))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()),
-                         "one": pa.array([r[2] for r in rows], pa.binary()), "several": pa.array([r[3] for r in rows], pa.binary())})
+                         **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("one", "several", "one_log", "several_log"), 2)}})
 
     # 2
     def shared(self, table: pa.Table) -> pa.Table:
@@ -204,29 +222,44 @@ class Repeats:
         h = _cat(one + several, np.uint64)
         owner = np.repeat(np.concatenate([part, part]), [len(x) for x in one + several])
         surely = np.arange(len(h)) >= sum(map(len, one))
+        log = _cat(_blobs(table.column("one_log"), np.uint8) + _blobs(table.column("several_log"), np.uint8), np.uint8)
         order = np.argsort(h, kind="stable")
-        h, owner, surely = h[order], owner[order], surely[order]
+        h, owner, surely, log = h[order], owner[order], surely[order], log[order]
+        head, tail = _groups(h)
+        hot = np.repeat(np.add.reduceat(np.int64(1) << log.astype(np.int64), head) >= self.hot, tail - head)
         again = np.zeros(len(h) + 1, bool)
         again[1:-1] = h[1:] == h[:-1]
         keep = again[1:] | again[:-1] | surely
-        h, owner = h[keep], owner[keep]
+        h, owner, hot = h[keep], owner[keep], hot[keep]
         order = np.argsort(owner, kind="stable")
-        h, owner = h[order], owner[order]
+        h, owner, hot = h[order], owner[order], hot[order]
         head, tail = _groups(owner)
-        return self._to_parts([(int(owner[a]), _blob(np.unique(h[a:b] >> np.uint64(16)), np.uint32), None, None)
+        return self._to_parts([(int(owner[a]), _blob(np.unique(h[a:b] >> np.uint64(16)), np.uint32), _blob(np.unique(h[a:b][hot[a:b]]), np.uint64), None, None)
                                for a, b in zip(head, tail, strict=True)])
 
     @staticmethod
     def _to_parts(rows: list[tuple]) -> pa.Table:
-        return pa.table({_PART: pa.array([r[0] for r in rows], pa.int32()), "anchors": pa.array([r[1] for r in rows], pa.binary()),
-                         "pieces": pa.array([r[2] for r in rows], pa.binary()), "masks": pa.array([r[3] for r in rows], pa.binary())})
+        return pa.table({_PART: pa.array([r[0] for r in rows], pa.int32()),
+                         **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("anchors", "hot", "pieces", "masks"), 1)}})
+
+    @staticmethod
+    def _apart(s: Supermers, hot: np.ndarray) -> tuple[Supermers, np.ndarray]:
+        """Marked super-k-mers are replaced by their windows, named by their own hashes; and which entries are such windows."""
+        n = np.where(hot, s.count, 1)
+        of = np.repeat(np.arange(len(n)), n)
+        hot, first = hot[of], s.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        start, end, anchor = s.start[of], s.end[of], s.anchor[of]
+        start[hot], end[hot] = s.window(first[hot])
+        anchor[hot] = _text.span_hash(_text.byte_prefix(s.text), start[hot], end[hot])
+        return s._replace(row=s.row[of], anchor=anchor, start=start, end=end, first=first, count=np.where(hot, 1, s.count[of])), hot
 
     def _pieces(self, table: pa.Table, news: pa.Table):
-        """The part's rows by id, its distinct strings with shared minimisers, and where they stand."""
+        """The part's rows by id, its distinct strings with shared minimisers, their buckets, and where they stand."""
         anchors = np.unique(_cat(_blobs(pc.drop_null(news.column("anchors")), np.uint32), np.uint32))
+        hot = _cat(_blobs(pc.drop_null(news.column("hot")), np.uint64), np.uint64)
         table = table.take(pc.sort_indices(table, [(self.id_col, "ascending"), (self.text_col, "ascending")]))
         number: dict[bytes, int] = {}
-        anchor, smallest, found, base = [], [], [], 0
+        anchor, single, smallest, found, base = [], [], [], [], 0
         for t in _text.slices([table], self.text_col):
             if len(anchors):
                 s = self.supermers(*_text.utf8(t.column(self.text_col)))
@@ -234,34 +267,40 @@ class Repeats:
                 own = _short(s.anchor)
                 at = np.minimum(np.searchsorted(anchors, own), len(anchors) - 1)
                 x = np.flatnonzero((anchors[at] == own) & known[s.row])
-                data, piece = s.text.tobytes(), np.empty(len(x), np.int64)
-                for j, (a, b, h, i) in enumerate(zip(s.start[x].tolist(), s.end[x].tolist(), s.anchor[x].tolist(), ids[s.row[x]].tolist(), strict=True)):
+                s = s._replace(**{c: getattr(s, c)[x] for c in ("row", "anchor", "start", "end", "first", "count")})
+                alone = np.isin(_names(s.anchor), hot)
+                if alone.any():
+                    s, alone = self._apart(s, alone)
+                data, piece = s.text.tobytes(), np.empty(len(s.row), np.int64)
+                for j, (a, b, h, w, i) in enumerate(zip(s.start.tolist(), s.end.tolist(), s.anchor.tolist(), alone.tolist(), ids[s.row].tolist(), strict=True)):
                     piece[j] = k = number.setdefault(data[a:b], len(number))
                     if k == len(anchor):
                         anchor.append(h)
+                        single.append(w)
                         smallest.append(i)  # rows come by id, so the first is the smallest
-                found.append((base, s.row[x], s.first[x], s.count[x], piece, ids[s.row[x]]))
+                found.append((base, s.row, s.first, s.count, piece, ids[s.row]))
             else:
                 none = np.zeros(0, np.int64)
                 found.append((base, none, none, none, none, none))
             base += t.num_rows
-        return table, list(number), np.array(anchor, np.uint64), np.array(smallest, np.int64), found
+        anchor = np.array(anchor, np.uint64)
+        name, parts = _names(anchor), np.uint64(self.parts)
+        bucket = np.where(np.array(single, bool), parts + name % (parts * np.uint64(SPREAD)), name % parts).astype(np.int64)
+        return table, list(number), anchor, bucket, np.array(smallest, np.int64), found
 
     # 3
     def travel(self, table: pa.Table, news: pa.Table) -> pa.Table:
         rows = []
         if table.num_rows and news.num_rows:
             part = table.column(_PART)[0].as_py()
-            _, pieces, anchor, smallest, _ = self._pieces(table, news)
-            bucket = (anchor % np.uint64(self.parts)).astype(np.int64)
+            _, pieces, anchor, bucket, smallest, _ = self._pieces(table, news)
             order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(self.parts + 1))
             pack = zstandard.ZstdCompressor(level=1)
-            for b in range(self.parts):
-                if len(x := order[edge[b]:edge[b + 1]]):
-                    own = [pieces[k] for k in x]
-                    rows.append((b, part, _blob(x, np.uint32), _blob(smallest[x], np.int64), _blob(_short(anchor[x]), np.uint32),
-                                 _blob(np.fromiter(map(len, own), np.int64, len(own)), np.uint32), pack.compress(b"".join(own))))
+            for a, b in zip(*_groups(bucket[order]), strict=True) if len(order) else ():
+                x = order[a:b]
+                own = [pieces[k] for k in x]
+                rows.append((int(bucket[x[0]]), part, _blob(x, np.uint32), _blob(smallest[x], np.int64), _blob(_short(anchor[x]), np.uint32),
+                             _blob(np.fromiter(map(len, own), np.int64, len(own)), np.uint32), pack.compress(b"".join(own))))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()),
                          **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("pieces", "ids", "anchors", "lengths", "data"), 2)}})
 
@@ -305,12 +344,12 @@ class Repeats:
             mask = masks[base:base + len(piece)]
             base += len(piece)
             if (hit := np.flatnonzero(mask)).size:
-                rows.append((part, None, _blob(piece[hit], np.uint32), _blob(mask[hit], np.uint64)))
+                rows.append((part, None, None, _blob(piece[hit], np.uint32), _blob(mask[hit], np.uint64)))
         return self._to_parts(rows)
 
     # 5
     def settle(self, table: pa.Table, news: pa.Table) -> pa.Table:
-        table, pieces, _, smallest, found = self._pieces(table, news)
+        table, pieces, _, _, smallest, found = self._pieces(table, news)
         mask = np.zeros(len(pieces), np.uint64)
         mask[_cat(_blobs(pc.drop_null(news.column("pieces")), np.uint32), np.uint32)] = _cat(_blobs(pc.drop_null(news.column("masks")), np.uint64), np.uint64)
         done = []
@@ -331,13 +370,13 @@ def run(docs: DataFrame, kind: type[Repeats], id_col: str, text_col: str, part_b
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in names))
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     parts = max(MIN_PARTS, math.ceil(size / max(part_bytes, math.isqrt(ENTRY_BYTES * size))))
-    job = kind(id_col, text_col, parts)
+    job = kind(id_col, text_col, parts, HOT)
     own = F.col(f"`{id_col}`").cast("long")
     key = F.when(own.isNull(), F.xxhash64(F.col(f"`{text_col}`"))).otherwise(F.xxhash64(own))
     dealt = docs.withColumn(_PART, F.pmod(key, F.lit(parts)).cast("int"))
     by_part = dealt.groupBy(_PART)
-    census = by_part.applyInArrow(lambda t: job.census(t), "bucket int, part int, one binary, several binary")
-    to_part = f"`{_PART}` int, anchors binary, pieces binary, masks binary"
+    census = by_part.applyInArrow(lambda t: job.census(t), "bucket int, part int, one binary, several binary, one_log binary, several_log binary")
+    to_part = f"`{_PART}` int, anchors binary, hot binary, pieces binary, masks binary"
     shared = census.groupBy("bucket").applyInArrow(lambda t: job.shared(t), to_part)
     travel = by_part.cogroup(shared.groupBy(_PART)).applyInArrow(
         lambda t, news: job.travel(t, news), "bucket int, part int, pieces binary, ids binary, anchors binary, lengths binary, data binary")

@@ -34,7 +34,8 @@ class Words(_repeats.Repeats):
         text, start, end = _text.joined_words(buf, start, end)
         n = max(len(row) - WINDOW + 1, 0)
         anchor, first, count = _repeats.minimiser_runs(grams, row[:n] == row[len(row) - n:], WINDOW - GRAM + 1)
-        return _repeats.Supermers(text, row[first], anchor, start[first], end[first + count + WINDOW - 2], first, count)
+        return _repeats.Supermers(text, row[first], anchor, start[first], end[first + count + WINDOW - 2], first, count,
+                                  lambda unit: (start[unit], end[unit + WINDOW - 1]))
 
     def classes(self, data, lengths):
         edge = np.append(0, np.cumsum(lengths))

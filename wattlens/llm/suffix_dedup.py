@@ -138,7 +138,8 @@ class Bytes(_repeats.Repeats):
         np.add.at(valid, offs[1:][whole] - WINDOW + 1, -1)
         grams = _text.gram_hash(_text.BYTE_VALUE[buf], GRAM)
         anchor, first, count = _repeats.minimiser_runs(grams, np.cumsum(valid[:n], dtype=np.int8) > 0, WINDOW - GRAM + 1)
-        return _repeats.Supermers(buf, _text.rows_of(offs, first), anchor, first, first + count + WINDOW - 1, first, count)
+        return _repeats.Supermers(buf, _text.rows_of(offs, first), anchor, first, first + count + WINDOW - 1, first, count,
+                                  lambda unit: (unit, unit + WINDOW))
 
     def classes(self, data, lengths):
         windows = lengths - WINDOW + 1
