@@ -175,3 +175,15 @@ def test_hot_minimisers_match_brute_force(docs, monkeypatch, hot):
     want = sorted((str(i), " ".join(w for k, w in enumerate(u) if k not in g).encode()) for (i, u), g in zip(units, cover(units)))
     got = substring_dedup.dedup(docs(rows).repartition(5), part_bytes=4000).collect()
     assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == want
+
+
+def test_rows_of_one_id_and_without_id_spread(docs):
+    words = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, f"{words} {k}") for k in range(300)] + [(None, None)] * 150 + [(None, words)] * 150
+    df = docs(rows).repartition(3)
+    sizes = [r["count"] for r in _repeats.dealt(df, "doc_id", "text", 12).groupBy("__part").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 60
+    for op, n in ((substring_dedup, "n_words"), (suffix_dedup, "n_bytes")):
+        got = op.dedup(docs([*rows, (2, words)])).collect()
+        assert len(got) == 601 and {r.n_removed for r in got if r.doc_id != 2} == {0}
+        assert [r.n_removed == r[n] > 0 for r in got if r.doc_id == 2] == [True]

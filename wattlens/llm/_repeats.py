@@ -4,7 +4,8 @@ Shared by the substring and the suffix operator. Both cut a text into units (wor
 every run of ``WINDOW`` units and drop units covered by a window that an earlier document has too.
 Consecutive windows whose smallest gram hash (minimiser) is the same gram form one super-k-mer.
 
-1. ``census``: documents are dealt into parts by id. Each part lists its distinct minimisers once,
+1. ``census``: documents are dealt into parts by id and text, so that rows of one id spread (only rows with
+   both alike stay together); rows without an id are never dealt, as they are kept whole. Each part lists its distinct minimisers once,
    so a hot passage costs one entry a part, not one a document.
 2. ``shared``: a bucket of minimisers tells each part which of its minimisers other documents have.
    Equal windows have equal minimisers, so all other windows are unique and never travel.
@@ -25,7 +26,7 @@ can simply run again.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -347,6 +348,13 @@ class Repeats:
                 rows.append((part, None, None, _blob(piece[hit], np.uint32), _blob(mask[hit], np.uint64)))
         return self._to_parts(rows)
 
+    def whole(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of which nothing is cut."""
+        for t in _text.slices(batches, self.text_col):
+            keep = [c for c in t.schema.names if c != self.text_col]
+            columns = self.cut(*_text.utf8(t.column(self.text_col)), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in keep), *columns], names=[*keep, *(name for name, _ in self.added)])
+
     # 5
     def settle(self, table: pa.Table, news: pa.Table) -> pa.Table:
         table, pieces, _, _, smallest, found = self._pieces(table, news)
@@ -364,6 +372,12 @@ class Repeats:
         return pa.concat_tables(done)
 
 
+def dealt(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """The rows with an id, and their part."""
+    own = F.col(f"`{id_col}`").cast("long")
+    return docs.where(own.isNotNull()).withColumn(_PART, F.pmod(F.xxhash64(own, F.col(f"`{text_col}`")), F.lit(parts)).cast("int"))
+
+
 def run(docs: DataFrame, kind: type[Repeats], id_col: str, text_col: str, part_bytes: int) -> DataFrame:
     """All columns of ``docs`` but the text, and the columns that ``kind`` adds; one row per row."""
     names = {name for name, _ in kind.added}
@@ -371,10 +385,7 @@ def run(docs: DataFrame, kind: type[Repeats], id_col: str, text_col: str, part_b
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     parts = max(MIN_PARTS, math.ceil(size / max(part_bytes, math.isqrt(ENTRY_BYTES * size))))
     job = kind(id_col, text_col, parts, HOT)
-    own = F.col(f"`{id_col}`").cast("long")
-    key = F.when(own.isNull(), F.xxhash64(F.col(f"`{text_col}`"))).otherwise(F.xxhash64(own))
-    dealt = docs.withColumn(_PART, F.pmod(key, F.lit(parts)).cast("int"))
-    by_part = dealt.groupBy(_PART)
+    by_part = dealt(docs, id_col, text_col, parts).groupBy(_PART)
     census = by_part.applyInArrow(lambda t: job.census(t), "bucket int, part int, one binary, several binary, one_log binary, several_log binary")
     to_part = f"`{_PART}` int, anchors binary, hot binary, pieces binary, masks binary"
     shared = census.groupBy("bucket").applyInArrow(lambda t: job.shared(t), to_part)
@@ -382,4 +393,6 @@ def run(docs: DataFrame, kind: type[Repeats], id_col: str, text_col: str, part_b
         lambda t, news: job.travel(t, news), "bucket int, part int, pieces binary, ids binary, anchors binary, lengths binary, data binary")
     bits = travel.groupBy("bucket").applyInArrow(lambda t: job.resolve(t), to_part)
     out = T.StructType([f for f in docs.schema if f.name != text_col] + [T.StructField(*a) for a in kind.added])
-    return by_part.cogroup(shared.unionByName(bits).groupBy(_PART)).applyInArrow(lambda t, news: job.settle(t, news), out)
+    known = by_part.cogroup(shared.unionByName(bits).groupBy(_PART)).applyInArrow(lambda t, news: job.settle(t, news), out)
+    unknown = docs.where(F.col(f"`{id_col}`").cast("long").isNull())
+    return known.unionByName(unknown.mapInArrow(lambda batches: job.whole(batches), out))
