@@ -121,3 +121,12 @@ def test_classifier_edge_cases(spark, docs):
     assert quality_classifier.score(docs([]), none).count() == 0
     one = quality_classifier.learn(docs([(i, f"word {i}") for i in range(30)]), spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(None, 0, 0), (5, None, 0)], labels))
     assert {r.score for r in quality_classifier.score(df, one).collect()} == {1.0}
+
+
+def test_classifier_takes_one_text_of_a_repeated_id(spark, documents):
+    some = documents.where("text IS NOT NULL").select("doc_id", "text").orderBy("doc_id").limit(60).localCheckpoint()
+    labels = some.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    first = some.join(labels.where(~_learn.held_out("doc_id")), "doc_id").orderBy("doc_id").limit(4).select("doc_id", "text")
+    once, often = (quality_classifier.learn(d, labels) for d in (some, some.unionByName(first.crossJoin(spark.range(50)).select("doc_id", "text"))))
+    assert (once.good, once.bad) == (often.good, often.bad)
+    assert [x.tolist() for x in once[2:]] == [x.tolist() for x in often[2:]]
