@@ -118,3 +118,13 @@ def test_cut_lengths_fill_classes():
         own = packing.cut_lengths(n)
         assert sum(own) == n and all(0 < x <= 2048 for x in own)
         assert all(2048 % x == 0 for x in own[:-1])
+
+
+def test_few_long_texts_get_several_tasks(docs, monkeypatch):
+    df = docs([(i, f"word {i} " * 300) for i in range(12)]).repartition(4)
+    assert packing.pack(df).rdd.getNumPartitions() == 1
+    whole = {r.doc_id: r.n for r in packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    monkeypatch.setattr(packing, "WORKER_BYTES", 5000)
+    spread = packing.pack(df)
+    assert spread.rdd.getNumPartitions() == 4
+    assert {r.doc_id: r.n for r in spread.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == whole

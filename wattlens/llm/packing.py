@@ -15,6 +15,7 @@ where no token can change; runs of a million equal characters are merged piece b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ CAPACITY = 2048
 SMALLEST = 16
 #: A worker gets at least about so many documents, lest small inputs end in many half-filled sequences.
 WORKER_ROWS = 2000
+#: ... or for each so many bytes of text, if that gives more tasks.
+WORKER_BYTES = 32 << 20
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
@@ -152,4 +155,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         yield flush()
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    return rows.coalesce(max(rows.count() // WORKER_ROWS, 1)).mapInArrow(run, schema)
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("bytes")).first()
+    return rows.coalesce(max(total["n"] // WORKER_ROWS, math.ceil((total["bytes"] or 0) / WORKER_BYTES), 1)).mapInArrow(run, schema)
