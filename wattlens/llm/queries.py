@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wattlens.session import scratch_path, ship_package
 
-from . import _learn, decontaminate, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, warc
+from . import (_learn, centroids, decontaminate, language_id, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup,
+               token_count, warc)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (~quality_rules.kept("base")).alias("base_failed"), quality_rules.kept("v1").alias("kept"), "fail_bits")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+
+    def leaf(text: F.Column) -> F.Column:
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    # texts become digests in the first step and travel no further
+    rows = merkle.manifest(docs.select("doc_id", "lang", leaf(F.col("text")).alias("own"), leaf(tampered).alias("claimed")),
+                           F.col("own"), F.col("lang"), [F.col("doc_id")])
+    folded = rows.withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    digest = F.sha2(F.array_join("centroid", ","), 256)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -86,6 +110,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 _OP9_SQL = """
@@ -154,8 +180,94 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed,
 FROM t LEFT JOIN kept USING (doc_id)
 """
 
+#: Levels that the SQL grows: 8 ** 10 rows of a language, and languages, at most.
+_OP11_LEVELS = 10
+
+
+def _op11_tree(name: str, rows: str) -> str:
+    """CTEs that grow ``rows`` (g, pos, digest) to one node a group: {name}_leaf (g, pos, left and right digest lists) and {name}_top."""
+    parts = [f"{name}_0 AS (SELECT g, pos, digest, count(*) OVER (PARTITION BY g) AS n FROM ({rows}))"]
+    for i in range(_OP11_LEVELS):
+        parts.append(f"{name}_{i + 1} AS (SELECT g, pos // 8 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest, (any_value(n) + 7) // 8 AS n"
+                     f" FROM {name}_{i} WHERE n > 1 GROUP BY g, pos // 8 UNION ALL SELECT g, pos, digest, n FROM {name}_{i} WHERE n = 1)")
+        # a lone node waits for the last level without another hash
+        parts.append(f"{name}_s{i} AS (SELECT g, pos, CASE WHEN n > 1 THEN coalesce(string_agg(digest, '' ORDER BY pos) OVER (PARTITION BY g, pos // 8 ORDER BY pos"
+                     f" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS l, CASE WHEN n > 1 THEN coalesce(string_agg(digest, '' ORDER BY pos) OVER ("
+                     f"PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS r FROM {name}_{i})")
+    joins = "".join(f" JOIN {name}_s{i} s{i} ON s{i}.g = a.g AND s{i}.pos = a.pos // {8 ** i}" for i in range(_OP11_LEVELS))
+    lists = ", ".join(f"list_filter([{', '.join(f's{i}.{c}' for i in range(_OP11_LEVELS))}], lambda x: x IS NOT NULL) AS {c}" for c in "lr")
+    parts.append(f"{name}_path AS (SELECT a.g, a.pos, {lists} FROM {name}_0 a{joins})")
+    parts.append(f"{name}_top AS (SELECT g, digest FROM {name}_{_OP11_LEVELS})")
+    return ", ".join(parts)
+
+
+def _op11_field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+_OP11_LEAF = " || ".join(map(_op11_field, ("doc_id", "source", "lang", "n_chars")))
+#: CRC-32 of the decimal id, bit by bit.
+_OP11_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),"
+             " lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),"
+             " lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)")
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+_OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({_OP11_LEAF} || {_op11_field("text")}) AS leaf,
+         sha256({_OP11_LEAF} || {_op11_field(f"CASE WHEN {_OP11_CRC} % 3 = 0 THEN translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}') ELSE text END")}) AS claimed
+  FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), {_op11_tree("a", "SELECT g, pos, leaf AS digest FROM numbered")},
+{_op11_tree("b", "SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, digest FROM a_top")},
+langs AS (
+  SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS pos FROM a_top
+), whole AS (
+  SELECT doc_id, leaf, claimed, langs.digest AS subroot, b_top.digest AS root, list_concat(a_path.l, b_path.l) AS l, list_concat(a_path.r, b_path.r) AS r
+  FROM numbered JOIN a_path ON numbered.g = a_path.g AND numbered.pos = a_path.pos
+  JOIN langs ON numbered.g = langs.g JOIN b_path ON langs.pos = b_path.pos CROSS JOIN b_top
+), folded AS (
+  SELECT *, list_reduce(list_prepend([claimed, ''], list_transform(range(1, len(l) + 1), lambda i: [l[i], r[i]])),
+                        lambda x, y: [sha256(y[1] || x[1] || y[2]), ''])[1] AS folded_root,
+         array_to_string(list_transform(range(1, len(l) + 1), lambda i: l[i] || r[i]), '') AS siblings
+  FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+def _op12_sql(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256) -> str:
+    parts = [f"""kept AS (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = {dim}
+), x AS (
+  SELECT k, unnest(range(1, {dim + 1})) AS i, unnest(v) AS x FROM kept
+), c0 AS (
+  SELECT c, unnest(range(1, {dim + 1})) AS i, unnest(v) AS x
+  FROM (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS c FROM kept) WHERE c < {k}
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (
+  SELECT k, c, d FROM (SELECT x.k, c.c, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{r} c ON x.i = c.i GROUP BY x.k, c.c)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, c) = 1
+)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS (
+  SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r} JOIN x ON a{r}.k = x.k GROUP BY c, i
+), c{r + 1} AS (
+  SELECT c.c, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x)::BIGINT AS x FROM c{r} c LEFT JOIN m{r} m ON c.c = m.c AND c.i = m.i
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} a JOIN kept ON a.k = kept.k JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) f ON a.c = f.c
+"""
+
+
 ORACLE_SQL = {
     "op7_substring_dedup": _OP7_SQL,
     "op9_warc": _OP9_SQL,
     "op10_quality_rules": _OP10_SQL,
+    "op11_merkle_manifest": _OP11_SQL,
+    "op12_centroid_clustering": _op12_sql(),
 }
