@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wattlens.session import scratch_path, ship_package
 
-from . import (_learn, centroids, decontaminate, language_id, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup,
-               token_count, warc)
+from . import (_learn, centroids, decontaminate, language_id, merkle, ngram_join, packing, quality_classifier, quality_rules, simhash, substring_dedup,
+               suffix_dedup, token_count, warc)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_documents(spark, sf_dir).select("doc_id", "text"), k=5, percent=80)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -112,6 +116,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 _OP9_SQL = """
@@ -264,10 +269,30 @@ FROM a{rounds} a JOIN kept ON a.k = kept.k JOIN (SELECT c, sha256(string_agg(x::
 """
 
 
+_OP13_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g FROM t
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT u, v FROM shared JOIN sizes a ON u = a.doc_id JOIN sizes b ON v = b.doc_id WHERE 100 * o >= 80 * (a.n + b.n - o)
+), reached AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(t.doc_id, m) AS component_id
+FROM t LEFT JOIN sizes ON t.doc_id = sizes.doc_id LEFT JOIN (SELECT u, min(v) AS m FROM reached GROUP BY u) r ON t.doc_id = r.u
+"""
+
 ORACLE_SQL = {
     "op7_substring_dedup": _OP7_SQL,
     "op9_warc": _OP9_SQL,
     "op10_quality_rules": _OP10_SQL,
     "op11_merkle_manifest": _OP11_SQL,
     "op12_centroid_clustering": _op12_sql(),
+    "op13_ngram_jaccard_join": _OP13_SQL,
 }
