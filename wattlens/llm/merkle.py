@@ -6,7 +6,7 @@ by group, grow the same way to the root.
 
 * Numbers come from one range sort over groups and order columns, so a group with a third of all rows
   is spread over many tasks; only a count for each (group, partition) is summed up beside it.
-* Each level is one window over blocks of ``FANOUT ** 4`` consecutive nodes. Lag and lead columns of
+* Each level is one window over blocks of ``FANOUT ** BLOCK_LEVELS`` consecutive nodes. Lag and lead columns of
   the offsets 1 to FANOUT - 1, masked by a node's slot in its run and the run's length, are its
   siblings; the first child of a run hashes the parent. Blocks hold whole runs, so no task holds a group.
 * On the way back, every node takes its parent's path by one equi-join a level.
@@ -29,7 +29,7 @@ from wattlens.session import cut_lineage
 
 FANOUT = 8
 #: Levels above a leaf that one window block spans: FANOUT ** BLOCK_LEVELS rows at most in one window partition.
-BLOCK_LEVELS = 4
+BLOCK_LEVELS = 2
 #: monotonically_increasing_id() holds the partition above these bits.
 _PARTITION_BITS = 33
 
