@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import oracle
-from .plans import dispatch, figures, hourly, marts
+from .plans import dispatch, figures, hourly, marts, pipeline
+from .session import scratch_path
 from .sources.driver import DriverSymbols, driver_params
-from .sources.sinks import plain
+from .sources.sinks import plain, read_mart
+from .sources.symbols import ParquetSymbols, scan_multi_file, write_symbols
 
 #: Digits kept of the columns in ``oracle.ROUNDED``; all others are exact.
 ROUND_DIGITS = 6
@@ -35,6 +39,50 @@ def _hourly(fn):
     return run
 
 
+def _folder(spark, kind: str) -> str:
+    return scratch_path(spark, f"{kind}-{uuid.uuid4().hex}")
+
+
+def _stored(fn, names, scenarios=oracle.STORED_SCENARIOS):
+    """Jobs on symbols that are first stored in raw form, with a folder for each scenario, and scanned from there."""
+    def run(spark, sf_dir):
+        source = DriverSymbols(spark, sf_dir, with_scenario=True)
+        root = _folder(spark, "symbols")
+        write_symbols(source, names, root)
+        return fn(ParquetSymbols(spark, root, scenarios).override(hrep=lambda: source.get("hrep")), driver_params(source))
+    return run
+
+
+def _scan_multi_file(spark, sf_dir):
+    """Loads on an hour map of one stored file for each year, whose year only the file's name gives."""
+    sym, p = _hourly_symbols(spark, sf_dir)
+    root = _folder(spark, "hours")
+    paths = [os.path.join(root, f"create_hrep_{year}_default") for year in p.years]
+    for year, path in zip(p.years, paths, strict=True):
+        sym.base.raw_hrep(year).drop("t").write.parquet(path)
+    hours = scan_multi_file(spark, paths, "hrep", key="year", pattern=r"hrep_(\d{4})_")
+    return hourly.ca_loads(sym.override(hrep=lambda: hours), p)
+
+
+def _mart_round_trip(name: str, fmt: str):
+    """A mart of all scenarios, its labels found in the data, written by the sink and read back."""
+    def run(spark, sf_dir):
+        sym = DriverSymbols(spark, sf_dir, with_scenario=True)
+        root = _folder(spark, "marts")
+        pipeline.build_marts(sym, driver_params(sym).with_(vintages=None, pivot_years=None), root, [name], fmt=fmt)
+        return read_mart(spark, os.path.join(root, name), name, fmt)
+    return run
+
+
+def _statistics_round_trip(spark, sf_dir):
+    """Peak-hour factors computed from a written mapping mart, written as CSV in their order and read back."""
+    sym, p = _hourly_symbols(spark, sf_dir)
+    root, out, name = _folder(spark, "marts"), _folder(spark, "statistics"), "capacity_factors_top_25"
+    pipeline.build_marts(sym, p, root, ["ca_hourly_mapping"])
+    pipeline.write_statistics(spark, root, p, out, fmt="parquet", out_fmt="csv", names=[name])
+    return read_mart(spark, os.path.join(out, name), name, "csv")
+
+
 def _mapping(fn):
     """Statistics on the hourly mapping mart."""
     def run(spark, sf_dir):
@@ -50,6 +98,13 @@ def _net(fn, with_scenario: bool = False):
     return run
 
 
+def _peak(with_scenario: bool = False):
+    def run(spark, sf_dir):
+        sym, p = _hourly_symbols(spark, sf_dir, with_scenario)
+        return hourly.peak_capacity_factors(hourly.peak_hours(hourly.ca_hourly_mapping(sym, p), p), p)
+    return run
+
+
 def _ts(fn):
     def run(spark, sf_dir):
         sym, p = _hourly_symbols(spark, sf_dir)
@@ -105,7 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hourly_long": _mapping(lambda m, p: hourly.hourly_long(m)),
     "net_load_hourly": _mapping(hourly.net_load_hourly),
     "normalized_profile": _net(hourly.normalized_profile),
-    "peak_capacity_factors": _net(hourly.peak_capacity_factors),
+    "peak_capacity_factors": _peak(),
     "hour_vs_segment": _mapping(hourly.hour_vs_segment),
     "monthly_comparison": _ts(hourly.monthly_comparison),
     "duration_curve_load": _ts(hourly.duration_curve_load),
@@ -137,9 +192,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "long_label_value": _marts(lambda sym, p: figures.map_long_name(sym.report_labels(), p), codes=True),
     # hourly, dispatch and trade statistics of every scenario at once
     "normalized_profile_scenarios": _net(hourly.normalized_profile, with_scenario=True),
-    "peak_capacity_factors_scenarios": _net(hourly.peak_capacity_factors, with_scenario=True),
+    "peak_capacity_factors_scenarios": _peak(with_scenario=True),
     "dispatch_deciles_scenarios": _dispatch(dispatch.dispatch_deciles, with_scenario=True),
     "trade_net_scenarios": _trade(dispatch.trade_net, with_scenario=True),
+    # stored symbols, marts and statistics
+    "scan_symbol": _stored(lambda sym, p: sym.get("XC"), ["XC"]),
+    "stored_ca_capacity": _stored(marts.ca_capacity, ["cal_r", "XC", "GC", "GR"]),
+    "stored_dispatch_without_optional": _stored(dispatch.dispatch_by_segment, ["cal_r", "X", "G", "GD"]),
+    "stored_list_scenarios": _stored(lambda sym, p: figures.list_scenarios(sym), ["IX"], None),
+    "scan_multi_file": _scan_multi_file,
+    "mart_csv_fom_costs": _mart_round_trip("fom_costs_usd2024", "csv"),
+    "mart_csv_capcosts": _mart_round_trip("capcosts_usd2024", "csv"),
+    "mart_parquet_capacity": _mart_round_trip("capacity_by_region_gw", "parquet"),
+    "statistics_csv_peak_factors": _statistics_round_trip,
 }
 
 

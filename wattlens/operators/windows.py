@@ -6,14 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import _c, safe_ratio
 
 
 
-
 def avg_rank(value: str | Column, partition: Sequence[str | Column], descending: bool = True,
              tie_break: Sequence[str | Column] = (), nullable: bool = True) -> Column:
     """R ``rank``: ties get their average rank; NULLs come last with distinct ranks (after all
@@ -29,6 +28,13 @@ def avg_rank(value: str | Column, partition: Sequence[str | Column], descending:
     return F.when(v.isNull(), (F.rank().over(w) - 1 + F.row_number().over(nulls)).cast("double")).otherwise(ranked)
 
 
+def top_ranked(df: DataFrame, value: str, partition: Sequence[str], k: int) -> DataFrame:
+    """Rows of plain rank at most ``k`` in descending order of ``value`` (all rows of a tie, NULLs last). Spark plans a group
+    limit for it: a task passes on k rows of a group (and ties), whatever the group's size."""
+    w = Window.partitionBy(*partition).orderBy(F.col(value).desc_nulls_last())
+    return df.withColumn("__rank", F.rank().over(w)).where(F.col("__rank") <= k).drop("__rank")
+
+
 def position_desc(value: str | Column, partition: Sequence[str | Column],
                   tie_break: Sequence[str | Column] = ()) -> Column:
     """1..n in descending order of ``value`` (NULLs last), ties broken by ``tie_break``."""

@@ -13,6 +13,9 @@ from . import lookups
 
 DEFLATOR = "1.396161885"
 
+#: Scenarios that the queries on stored symbols select.
+STORED_SCENARIOS = ["BUILDING", "MACHINERY"]
+
 # name -> (sql, dependencies)
 _CTE: dict[str, tuple[str, tuple[str, ...]]] = {
     "cal_r": ("""SELECT n.n_name AS region FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
@@ -713,7 +716,76 @@ def q_long_label_value() -> str:
         WHERE tech <> 'DROP' GROUP BY tech, year""", {"codes": f"SELECT * FROM (VALUES {_values(lookups.TECH_SUB)}) t(i, code, tech)"})
 
 
+def _of_stored() -> str:
+    return "scenario IN (" + ", ".join(f"'{x}'" for x in STORED_SCENARIOS) + ")"
+
+
+def q_scan_symbol() -> str:
+    return with_ctes(("lis",), f"SELECT scenario, tech_class, vintage, region, year, l_quantity AS level FROM lis WHERE {_of_stored()}")
+
+
+def q_stored_ca_capacity() -> str:
+    return with_ctes(("lis", "class_tax", "cal_r"), """
+        SELECT scenario, tech, year, sum(level) AS capacity FROM rows WHERE tech IS NOT NULL GROUP BY scenario, tech, year""", {
+        "own": f"SELECT * FROM lis WHERE {_of_stored()} AND region IN (SELECT region FROM cal_r)",
+        "rows": f"""SELECT scenario, {tech_of()} AS tech, year, l_quantity AS level FROM own
+                    UNION ALL SELECT scenario, 'Storage-capacity', year, l_quantity FROM own WHERE l_returnflag = 'R'
+                    UNION ALL SELECT scenario, 'Storage-energy', year, l_quantity FROM own WHERE l_returnflag = 'A'"""})
+
+
+def q_stored_dispatch_without_optional() -> str:
+    return with_ctes(("lis", "class_tax", "cal_r", "reph"), """
+        SELECT seg.scenario, seg.tech, seg.year, seg.segment, seg.level, reph.hour
+        FROM (SELECT scenario, tech, year, segment, sum(level) AS level FROM rows WHERE tech IS NOT NULL GROUP BY scenario, tech, year, segment) seg
+        JOIN reph ON seg.year = reph.year AND seg.segment = reph.segment""", {
+        "own": f"SELECT * FROM lis WHERE {_of_stored()} AND region IN (SELECT region FROM cal_r)",
+        "rows": f"""SELECT scenario, {tech_of()} AS tech, year, segment, l_quantity AS level FROM own WHERE l_returnflag = 'N'
+                    UNION ALL SELECT scenario, CASE l_linestatus WHEN 'O' THEN 'Storage-charge' ELSE 'Storage-discharge' END, year, segment, l_quantity
+                    FROM own WHERE l_returnflag = 'R'"""})
+
+
+def q_stored_list_scenarios() -> str:
+    return with_ctes(("lis",), "SELECT DISTINCT scenario FROM lis")
+
+
+def q_mart_csv_fom_costs() -> str:
+    cols = ", ".join(f"{mean(f"CASE WHEN vintage = '{v}' THEN value END")} * {DEFLATOR} AS \"{v}\"" for v in [*_VINTAGES, "2001+"])
+    return with_ctes(("lis", "class_tax", "cal_r"), f"""
+        SELECT scenario, tech, {cols} FROM (
+          SELECT scenario, {tech_of()} AS tech, CASE WHEN year = 2001 THEN '2001+' ELSE CAST(year AS VARCHAR) END AS vintage, l_extendedprice AS value
+          FROM lis WHERE region IN (SELECT region FROM cal_r))
+        WHERE tech IS NOT NULL AND vintage <> '1995' GROUP BY scenario, tech""")
+
+
+def q_mart_csv_capcosts() -> str:
+    cols = ", ".join(f"{mean(f'CASE WHEN year = {y} THEN value END')} * {DEFLATOR} AS \"{y}\"" for y in range(1995, 2002))
+    return with_ctes(("lis", "class_tax", "cal_r"), f"""
+        SELECT scenario, tech, {cols} FROM (
+          SELECT scenario, {tech_of()} AS tech, year, l_extendedprice AS value FROM lis WHERE year <> 1995 AND region IN (SELECT region FROM cal_r)
+          UNION ALL SELECT scenario, 'li-ion-power', year, l_extendedprice FROM lis WHERE l_returnflag = 'R' AND l_linestatus = 'F'
+          UNION ALL SELECT scenario, 'li-ion-energy', year, l_extendedprice FROM lis WHERE l_returnflag = 'A' AND l_linestatus = 'F')
+        WHERE tech IS NOT NULL GROUP BY scenario, tech""")
+
+
+def q_mart_parquet_capacity() -> str:
+    return with_ctes(("lis", "class_tax"), f"""
+        SELECT scenario, tech, region, year, sum(level) AS capacity FROM (
+          SELECT scenario, {tech_of()} AS tech, region, year, l_quantity AS level FROM lis
+          UNION ALL SELECT scenario, 'Storage-capacity', region, year, l_quantity FROM lis WHERE l_returnflag = 'R'
+          UNION ALL SELECT scenario, 'Storage-energy', region, year, l_quantity FROM lis WHERE l_returnflag = 'A')
+        WHERE tech IS NOT NULL GROUP BY scenario, tech, region, year""")
+
+
 QUERIES = {
+    "scan_symbol": q_scan_symbol,
+    "stored_ca_capacity": q_stored_ca_capacity,
+    "stored_dispatch_without_optional": q_stored_dispatch_without_optional,
+    "stored_list_scenarios": q_stored_list_scenarios,
+    "scan_multi_file": q_ca_loads,
+    "mart_csv_fom_costs": q_mart_csv_fom_costs,
+    "mart_csv_capcosts": q_mart_csv_capcosts,
+    "mart_parquet_capacity": q_mart_parquet_capacity,
+    "statistics_csv_peak_factors": q_peak_capacity_factors,
     "class_code_capacity": q_class_code_capacity,
     "report_code_generation": q_report_code_generation,
     "long_label_value": q_long_label_value,
@@ -819,12 +891,21 @@ DOUBLE_COLUMNS: dict[str, list[str]] = {
     "peak_capacity_factors_scenarios": ["load", "net_load", "solar", "wind", "offshore_wind"],
     "dispatch_deciles_scenarios": ["generation", "pct_gen"],
     "trade_net_scenarios": ["imports", "exports", "net_imports"],
+    "scan_symbol": ["level"],
+    "stored_ca_capacity": ["capacity"],
+    "stored_dispatch_without_optional": ["level"],
+    "scan_multi_file": ["load_hour", "load_segment", "hydrogen_load"],
+    "mart_csv_fom_costs": ["1996", "1997", "1998", "1999", "2000", "2001+"],
+    "mart_csv_capcosts": ["1996", "1997", "1998", "1999", "2000", "2001", "1995"],
+    "mart_parquet_capacity": ["capacity"],
+    "statistics_csv_peak_factors": ["load", "net_load", "solar", "wind", "offshore_wind"],
 }
 
 # Means and shares of inexact numbers, whose last digits depend on the order of addition.
 ROUNDED: dict[str, list[str]] = {
     "normalized_profile": ["solar", "value"],
     "peak_capacity_factors": ["solar", "wind", "offshore_wind"],
+    "statistics_csv_peak_factors": ["solar", "wind", "offshore_wind"],
     "monthly_comparison": ["Wind", "Solar"],
     "dispatch_deciles": ["pct_gen"],
     "normalized_profile_scenarios": ["solar", "value"],

@@ -27,7 +27,7 @@ from ..operators.expand import rep_hours
 from ..operators.filters import subset_data, subset_region
 from ..operators.partitioning import cluster_by_year
 from ..operators.reshape import separate
-from ..operators.windows import avg_rank, position_desc, ratio_to_group_max
+from ..operators.windows import avg_rank, position_desc, ratio_to_group_max, top_ranked
 from ..sources.symbols import SymbolSource
 from .marts import with_tech
 from .params import Params
@@ -216,31 +216,58 @@ def _by_tech(techs: Sequence[str], measure: str | Column, name: str) -> list[Col
     return [F.max(F.when(F.col("tech") == t, m)).alias(f"{t}|{name}") for t in techs]
 
 
-def net_load_hourly(mapping: DataFrame, p: Params) -> DataFrame:
-    """Per (year, hour) and type in {generation, capacity, af}: one column per renewable
-    technology, the load (incl. hydrogen), net load = load - renewable generation, and
-    ``order_id`` = average-tie rank of descending net load within (year, type).
+_NET_MEASURES = (("generation", "generation_h"), ("capacity", "capacity"), ("af", "af_h"))
 
-    One pivot of the wide mapping replaces the long->wide->long->wide round trip; the peer
-    lookup of generation becomes plain arithmetic on the wide row."""
+
+def _net_load(mapping: DataFrame, p: Params) -> DataFrame:
+    """One row per (year, hour): every renewable technology's generation, capacity and factor, the load (incl.
+    hydrogen) and net load = load - renewable generation."""
     techs = p.re_tech
     keys = scen_keys(mapping) + ["year", "hour", "segment", "hydrogen_load"]
-    measures = (("generation", "generation_h"), ("capacity", "capacity"), ("af", "af_h"))
     aggs = [F.max(F.col("load_h") + F.col("hydrogen_load")).alias("load")]
-    for name, src in measures:
+    for name, src in _NET_MEASURES:
         aggs += _by_tech(techs, src, name)
-    wide = cluster_by_year(mapping).groupBy(*keys).agg(*aggs)
     net = F.col("load")
     for t in techs:
         net = net - F.col(f"`{t}|generation`")
-    wide = wide.withColumn("net_load", net)
-    rows = F.array(*[F.struct(F.lit(name).alias("type"),
-                              *[F.col(f"`{t}|{name}`").alias(t) for t in techs])
-                     for name, _ in measures])
-    long = wide.select(*keys, "load", "net_load", F.inline(rows))
-    long = long.select(*keys, "load", "type", *[F.col(f"`{t}`") for t in techs], "net_load")
-    part = scen_keys(long) + ["year", "type"]
-    return long.withColumn("order_id", avg_rank("net_load", part, tie_break=["hour", "segment"], nullable=not p.dense))
+    return mapping.groupBy(*keys).agg(*aggs).withColumn("net_load", net)
+
+
+def _by_type(wide: DataFrame, p: Params) -> DataFrame:
+    """Three rows per hour, of type generation, capacity and af, with one column per renewable technology."""
+    keys = scen_keys(wide) + ["year", "hour", "segment", "hydrogen_load"]
+    rows = F.array(*[F.struct(F.lit(name).alias("type"), *[F.col(f"`{t}|{name}`").alias(t) for t in p.re_tech])
+                     for name, _ in _NET_MEASURES])
+    own = [c for c in ("order_id",) if c in wide.columns]
+    long = wide.select(*keys, "load", "net_load", *own, F.inline(rows))
+    return long.select(*keys, "load", "type", *[F.col(f"`{t}`") for t in p.re_tech], "net_load", *own)
+
+
+def _net_rank(wide: DataFrame, p: Params) -> Column:
+    """Average-tie rank of descending net load within a year. The three types of an hour share it."""
+    return avg_rank("net_load", scen_keys(wide) + ["year"], tie_break=["hour", "segment"], nullable=not p.dense)
+
+
+def net_load_hourly(mapping: DataFrame, p: Params) -> DataFrame:
+    """Per (year, hour) and type in {generation, capacity, af}: one column per renewable
+    technology, the load (incl. hydrogen), net load = load - renewable generation, and
+    ``order_id`` = average-tie rank of descending net load within (year, type).
+
+    One pivot of the wide mapping replaces the long->wide->long->wide round trip; the peer
+    lookup of generation becomes plain arithmetic on the wide row. Ranks are taken before an hour becomes three rows."""
+    wide = _net_load(cluster_by_year(mapping), p)
+    return _by_type(wide.withColumn("order_id", _net_rank(wide, p)), p)
+
+
+def peak_hours(mapping: DataFrame, p: Params) -> DataFrame:
+    """The rows of ``net_load_hourly`` among the top ``k`` net-load hours, without ranking the others.
+
+    An average rank is never below the plain rank, so hours of plain rank over k can go first; ties share a
+    plain rank, so they stay or go together and the average ranks of the others don't change. Spark limits each
+    group by the plain rank before its rows are shuffled."""
+    wide = _net_load(mapping, p)
+    top = top_ranked(wide, "net_load", scen_keys(wide) + ["year"], p.top_k)
+    return _by_type(top.withColumn("order_id", _net_rank(top, p)), p)
 
 
 def normalized_profile(net: DataFrame, p: Params) -> DataFrame:

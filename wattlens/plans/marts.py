@@ -17,7 +17,7 @@ from ..lookups import storage_label
 from ..operators.aggregate import dense_over_values, partial_rollup, scen_keys, sum_by
 from ..operators.filters import drop_null_keys, flag_region, subset_region
 from ..operators.lookup import apply_lookup
-from ..operators.reshape import pivot_values
+from ..operators.reshape import pivot_lazy, pivot_values
 from ..sources.symbols import SymbolSource
 from .params import Params
 
@@ -82,21 +82,29 @@ def _pivot(df: DataFrame, idx: list, column: str, labels: list | None, value: st
     return pivot_values(df, idx, column, labels, value, names=[str(v) for v in labels])
 
 
+def _cost_rows(sym: SymbolSource, p: Params, symbol: str) -> DataFrame:
+    """Regional costs by (tech, vintage) without the base-year vintage."""
+    df = with_tech(subset_region(sym.get(symbol), sym.get("cal_r")), p)
+    return drop_null_keys(df, scen_keys(df) + ["tech", "vintage"]).where(F.col("vintage") != str(p.base_year))
+
+
+def _deflated(p: Params):
+    return lambda value: current_dollars(mean(value), p.deflator)
+
+
 def _cost_wide(sym: SymbolSource, p: Params, symbol: str) -> DataFrame:
     """Regional mean cost by (tech, vintage), deflated, one column per vintage; the base-year
     vintage is left out. The mean is taken by the pivot itself (one aggregation)."""
-    df = with_tech(subset_region(sym.get(symbol), sym.get("cal_r")), p)
+    df = _cost_rows(sym, p, symbol)
     idx = scen_keys(df) + ["tech"]
-    df = drop_null_keys(df, idx + ["vintage"]).where(F.col("vintage") != str(p.base_year))
     labels = None if p.vintages is None else [v for v in p.vintages if v != str(p.base_year)]
     wide = _pivot(df, idx, "vintage", labels, "value")
     return wide.select(*idx, *[current_dollars(F.col(f"`{c}`"), p.deflator).alias(c) for c in wide.columns if c not in idx])
 
 
-def capcosts_wide(sym: SymbolSource, p: Params) -> DataFrame:
-    """tech, <vintage...>: capital costs, plus the storage power/energy rows (all regions, by
-    year); year columns that only storage has come last. One pass and one pivot: vintages (the
-    open one under the last year's name) and years are the same labels."""
+def _capcost_rows(sym: SymbolSource, p: Params) -> tuple[DataFrame, list[str]]:
+    """Rows (index, label, value, plant) of the capital costs. Vintages (the open one under the last year's name) and
+    years are the same labels."""
     rows = with_tech(sym.stacked(["capcost", "icg", "irg"]), p)
     plant = F.col("symbol") == "capcost"
     rows = flag_region(rows, sym.get("cal_r"), "__in")
@@ -109,10 +117,16 @@ def capcosts_wide(sym: SymbolSource, p: Params) -> DataFrame:
     name = (F.when(F.col("symbol") == "icg", f"{p.storage_class}-power")
             .when(F.col("symbol") == "irg", f"{p.storage_class}-energy").otherwise(F.col("tech")))
     idx = scen_keys(rows) + ["tech"]
-    rows = drop_null_keys(rows.withColumns({"tech": name, "label": label}), idx + ["label"])
+    return drop_null_keys(rows.withColumns({"tech": name, "label": label, "plant": plant}), idx + ["label"]), idx
+
+
+def capcosts_wide(sym: SymbolSource, p: Params) -> DataFrame:
+    """tech, <vintage...>: capital costs, plus the storage power/energy rows (all regions, by
+    year); year columns that only storage has come last. One pass and one pivot."""
+    rows, idx = _capcost_rows(sym, p)
     if p.vintages is None or p.pivot_years is None:
         # the labels present: a small job over the cost symbols' keys
-        found = rows.select(plant.alias("plant"), "label").distinct().collect()
+        found = rows.select("plant", "label").distinct().collect()
         own = sorted({r.label for r in found if r.plant})
         labels = own + sorted({r.label for r in found} - set(own))
     else:
@@ -126,6 +140,23 @@ def fom_costs_wide(sym: SymbolSource, p: Params) -> DataFrame:
     return _cost_wide(sym, p, "fomcost")
 
 
+def capcosts(sym: SymbolSource, p: Params) -> DataFrame:
+    """The capital-cost mart: wide over listed labels, else a lazy pivot that the sink makes wide. Never runs a job."""
+    if p.vintages is not None and p.pivot_years is not None:
+        return capcosts_wide(sym, p)
+    rows, idx = _capcost_rows(sym, p)
+    rows = rows.withColumn("place", F.when(F.col("plant"), 0).otherwise(1))
+    return pivot_lazy(rows, idx, "label", "value", _deflated(p), place="place")
+
+
+def fom_costs(sym: SymbolSource, p: Params) -> DataFrame:
+    """The fixed-cost mart, like ``capcosts``."""
+    if p.vintages is not None:
+        return fom_costs_wide(sym, p)
+    rows = _cost_rows(sym, p, "fomcost")
+    return pivot_lazy(rows, scen_keys(rows) + ["tech"], "vintage", "value", _deflated(p))
+
+
 def marginal_costs(sym: SymbolSource, p: Params) -> DataFrame:
     """tech, vintage, marginal_cost: regional mean variable cost, deflated."""
     df = with_tech(subset_region(sym.get("icost"), sym.get("cal_r")), p)
@@ -136,13 +167,26 @@ def marginal_costs(sym: SymbolSource, p: Params) -> DataFrame:
 
 # -- emissions -------------------------------------------------------------------------------------
 
-def emissions_rollup(sym: SymbolSource, p: Params) -> DataFrame:
-    """region, <year...>: emissions x 1000 by region plus the aggregate region row."""
+def _emission_rows(sym: SymbolSource, p: Params) -> tuple[DataFrame, list[str]]:
     df = sym.get("CO2_ELEC").select(*scen_keys(sym.get("CO2_ELEC")), "region", "year",
                                     (F.col("level") * 1000).alias("emissions"))
     both = partial_rollup(df, sym.get("cal_r"), p.aggregate_region, ["year"], "emissions")
     idx = scen_keys(both) + ["region"]
-    return _pivot(drop_null_keys(both, idx), idx, "year", p.pivot_years, "emissions")
+    return drop_null_keys(both, idx), idx
+
+
+def emissions_rollup(sym: SymbolSource, p: Params) -> DataFrame:
+    """region, <year...>: emissions x 1000 by region plus the aggregate region row."""
+    rows, idx = _emission_rows(sym, p)
+    return _pivot(rows, idx, "year", p.pivot_years, "emissions")
+
+
+def emissions(sym: SymbolSource, p: Params) -> DataFrame:
+    """The emissions mart, like ``capcosts``."""
+    if p.pivot_years is not None:
+        return emissions_rollup(sym, p)
+    rows, idx = _emission_rows(sym, p)
+    return pivot_lazy(drop_null_keys(rows, ["year"]), idx, "year", "emissions")
 
 
 # -- generation & capacity report ------------------------------------------------------------------

@@ -103,6 +103,25 @@ WIDE_MARTS = {
     "regional_emissions_mtco2": [("region", S)],
 }
 
+#: The order in which a mart's rows are stored: the keys that its job groups or pivots by.
+MART_ORDER = {
+    "capcosts_usd2024": ["tech"],
+    "fom_costs_usd2024": ["tech"],
+    "marginal_costs_usd2024": ["tech", "vintage"],
+    "regional_emissions_mtco2": ["region"],
+    "capacity_by_region_gw": ["tech", "region", "year"],
+    "ca_capacity": ["tech", "year"],
+    "investment_by_region_gw": ["tech", "region", "year"],
+    "ca_investment": ["tech", "year"],
+    "ca_loads": ["year", "hour", "segment"],
+    "ca_hourly_mapping": ["tech", "year", "hour"],
+    "generation_twh": ["tech", "region", "unit", "year"],
+    "capacity_gw": ["tech", "region", "unit", "year"],
+    "dispatch_by_segment_gwh": ["tech", "year", "segment", "hour"],
+    "trade_gw": ["year", "segment", "region_exp", "region_imp", "hour"],
+    "capacity_factors_top_25": ["type", "year"],
+}
+
 
 def mart_schema(name: str, columns: list[str]) -> StructType:
     """Types of a stored mart's columns, in their order there."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,9 +61,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, under the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"wattlens-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables written by a job."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    """A path for intermediate tables written by a job of this application."""
+    return os.path.join(scratch_root(spark), name)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the scratch folder and read again. Like ``cut_lineage`` it survives lost
+    executors; as a file scan it also has sizes, so the planner can choose joins, and prunes columns."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Call it when no result that reads them is needed any more
+    (a DataFrame of a job with stored intermediate tables can't be run after it)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -41,7 +41,7 @@ from .. import lookups
 from ..operators.aggregate import sum_by
 from ..plans.params import Params
 from ..schemas import SYMBOLS
-from ..session import cut_lineage
+from ..session import stored
 from .symbols import SymbolSource, canonicalize, stack_parts
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
@@ -64,6 +64,12 @@ LONG_NAME_WORD = {"anvil": "Hydro", "bolt": "Bio", "gear": "Coal", "gizmo": "Geo
 REPORT_TYPES = ["h2prod_ht", "h2prod_ne", "h2prod_pa", "h2stortrn", "elec_load"]
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A table that several symbols read, written once to the scratch folder: unlike a checkpoint it has sizes for the
+    planner and columns that can be pruned."""
+    return stored(df, "driver")
+
+
 def segment_of(hour: Column, year: Column) -> Column:
     return F.concat(F.lit("s"), ((hour * 37 + year) % SEGMENTS).cast("string"))
 
@@ -184,23 +190,24 @@ class DriverSymbols(SymbolSource):
             return [none.alias("marginal"), F.lit(0.0).alias("lower"), none.alias("upper"), F.lit(1.0).alias("scale")]
         return [F.lit("").alias("element_text")] if kind == "set" else []
 
+    def raw(self, name: str) -> DataFrame | None:
+        line, fn = self.line_symbols().get(name), getattr(self, f"raw_{name}", None)
+        if line is None and (fn is None or name == "hrep"):  # the hour map is stored year by year
+            return None
+        if line is None:
+            rows = fn()
+        else:
+            rows = self.lines(line.needs_part)
+            rows = rows if line.rows is None else rows.where(line.rows)
+            rows = rows.select(*self._scen(*[e.alias(n) for n, e in line.columns.items()]))
+        return rows.select("*", *self._attributes(name))
+
     def _load(self, name: str) -> DataFrame | None:
         if name == "hrep":
             return self._once("hrep", self._hour_map)
-        line, fn = self.line_symbols().get(name), getattr(self, f"raw_{name}", None)
-        if line is None and fn is None:
+        if name not in self.line_symbols() and not hasattr(self, f"raw_{name}"):
             return None
-
-        def build() -> DataFrame:
-            if line is None:
-                raw = fn()
-            else:
-                raw = self.lines(line.needs_part)
-                raw = raw if line.rows is None else raw.where(line.rows)
-                raw = raw.select(*self._scen(*[e.alias(n) for n, e in line.columns.items()]))
-            return canonicalize(raw.select("*", *self._attributes(name)), SYMBOLS[name])
-
-        return self._once(f"symbol-{name}", build)
+        return self._once(f"symbol-{name}", lambda: canonicalize(self.raw(name), SYMBOLS[name]))
 
     def stacked(self, names: Sequence[str]) -> DataFrame:
         """Symbols made of lines are stacked in one pass over the lines: every line gives the rows
@@ -237,16 +244,17 @@ class DriverSymbols(SymbolSource):
         total = F.sum(F.col("o_totalprice").cast(MONEY)).cast("decimal(24,2)") * F.lit("0.000000001").cast("decimal(9,9)")
         return df.groupBy(F.col("region").alias("r"), model_year("o_orderdate").alias("t")).agg(total.alias("level"))
 
-    def _hour_part(self, year: int) -> DataFrame:
+    def raw_hrep(self, year: int) -> DataFrame:
+        """The hour map of one model year, as its own file would hold it."""
         h = self.spark.range(1, lookups.HOURS_PER_YEAR + 1).select(F.lit(year).alias("t"), F.col("id").cast("int").alias("h"))
-        return h.withColumn("s", segment_of(F.col("h"), F.col("t")))
+        return h.withColumn("s", segment_of(F.col("h"), F.col("t"))).select("*", *self._attributes("hrep"))
 
     def _hour_map(self) -> DataFrame:
-        return stack_parts([self._hour_part(y).select("*", *self._attributes("hrep")) for y in YEARS], "hrep")
+        return stack_parts([self.raw_hrep(y) for y in YEARS], "hrep")
 
     def cells(self) -> DataFrame:
         """Events summed once to (type, k, region, year, hour): at most 5 x 5 x 25 x 7 x 8,760 rows, however
-        many events. All hourly symbols read this checkpointed table, so the events are scanned once."""
+        many events. All hourly symbols read this stored table, so the events are scanned once."""
         return self._once("cells", lambda: cut_lineage(self._cells()))
 
     def _cells(self) -> DataFrame:
@@ -303,7 +311,7 @@ class DriverSymbols(SymbolSource):
 
     def hourly_capacity(self) -> DataFrame:
         """Capacity of the lines, one row per part type (class ``type-all``), vintage, region and year (and
-        scenario): at most 6 x 7 x 25 x 7 rows each, however many lines. Checkpointed, as the factors of both
+        scenario): at most 6 x 7 x 25 x 7 rows each, however many lines. Stored, as the factors of both
         time slots and the scenarios' model years read it."""
         def build() -> DataFrame:
             xc = self.get("XC").withColumn("tech_class", F.concat(F.substring_index("tech_class", "-", 1), F.lit("-all")))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType
 
 from ..schemas import DROPPED_ATTRIBUTES, SYMBOLS, Symbol
+from .folders import Folders, partition_value
+from .sinks import load, write_table
 
 
 class SymbolMissing(KeyError):
@@ -82,11 +84,16 @@ class SymbolSource:
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
+    def raw(self, name: str) -> DataFrame | None:
+        """The symbol as result files hold it: raw domain names, attribute columns. Sources that only have
+        canonical symbols give those."""
+        return self._load(name)
+
     def available(self, name: str) -> bool:
         return self._load(name) is not None
 
     def scenarios(self) -> DataFrame:
-        """Distinct scenario names (for stored symbols the partition values of one small symbol)."""
+        """Distinct scenario names. Stored symbols list folders instead."""
         return self.get("IX").select("scenario").distinct()
 
     def override(self, **builders: Callable[[], DataFrame]) -> "SymbolSource":
@@ -136,7 +143,7 @@ class ParquetSymbols(SymbolSource):
         if name not in SYMBOLS:
             return None
         try:
-            df = self.spark.read.parquet(self.path(name))
+            df = load(self.spark, self.path(name))
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
                 return None
@@ -145,6 +152,15 @@ class ParquetSymbols(SymbolSource):
             df = df.where(F.col("scenario").isin(self.selected))
         return canonicalize(df, SYMBOLS[name])
 
+    def scenarios(self) -> DataFrame:
+        """The scenarios of ``IX``, from the names of its folders: no file is opened and no job runs. An ``IX`` without
+        scenario folders is asked for its column."""
+        listed = [partition_value(n) for n in Folders(self.spark, self.root).names(self.path("IX")) if n.startswith("scenario=")]
+        if not listed:
+            return super().scenarios()
+        wanted = [v for v in listed if self.selected is None or v in self.selected]
+        return self.spark.createDataFrame([(v,) for v in wanted], "scenario string")
+
     def get(self, name: str, required: bool = True) -> DataFrame:
         if required and self._load(name) is None:
             raise SymbolMissing(f"symbol {name!r} is missing: there is no folder {self.path(name)}")
@@ -158,6 +174,9 @@ class FrameSymbols(SymbolSource):
         self.spark, self.frames = spark, dict(frames)
         self.with_scenario = any("scenario" in f.columns for f in self.frames.values())
 
+    def raw(self, name: str) -> DataFrame | None:
+        return self.frames.get(name)
+
     def _load(self, name: str) -> DataFrame | None:
         df = self.frames.get(name)
         return None if df is None else canonicalize(df, SYMBOLS[name])
@@ -171,6 +190,36 @@ def stack_parts(parts: Sequence[DataFrame], symbol: str) -> DataFrame:
     return out
 
 
-def scan_multi_file(spark: SparkSession, paths: Sequence[str], symbol: str) -> DataFrame:
-    """Several files of one symbol read as one table; each may have raw or canonical names."""
-    return stack_parts([spark.read.parquet(path) for path in paths], symbol)
+def scan_multi_file(spark: SparkSession, paths: Sequence[str], symbol: str, key: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Several files (or folders) of one symbol in one scan; each may have raw or canonical names.
+
+    ``key`` names a canonical column that the file's name gives: ``pattern`` is a regular expression whose first
+    group is its value. Files that hold the column, too, must agree with their names; a name without the
+    pattern, or a value that isn't of the column's type, is an error.
+    """
+    spec = SYMBOLS[symbol]
+    df = load(spark, paths, mergeSchema="true")
+    raw_of: dict[str, list[str]] = {}
+    for raw in df.columns:
+        raw_of.setdefault(spec.renames().get(raw, raw), []).append(raw)
+    cols = {name: F.coalesce(*[F.col(f"`{c}`") for c in raws]) for name, raws in raw_of.items() if name not in DROPPED_ATTRIBUTES}
+    if key is not None:
+        type_ = dict(spec.columns)[key]
+        text = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+        named = F.try_to_number(text, F.lit("9" * 18)).cast(type_) if type_.simpleString() in ("int", "bigint") else F.nullif(text, F.lit(""))
+        problem = F.raise_error(F.concat(F.lit(f"the name gives no {key}, or another one than the file: "), F.col("_metadata.file_path"))).cast(type_)
+        own = cols.get(key, F.lit(None)).cast(type_)
+        cols[key] = F.when(named.isNotNull() & (own.isNull() | (own == named)), named).otherwise(problem)
+    return canonicalize(df.select(*[c.alias(n) for n, c in cols.items()]), spec)
+
+
+def write_symbols(source: SymbolSource, names: Iterable[str], root: str, scenarios: Sequence[str] | None = None) -> None:
+    """Store a source's raw symbols as ``<root>/<symbol>``, in a folder for each scenario where it has scenarios
+    (rows of one scenario are spread over files of a fair size), with the staged commit of the marts."""
+    for name in names:
+        raw = source.raw(name)
+        if raw is None:
+            raise SymbolMissing(f"symbol {name!r} is not available")
+        if "scenario" in raw.columns:
+            raw = raw.hint("rebalance", "scenario")
+        write_table(raw, os.path.join(root, name), scenarios=scenarios)
