@@ -6,18 +6,17 @@ words gives its whole word sequence as one. Two texts link when 100 * |intersect
 
 1. **Classes.** Texts with equal sets (128-bit digest of the sorted shingles) are one class. Shuffled
    texts are first freed of copies slice by slice, so a text of a third of all rows stays small.
-2. **Census.** Every part of the texts sends its distinct shingles, 40-bit names packed by bucket, and gets
-   back the magnitude of how many sets have each. That gives one global order: rare shingles first. Only
-   shingles whose hash falls into the first ``COUNTED`` of 256 values are counted; the others follow in
-   hash order, as prefixes seldom reach them.
+2. **Census.** Every part of the texts sends its distinct shingles, 32-bit names packed by bucket, and gets
+   back the magnitude of how many sets have each. That gives one global order: rare shingles first. (Two
+   shingles of one name count as one everywhere, which only moves them in the order.)
 3. **Index lists.** Two linked sets share a shingle in their prefixes (the first n - ceil(n * percent / 100) + 1).
    Prefix shingles that no other set has are dropped, and with them nearly all texts.
-4. **First answers.** Each list's set with the least position (the one with the fewest rarer shingles) is
-   its head. Every set of the list is measured against its head, so the work is linear in the lists; links
-   give components.
-5. **Block skipping.** A list is cut into blocks of one component and size class. A block keeps the largest
-   partner that the positions of its sets allow. Pairs of blocks of one component, or whose sizes and
-   positions forbid a link, are skipped whole; a list within one component costs nothing more.
+4. **Block skipping.** A list is cut into blocks of sets of one size in which its shingle stands at one position. Both
+   bound the overlap of two sets, so a block that fits no block of its list is skipped whole.
+5. **First answers.** Each list's set with the least position (the one with the fewest rarer shingles) is
+   its head. Every other set is measured against its list's head, so the work is linear in the lists; links
+   give components. A list within one component needs no more; others are cut into blocks of one component and
+   size class, and pairs of blocks that don't fit are skipped as before.
 6. **Derived answers.** For a pair left over, both sets' overlaps with the list's head are known. They bound
    the pair's own overlap from both sides, which mostly decides it; the rest is measured.
 
@@ -49,8 +48,6 @@ from wattlens.session import cut_lineage
 from . import _text
 from ._components import components
 
-#: Of 256 hash values, those whose shingles are counted. Must exceed the prefix's share; the more, the fewer uncounted shingles in prefixes.
-COUNTED = 102
 #: Bytes of text in a part at least, and the root rule that keeps the entries between parts and buckets from getting too small.
 PART_BYTES = 8 << 20
 ENTRY_BYTES = 290
@@ -58,13 +55,10 @@ MIN_PARTS = 12
 #: Words over this length are hashed by XXH64, as the prefix hash is weak on long patterns.
 LONG_WORD = 64
 
-_NAME_BITS = np.uint64(40)
-_NAME = np.uint64((1 << 40) - 1)
-_UNCOUNTED = 64
+_NAME_BITS = np.uint64(32)
+_NAME = np.uint64((1 << 32) - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 ADDED = ("n_shingles", "component_id")
-#: Sizes whose logarithms to this base share a whole part are one size class.
-SIZE_BASE = 1.25
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -114,13 +108,18 @@ def _name(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _counted(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64(0xFF)) < np.uint64(COUNTED)
+def _keys(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """Bucket and 32-bit name of each shingle in one number."""
+    return ((tokens >> np.uint64(40)) % np.uint64(parts) << _NAME_BITS) | (tokens >> np.uint64(8)) & _NAME
 
 
-def _keys(tokens: np.ndarray, parts: int) -> np.ndarray:
-    """Bucket and 40-bit name of each shingle in one number."""
-    return ((tokens >> _NAME_BITS) % np.uint64(parts) << _NAME_BITS) | (tokens >> np.uint64(8)) & _NAME
+def _planes(names: np.ndarray) -> bytes:
+    """Sorted 32-bit names byte by byte, the highest bytes first: those repeat, so a shuffle's compression takes them away."""
+    return np.ascontiguousarray(names.astype(">u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(">u4")[:, 0]
 
 
 def _required(n: np.ndarray | int, percent: int):
@@ -168,12 +167,11 @@ class _Job:
                 own[a] += 1
                 own[b] -= 1
             mine = tokens[np.cumsum(own[:-1], dtype=np.int8).astype(bool)]
-            found.append(_keys(mine[_counted(mine)], self.parts))
+            found.append(_keys(mine, self.parts))
         key, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         count = np.minimum(count, 255).astype(np.uint8)
         edge = np.searchsorted(key, np.arange(self.parts + 1, dtype=np.uint64) << _NAME_BITS)
-        packed = np.ascontiguousarray((key & _NAME).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-        rows = [(b, packed[i:j].tobytes(), count[i:j].tobytes()) for b, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if j > i]
+        rows = [(b, _planes(key[i:j] & _NAME), count[i:j].tobytes()) for b, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if j > i]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()),
                          "part": pa.array(np.full(len(rows), table.column("part")[0].as_py()), pa.int32()),
                          "names": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
@@ -181,11 +179,10 @@ class _Job:
     @staticmethod
     def reply(table: pa.Table) -> pa.Table:
         """For each part's shingles, in the order sent: 0 if one set has it, else the magnitude of the number of sets."""
-        blobs, counts = table.column("names").to_pylist(), table.column("counts").to_pylist()
+        counts = table.column("counts").to_pylist()
         size = np.array([len(x) for x in counts])
-        wide = np.zeros((size.sum(), 8), np.uint8)
-        wide[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
-        name, own = wide.view("<u8")[:, 0], np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
+        name = np.concatenate([_from_planes(x) for x in table.column("names").to_pylist()]).astype(np.uint32)
+        own = np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
         order = np.argsort(name, kind="stable")
         same = np.concatenate([[True], name[order][1:] != name[order][:-1]])
         head = np.flatnonzero(same)
@@ -197,17 +194,15 @@ class _Job:
                          "grades": pa.array([grade[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
     def lists(self, table: pa.Table, news: pa.Table) -> pa.Table:
-        """Sets that share a prefix shingle with another set (or may do), with those shingles and their positions."""
+        """Sets that share a prefix shingle with another set, with those shingles and their positions."""
         held = list(self._sets(table))
         mine = [np.concatenate([t[a:b] for _, a, b in sets]) if sets else np.zeros(0, np.uint64) for t, sets in held]
-        key = np.unique(np.concatenate([_keys(t[_counted(t)], self.parts) for t in mine])) if mine else np.zeros(0, np.uint64)
+        key = np.unique(np.concatenate([_keys(t, self.parts) for t in mine])) if mine else np.zeros(0, np.uint64)
         news = news.take(pa.compute.sort_indices(news, [("bucket", "ascending")])) if news.num_rows else news
         grades = np.frombuffer(b"".join(news.column("grades").to_pylist()), np.uint8)
         rows: list[tuple] = []
         for tokens, (_, sets) in zip(mine, held, strict=True):
-            counted = _counted(tokens)
-            grade = np.full(len(tokens), _UNCOUNTED, np.uint8)
-            grade[counted] = grades[np.searchsorted(key, _keys(tokens[counted], self.parts))]
+            grade = grades[np.searchsorted(key, _keys(tokens, self.parts))]
             size = np.array([b - a for _, a, b in sets], np.int64)
             edge = np.concatenate([[0], np.cumsum(size)])
             prefix = size - _required(size, self.percent) + 1
@@ -259,7 +254,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def index_lists(docs: DataFrame, text_col: str, k: int, percent: int, parts: int) -> DataFrame:
-    """Distinct sets that may have a link: ``name, n, tokens, prefix`` (shingles that other sets share, and positions)."""
+    """Distinct sets that share a prefix shingle with another: ``name, n, tokens, prefix`` (those shingles, and positions)."""
     job = _Job(k, percent, parts)
     by_part = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda b: job.deal(b), "part int, text string").groupBy("part")
     census = by_part.applyInArrow(lambda t: job.census(t), "bucket int, part int, names binary, counts binary")
@@ -269,17 +264,33 @@ def index_lists(docs: DataFrame, text_col: str, k: int, percent: int, parts: int
     return found.dropDuplicates(["name"])
 
 
-def set_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the sets that are linked, from ``index_lists``."""
-    entries = sets.select("name", "n", F.inline("prefix"))
-    heads = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "name")).alias("h"), F.count("*").alias("sets")).where("sets > 1")
+def _size_class(percent: int) -> Column:
+    """Linked sets are of one class or of neighbouring ones (the base exceeds the largest ratio of their sizes)."""
+    return F.floor(F.log(1.01 * max(100 / percent, 1.25), F.col("n"))).alias("size")
 
-    def cap(n: Column, pos: Column) -> Column:
-        return F.floor((100 + percent) * (n - pos) / percent) - n
 
+def _live(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries of a list that sizes and positions let link with another entry of it, found block by block.
+
+    A block holds the entries of one size and position, so there are few in a list of any length.
+    """
+    blocks = entries.groupBy("token", "n", "cap").agg(F.count("*").alias("sets")).withColumn("size", _size_class(percent))
+    larger = blocks.select("token", F.col("n").alias("m"), F.col("cap").alias("m_cap"), "size")
+    # the smaller set of a pair looks into its own class and the next
+    met = (blocks.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))).join(larger, ["token", "size"])
+           .where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & ((F.col("cap") != F.col("m_cap")) | (F.col("sets") > 1))))
+           .where(_fit(F.col("n"), F.col("cap"), F.col("m"), F.col("m_cap"), percent)))
+    live = met.select(F.explode(F.array(F.struct("token", "n", "cap"), F.struct("token", F.col("m").alias("n"), F.col("m_cap").alias("cap")))).alias("b"))
+    return entries.join(live.select("b.*").distinct(), ["token", "n", "cap"], "left_semi")
+
+
+def set_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets that are linked, from ``index_lists``."""
+    cap = F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")
+    entries = cut_lineage(_live(sets.select("name", "n", F.inline("prefix")).select("token", "name", "n", cap.alias("cap"), "pos"), percent))
+    heads = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "name", "cap")).alias("h"))
     entries = cut_lineage(entries.join(heads, "token").select(
-        "token", "name", "n", cap(F.col("n"), F.col("pos")).alias("cap"), F.col("h.name").alias("head"), F.col("h.n").alias("head_n"),
-        cap(F.col("h.n"), F.col("h.pos")).alias("head_cap")))
+        "token", "name", "n", "cap", F.col("h.name").alias("head"), F.col("h.n").alias("head_n"), F.col("h.cap").alias("head_cap")))
     first = (entries.where((F.col("name") != F.col("head")) & _fit(F.col("n"), F.col("cap"), F.col("head_n"), F.col("head_cap"), percent))
              .select(F.col("name").alias("a"), F.col("head").alias("b"), "n", F.col("head_n").alias("m")).distinct())
     answers = cut_lineage(_measured(first, sets))
@@ -289,9 +300,9 @@ def set_links(sets: DataFrame, percent: int) -> DataFrame:
     by_head = answers.select(F.col("a").alias("name"), F.col("b").alias("head"), "overlap")
     entries = (entries.join(known.withColumnRenamed("node", "name"), "name", "left").join(by_head, ["name", "head"], "left")
                .select("token", "name", "n", "cap", "head_n", F.coalesce("component", "name").alias("component"),
-                       F.when(F.col("name") == F.col("head"), F.col("n")).otherwise(F.col("overlap")).alias("overlap"),
-                       F.floor(F.log(SIZE_BASE, F.col("n"))).alias("size")))
-    entries = cut_lineage(entries)
+                       F.when(F.col("name") == F.col("head"), F.col("n")).otherwise(F.col("overlap")).alias("overlap"), _size_class(percent)))
+    open_ = entries.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
+    entries = cut_lineage(entries.join(open_, "token", "left_semi"))
     blocks = entries.groupBy("token", "component", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("cap").alias("cap"))
     a, b = blocks.alias("a"), blocks.alias("b")
     met = (a.join(b, "token").where(F.col("a.component") < F.col("b.component"))
