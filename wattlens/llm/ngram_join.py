@@ -49,7 +49,7 @@ from . import _text
 from ._components import components
 
 #: Bytes of text in a part at least, and the root rule that keeps the entries between parts and buckets from getting too small.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 ENTRY_BYTES = 290
 MIN_PARTS = 12
 #: Words over this length are hashed by XXH64, as the prefix hash is weak on long patterns.
@@ -168,8 +168,10 @@ class _Job:
                 own[b] -= 1
             mine = tokens[np.cumsum(own[:-1], dtype=np.int8).astype(bool)]
             found.append(_keys(mine, self.parts))
-        key, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        count = np.minimum(count, 255).astype(np.uint8)
+        key = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+        count = np.minimum(np.diff(np.append(head, len(key))), 255).astype(np.uint8)
+        key = key[head]
         edge = np.searchsorted(key, np.arange(self.parts + 1, dtype=np.uint64) << _NAME_BITS)
         rows = [(b, _planes(key[i:j] & _NAME), count[i:j].tobytes()) for b, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if j > i]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()),
@@ -195,14 +197,21 @@ class _Job:
 
     def lists(self, table: pa.Table, news: pa.Table) -> pa.Table:
         """Sets that share a prefix shingle with another set, with those shingles and their positions."""
-        held = list(self._sets(table))
-        mine = [np.concatenate([t[a:b] for _, a, b in sets]) if sets else np.zeros(0, np.uint64) for t, sets in held]
-        key = np.unique(np.concatenate([_keys(t, self.parts) for t in mine])) if mine else np.zeros(0, np.uint64)
+        mine, sets_of = [], []
+        for t, sets in self._sets(table):
+            mine.append(np.concatenate([t[a:b] for _, a, b in sets]) if sets else np.zeros(0, np.uint64))
+            sets_of.append(sets)
+        # the replies stand in the order of the distinct keys
+        key = np.concatenate([_keys(t, self.parts) for t in mine]) if mine else np.zeros(0, np.uint64)
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
         news = news.take(pa.compute.sort_indices(news, [("bucket", "ascending")])) if news.num_rows else news
-        grades = np.frombuffer(b"".join(news.column("grades").to_pylist()), np.uint8)
+        grades = np.empty(len(key), np.uint8)
+        grades[order] = np.frombuffer(b"".join(news.column("grades").to_pylist()), np.uint8)[np.cumsum(new) - 1]
+        del key, order, new
         rows: list[tuple] = []
-        for tokens, (_, sets) in zip(mine, held, strict=True):
-            grade = grades[np.searchsorted(key, _keys(tokens, self.parts))]
+        for tokens, sets, grade in zip(mine, sets_of, np.split(grades, np.cumsum([len(t) for t in mine])[:-1]) if mine else [], strict=True):
             size = np.array([b - a for _, a, b in sets], np.int64)
             edge = np.concatenate([[0], np.cumsum(size)])
             prefix = size - _required(size, self.percent) + 1
