@@ -118,3 +118,10 @@ def test_edge_cases(spark, docs):
     assert sorted(str(r.doc_id) for r in d.remove(df, items).collect()) == ["2", "2", "3", "4"]
     assert d.remove(docs(rows), none).count() == 5 and d.annotate(docs([]), items).count() == 0
     assert d.remove(docs(rows), items).columns == docs(rows).columns
+
+
+def test_items_of_one_word_are_no_question_with_an_answer(spark, docs):
+    items = spark.createDataFrame([(1, "Yes"), (2, "yes"), (3, "Really yes"), (4, ""), (5, None)], ITEMS)
+    found = d.annotate(docs([(1, "I said yes to a walk."), (2, "yes"), (3, "really, he said yes")]), items).collect()
+    assert {r.doc_id: sorted(h.item_id for h in r.hits) for r in found} == {1: [], 2: [], 3: [3]}
+    assert sorted(r.doc_id for r in d.remove(docs([(1, "I said yes to a walk."), (2, "yes"), (3, "really, he said yes")]), items).collect()) == [1, 2]

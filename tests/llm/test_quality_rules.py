@@ -60,3 +60,18 @@ def test_policies_and_ablations(docs):
         assert ab[name].n_failed == sum(m >> i & 1 for m in masks)
         assert ab[name].n_failed_alone == sum(m == 1 << i for m in masks)
     assert q.ablations(rows.limit(0), "v1").count() == len(q.RULES)
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_patterns_that_polynomial_hashes_confuse(docs):
+    """Different lines and words count as different, whatever their pattern."""
+    a, b = thue_morse(4096)
+    ts = [a + "\n" + b, a + "\n" + b + "\n" + a, f"w x {a} y z w x {b} y z", f"w x {a} y z w x {a} y z", f"{a} {b} {a} {a}"]
+    for row in q.ledger(docs(list(enumerate(ts)))).collect():
+        assert {m: row[m] for m in q.MEASURES} == brute(ts[row.doc_id]), row.doc_id

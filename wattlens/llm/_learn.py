@@ -11,16 +11,12 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample_keys(rows: DataFrame, id_col: str, class_col: str, per_class: int, seed: str, classes: int = 256) -> DataFrame:
+def sample_keys(rows: DataFrame, id_col: str, class_col: str, per_class: int, seed: str) -> DataFrame:
     """(id, class) of at most about ``per_class`` rows of each class, chosen by a hash of the id.
 
-    Reads only the id and the class. Classes beyond the ``classes`` most frequent are left out, so
-    the result is bounded whatever the input's size.
+    Reads only the id and the class; no class is left out.
     """
     keys = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{class_col}`").alias("class")).where("id IS NOT NULL AND class IS NOT NULL")
-    counts = keys.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(classes).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("class") == F.lit(r["class"]), F.lit(min(1.0, per_class / r["n"]))).otherwise(share)
+    counts = keys.groupBy("class").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return keys.where(place < share)
+    return keys.join(counts, "class").where(place < F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("n"))).select("id", "class")

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
@@ -109,6 +110,18 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * shift + (end - start).astype(np.uint64))
 
 
+#: Spans over this length are hashed by XXH64: a polynomial modulo 2**64 can't tell some long patterns apart.
+LONG_SPAN = 64
+
+
+def safe_hash(buf: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``span_hash`` where equal hashes shall mean equal bytes, whatever the spans hold."""
+    out = span_hash(prefix, start, end)
+    for i in np.flatnonzero(end - start > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh64_intdigest(buf[start[i]:end[i]].tobytes())
+    return out
+
+
 def gram_hash(values: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of every n consecutive values (one fewer than n rows shorter)."""
     if len(values) < n:

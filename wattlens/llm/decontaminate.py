@@ -17,7 +17,9 @@ Words are runs of ASCII letters, digits and non-ASCII characters, in lower case,
 hashes. The index is built from shards of at most about ``SHARD_BYTES`` of items, one after the other,
 so its size is bounded whatever the benchmark's.
 
-Defined results: null and empty texts and items without a word have no hits; items with equal texts
+Defined results: null and empty texts and items of no or one word have no hits (one word is no question with its
+answer). An item of two or three words is found where its one or two question words, side by side, and its answer word
+stand in one passage, not necessarily together. Items with equal texts
 are each reported; rows with null ids and repeated rows are searched row by row; an empty table on
 either side gives no hits. An input column named ``hits`` is replaced.
 """
@@ -69,7 +71,7 @@ def word_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
         column = column.combine_chunks()
     buf, offs = _text.utf8(pc.utf8_lower(column.cast(pa.large_string())))
     start, end, row = _text.runs(_WORD[buf], offs)
-    return _text.span_hash(_text.byte_prefix(buf), start, end), row, start - offs[row]
+    return _text.safe_hash(buf, _text.byte_prefix(buf), start, end), row, start - offs[row]
 
 
 class Part(NamedTuple):
@@ -80,7 +82,7 @@ class Part(NamedTuple):
 
     def overlap(self, words: np.ndarray) -> float:
         if not len(self.shingles):
-            return 1.0  # nothing to find
+            return 0.0  # an item of one word has no question, so no text can hold both
         return float(np.isin(self.shingles, _text.gram_hash(words, self.size)).mean())
 
 

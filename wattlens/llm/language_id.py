@@ -1,17 +1,18 @@
 """Language identification of whole texts, with spans for mixed-language text.
 
-A word is a run of letters. Its script (fixed code point ranges) narrows the candidates to the
+A word is a run of letters and their marks, with a letter at least. Its script (fixed code point ranges) narrows the candidates to the
 languages that use the script in training. A word's score for a candidate is the log-likelihood of
 its character grams (two to four, with word borders). Viterbi over the words, with a penalty for
 each switch of language, labels every word; equal neighbours make spans. A text's language is the
 one with most letters in its spans, and its score is that language's share of the letters.
 
 The model is learned from rows with a language whose crc32(id) modulo 5 is not 0: a sample of at most
-about ``PER_LANGUAGE`` texts a language (at most ``MAX_LANGUAGES`` languages, the most frequent), as
-hashed gram counts, so its size is bounded. Predictions see the text alone.
+about ``PER_LANGUAGE`` texts of every language, as hashed gram counts. With more than ``FULL_LANGUAGES``
+languages each has fewer buckets, so the model's size stays bounded (``BUCKETS * FULL_LANGUAGES`` numbers an order).
+Predictions see the text alone. A long text is scored in runs of words, so memory beside its own words stays bounded.
 
-Defined results: null, empty or letterless texts get ``und``, score 0 and no spans, and so do all
-texts if nothing could be learned; ids are only carried, so null ids and repeated rows are judged
+Defined results: null, empty or letterless texts (also those of marks or emoji alone) get ``und``, score 0 and no spans, and so do all
+texts if nothing could be learned; a language column with over ``MOST_LANGUAGES`` values is an error; ids are only carried, so null ids and repeated rows are judged
 row by row; ties go to the language that sorts first; an empty table gives an empty table. Input
 columns named like an added one are replaced.
 """
@@ -19,6 +20,7 @@ columns named like an added one are replaced.
 from __future__ import annotations
 
 import functools
+import math
 import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,7 +36,11 @@ from . import _learn, _text
 UND = "und"
 #: Bounds of the training sample and so of the model.
 PER_LANGUAGE = 2000
-MAX_LANGUAGES = 64
+#: Languages that have all buckets, and values of a language column that can't be one.
+FULL_LANGUAGES = 64
+MOST_LANGUAGES = 1 << 14
+#: Sampled ids that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 #: Character gram orders, and hash buckets of each.
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -46,6 +52,8 @@ GRAM_WEIGHT = 1 / 3
 SCRIPT_SHARE = 0.002
 _SMOOTHING = 0.5
 _EXCLUDED = -1e4
+#: A longer text is scored in runs of about so many bytes.
+RUN_BYTES = 1 << 17
 
 #: First code point of ranges and their script.
 SCRIPTS = (
@@ -70,16 +78,17 @@ _RANGE_SCRIPT = np.array([_SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
 
 
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: is it (part of) a letter, and its lower-case form."""
-    letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: is it a letter, is it a letter or a mark of one, and its lower-case form."""
+    letter, part, lower = np.zeros(0x110000, bool), np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
     for c in range(0x110000):
         ch = chr(c)
-        letter[c] = unicodedata.category(ch)[0] in "LM"
+        kind = unicodedata.category(ch)[0]
+        letter[c], part[c] = kind == "L", kind in "LM"
         low = ch.lower()
         if len(low) == 1 and low != ch:
             lower[c] = ord(low)
-    return letter, lower
+    return letter, part, lower
 
 
 class Words(NamedTuple):
@@ -94,12 +103,14 @@ class Words(NamedTuple):
 
 def words_of(buf: np.ndarray, offs: np.ndarray) -> Words:
     """The words of a batch of texts, with their scripts and gram buckets."""
-    letter, lower = _tables()
+    letter, part, lower = _tables()
     points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
     before = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=before[1:])
     offsets = before[offs]
-    start, end, row = _text.runs(letter[points], offsets)
+    start, end, row = _text.runs(part[points], offsets)
+    own = _text.sum_between(letter[points], start, end) > 0  # marks alone are no word
+    start, end, row = start[own], end[own], row[own]
     text, slots, _ = _text.joined_words(lower[points], start, end)
     length = end - start + 1
     place = np.arange(len(text)) - np.repeat(slots, length)
@@ -118,7 +129,7 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> Words:
 
 class Model(NamedTuple):
     languages: list[str]
-    scores: np.ndarray   #: (orders, buckets + 1, languages) log-likelihoods; the last bucket is 0
+    scores: np.ndarray   #: (orders, buckets + 1, languages) log-likelihoods, buckets a power of two; the last bucket is 0
     allowed: np.ndarray  #: (scripts, languages)
     prior: np.ndarray
 
@@ -126,7 +137,7 @@ class Model(NamedTuple):
         """(words, languages) scores."""
         total = np.zeros((len(words.grams[0]), len(self.languages)), np.float32)
         for table, buckets in zip(self.scores, words.grams, strict=True):
-            total += table[buckets]
+            total += table[np.where(buckets < 0, -1, buckets & (len(table) - 2))]
         out = np.add.reduceat(total, words.slots, axis=0).astype(np.float64) * GRAM_WEIGHT if len(words.slots) else np.zeros((0, len(self.languages)))
         may = self.allowed[words.script]
         out = np.where(may, out, _EXCLUDED)
@@ -165,13 +176,22 @@ def viterbi(scores: np.ndarray, row: np.ndarray, prior: np.ndarray, penalty: flo
     return label
 
 
+def buckets_for(languages: int) -> int:
+    """Hash buckets of each order: all of them up to ``FULL_LANGUAGES``, then half as many for each doubling."""
+    return max(BUCKETS >> max(math.ceil(math.log2(max(languages, 1) / FULL_LANGUAGES)), 0), 256)
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+          per_language: int = PER_LANGUAGE) -> Model:
     """Gram counts of the sampled texts, summed by Spark; what reaches the driver is bounded by buckets times languages."""
     rows = docs.where(~_learn.held_out(id_col))
-    keys = _learn.sample_keys(rows, id_col, lang_col, per_language, "language", max_languages).distinct()
+    n_languages = rows.select(F.col(f"`{lang_col}`")).where(F.col(f"`{id_col}`").isNotNull()).na.drop().distinct().count()
+    if n_languages > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col!r} has {n_languages} values: it names no languages")
+    buckets = buckets_for(n_languages)
+    keys = _learn.sample_keys(rows, id_col, lang_col, per_language, "language").distinct()
     sample = (rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("class"), F.col(f"`{text_col}`").alias("text"))
-              .join(F.broadcast(keys), ["id", "class"], "left_semi"))
+              .join(F.broadcast(keys) if n_languages * per_language <= MOST_BROADCAST else keys, ["id", "class"], "left_semi"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches, "text"):
@@ -180,9 +200,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             of = which[words.row]
             per_slot = np.repeat(of, np.diff(np.append(words.slots, len(words.grams[0]))))
             kinds, keys_, langs, sums = [], [], [], []
-            for kind, own, key, top in [(o, per_slot, g, BUCKETS) for o, g in zip(ORDERS, words.grams, strict=True)] + [(0, of, words.script, len(_SCRIPT_NAMES))]:
+            for kind, own, key, top in [(o, per_slot, g, buckets) for o, g in zip(ORDERS, words.grams, strict=True)] + [(0, of, words.script, len(_SCRIPT_NAMES))]:
                 keep = key >= 0
-                pair, n = np.unique(own[keep].astype(np.int64) * top + key[keep], return_counts=True)
+                key = key[keep] & (buckets - 1) if kind else key[keep]
+                pair, n = np.unique(own[keep].astype(np.int64) * top + key, return_counts=True)
                 kinds.append(np.full(len(pair), kind))
                 keys_.append(pair % top)
                 langs.append(pair // top)
@@ -195,9 +216,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages = sorted(counts["lang"].unique())
     which = counts["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(np.int64)
     kind, key, n = (counts[c].to_numpy(np.int64) for c in ("kind", "key", "n"))
-    scores = np.zeros((len(ORDERS), BUCKETS + 1, len(languages)), np.float32)
+    scores = np.zeros((len(ORDERS), buckets + 1, len(languages)), np.float32)
     for i, order in enumerate(ORDERS):
-        table = np.full((BUCKETS, len(languages)), _SMOOTHING)
+        table = np.full((buckets, len(languages)), _SMOOTHING)
         own = kind == order
         np.add.at(table, (key[own], which[own]), n[own])
         scores[i, :-1] = np.log(table / table.sum(axis=0))
@@ -215,11 +236,35 @@ ADDED = T.StructType([
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), False)])
 
 
+def _scored(model: Model, buf: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The words of a batch and their scores. One long text is taken in runs that end at spaces; its words keep no grams."""
+    if len(offs) != 2 or len(buf) <= 2 * RUN_BYTES:
+        words = words_of(buf, offs)
+        return words, model.emissions(words) if model.languages else np.zeros((len(words.row), 0))
+    spaces = np.flatnonzero(buf == 0x20)
+    after = spaces[np.minimum(np.searchsorted(spaces, np.arange(RUN_BYTES, len(buf), RUN_BYTES)), len(spaces) - 1)] if len(spaces) else []
+    cuts = np.unique(np.concatenate([[0], after, [len(buf)]]).astype(np.int64))
+    parts, scores, before = [], [], 0
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        w = words_of(buf[a:b], np.array([0, b - a]))
+        scores.append(model.emissions(w).astype(np.float32) if model.languages else np.zeros((len(w.row), 0)))
+        parts.append(w._replace(start=w.start + before, end=w.end + before, grams=[], slots=w.slots[:0]))
+        before += w.offsets[-1]
+    cat = {c: np.concatenate([getattr(w, c) for w in parts]) for c in ("start", "end", "row", "script")}
+    whole, at = np.empty((len(cat["row"]), scores[0].shape[1]), np.float32), 0
+    for i, piece in enumerate(scores):
+        whole[at:at + len(piece)] = piece
+        at, scores[i] = at + len(piece), None  # freed on the way
+    return Words(**cat, grams=[], slots=parts[0].slots, offsets=np.array([0, before])), whole
+
+
 def _label(model: Model, buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
-    words, n, size = words_of(buf, offs), len(offs) - 1, len(model.languages)
+    n, size = len(offs) - 1, len(model.languages)
+    words, scores = _scored(model, buf, offs)
     if not size:
         return [pa.array([UND] * n), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]
-    label = viterbi(model.emissions(words), words.row, model.prior, SWITCH_PENALTY)
+    label = viterbi(scores, words.row, model.prior, SWITCH_PENALTY)
+    del scores
     letters = np.bincount(words.row * size + label, words.end - words.start, n * size).reshape(n, size)
     total = letters.sum(axis=1)
     best = letters.argmax(axis=1)

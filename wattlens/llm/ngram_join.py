@@ -52,22 +52,12 @@ from ._components import components
 PART_BYTES = 4 << 20
 ENTRY_BYTES = 290
 MIN_PARTS = 12
-#: Words over this length are hashed by XXH64, as the prefix hash is weak on long patterns.
-LONG_WORD = 64
-
 _NAME_BITS = np.uint64(32)
 _NAME = np.uint64((1 << 32) - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 ADDED = ("n_shingles", "component_id")
 
 
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = _text.span_hash(_text.byte_prefix(buf), start, end)
-    for i in np.flatnonzero(end - start > LONG_WORD):
-        out[i] = xxhash.xxh64_intdigest(buf[start[i]:end[i]].tobytes())
-    return out
-
-
 def _sequence(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hash of n consecutive words from each place."""
     h = np.full(len(at), n, np.uint64)
@@ -83,7 +73,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(offs) - 1
     n_words = np.bincount(row, minlength=n).astype(np.int64)
     first = np.cumsum(n_words) - n_words
-    word = word_hashes(low, start, end)
+    word = _text.safe_hash(low, _text.byte_prefix(low), start, end)
     size = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
     edge = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(edge[-1], np.uint64)

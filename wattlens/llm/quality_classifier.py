@@ -108,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min(F.col(f"`{label_col}`").cast("int")).alias("label")))
     # not every label need have a text
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    keys = _learn.sample_keys(known.join(rows.select("id"), "id", "left_semi"), "id", "label", per_label, "quality", 2)
+    keys = _learn.sample_keys(known.join(rows.select("id"), "id", "left_semi"), "id", "label", per_label, "quality")
     # the sample's bound counts ids: of a repeated one, one text counts
     one = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text"))
     sample = (rows.join(F.broadcast(keys), "id").groupBy("id", "class").agg(one.alias("one")).select("id", "class", "one.text")

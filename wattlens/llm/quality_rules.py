@@ -69,12 +69,12 @@ def _again(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    """The measurements of every text of one buffer. Words and lines are compared by 64-bit hashes."""
+    """The measurements of every text of one buffer. Words and lines are compared by 64-bit hashes, long ones by XXH64."""
     n = len(offs) - 1
     start, end, row = _text.words(buf, offs)
     prefix = _text.byte_prefix(buf)
     n_words = _text.count_per_row(row, n)
-    word = _text.span_hash(prefix, start, end)
+    word = _text.safe_hash(buf, prefix, start, end)
 
     grams = _text.gram_hash(word, REPEAT_WINDOW)
     whole = row[: len(grams)] == row[REPEAT_WINDOW - 1:]
@@ -88,7 +88,7 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     line_start, line_end, line_row = _text.runs(buf != 0x0A, offs)
     with_word = _text.sum_between(~_text.SPACE[buf], line_start, line_end) > 0
     line_start, line_end, line_row = line_start[with_word], line_end[with_word], line_row[with_word]
-    earlier, _ = _again(_text.span_hash(prefix, line_start, line_end), line_row)
+    earlier, _ = _again(_text.safe_hash(buf, prefix, line_start, line_end), line_row)
 
     echo = np.zeros(len(word), bool)
     echo[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
