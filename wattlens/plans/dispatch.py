@@ -21,7 +21,7 @@ from ..operators.filters import not_in_keep_null, subset_region
 from ..operators.lookup import apply_lookup
 from ..operators.partitioning import cluster_by_year
 from ..operators.windows import group_total, ntile_nonnull, share_of_group
-from ..sources.symbols import SymbolSource
+from ..sources.symbols import Part, SymbolSource
 from .marts import with_tech
 from .params import Params
 
@@ -35,13 +35,10 @@ def dispatch_by_segment(sym: SymbolSource, p: Params, symbols: Sequence[str] = D
     optional ``X_45V``) plus storage charge and discharge, summed over the region set in one
     aggregate, fanned out to the hours of each segment. ``symbols`` limits the job to some."""
     names = [n for n in symbols if n != "X_45V" or sym.available(n)]
-    rows = sym.stacked(names)
-    if {"X", "X_45V"} & set(names):
-        rows = with_tech(rows, p)
-    else:
-        rows = rows.withColumn("tech", F.lit(None).cast("string"))
-    rows = rows.withColumn("tech", F.when(F.col("symbol") == "G", storage_label("charge"))
-                           .when(F.col("symbol") == "GD", storage_label("discharge")).otherwise(F.col("tech")))
+    stored = {"G": F.lit(storage_label("charge")), "GD": F.lit(storage_label("discharge"))}
+    parts = [Part(n, stored.get(n, F.col("tech"))) for n in names]
+    plants = set(names) - set(stored)
+    rows = sym.summed(parts, ["region", "year", "segment"], prepare=(lambda df: with_tech(df, p)) if plants else (lambda df: df))
     seg = sum_by(subset_region(rows, sym.get("cal_r")), ["tech", "year", "segment"], "level")
     out = expand_to_hours(seg, rep_hours(sym))
     return out.select(*scen_keys(out), "tech", "year", "segment", "level", "hour")

@@ -18,7 +18,7 @@ from ..operators.aggregate import dense_over_values, partial_rollup, scen_keys,
 from ..operators.filters import drop_null_keys, flag_region, subset_region
 from ..operators.lookup import apply_lookup
 from ..operators.reshape import pivot_lazy, pivot_values
-from ..sources.symbols import SymbolSource
+from ..sources.symbols import Part, SymbolSource
 from .params import Params
 
 
@@ -29,13 +29,11 @@ def with_tech(df: DataFrame, p: Params) -> DataFrame:
 
 def _plants_and_storage(sym: SymbolSource, p: Params, plants: str, power: str, energy: str, measure: str,
                         drop_year: int | None = None) -> DataFrame:
-    """One aggregate over three symbols stacked: plants by technology, and the two storage totals."""
-    rows = with_tech(sym.stacked([plants, power, energy]), p)
-    rows = rows.withColumn("tech", F.when(F.col("symbol") == power, storage_label("capacity"))
-                           .when(F.col("symbol") == energy, storage_label("energy")).otherwise(F.col("tech")))
-    if drop_year is not None:
-        rows = rows.where((F.col("symbol") == plants) | (F.col("year") != drop_year))
-    return sum_by(rows, ["tech", "region", "year"], "level", measure)
+    """One aggregate over three symbols: plants by technology, and the two storage totals (without ``drop_year``)."""
+    counted = None if drop_year is None else F.col("year") != drop_year
+    parts = [Part(plants, F.col("tech")), Part(power, F.lit(storage_label("capacity")), counted), Part(energy, F.lit(storage_label("energy")), counted)]
+    rows = sym.summed(parts, ["region", "year"], prepare=lambda df: with_tech(df, p))
+    return rows.withColumnRenamed("level", measure)
 
 
 # -- capacity --------------------------------------------------------------------------------------

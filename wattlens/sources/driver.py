@@ -230,6 +230,26 @@ class DriverSymbols(SymbolSource):
         base = self.lines(any(specs[n].needs_part for n in names))
         return base.select(*self._scen(F.inline(F.array_compact(F.array(*[row(n) for n in names])))))
 
+    def summed(self, parts, keys, measure="level", label="tech", prepare=lambda df: df):
+        """Parts made of lines are summed side by side in one aggregate over the lines; only its few rows are then set
+        one below the other."""
+        specs = self.line_symbols()
+        if not all(p.symbol in specs for p in parts):
+            return super().summed(parts, keys, measure, label, prepare)
+        base = prepare(self.lines(any(specs[p.symbol].needs_part for p in parts)).withColumnsRenamed({"class": "tech_class"}))
+        labels, sums, entries = [], [], []
+        for i, p in enumerate(parts):
+            spec = specs[p.symbol]
+            counted = F.lit(True)
+            for cond in (spec.rows, p.rows):
+                counted = counted if cond is None else counted & cond
+            labels.append(p.label.alias(f"__label{i}"))
+            sums += [F.sum(F.when(counted, spec.columns[measure])).alias(f"__sum{i}"), F.max(counted).alias(f"__any{i}")]
+            entries.append(F.when(F.col(f"__any{i}"), F.struct(F.col(f"__label{i}").alias(label), F.col(f"__sum{i}").alias(measure))))
+        found = base.groupBy(*self._scen(*keys), *labels).agg(*sums)
+        rows = found.select(*self._scen(*keys), F.inline(F.array_compact(F.array(*entries))))
+        return sum_by(rows, [label, *keys], measure)
+
     # -- other symbols ---------------------------------------------------------------------------
     def raw_cal_r(self) -> DataFrame:
         r = self.table("region").where(F.col("r_name") == "AMERICA").select("r_regionkey")

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType
 
+from ..operators.aggregate import sum_by
 from ..schemas import DROPPED_ATTRIBUTES, SYMBOLS, Symbol
 from .folders import Folders, partition_value
 from .sinks import load, write_table
@@ -58,6 +60,14 @@ def empty_symbol(spark: SparkSession, symbol: Symbol, with_scenario: bool = Fals
     return spark.createDataFrame([], schema)
 
 
+class Part(NamedTuple):
+    """A symbol's share of a sum: the label of its rows, over canonical columns and those that ``prepare`` adds, and which rows count."""
+
+    symbol: str
+    label: Column
+    rows: Column | None = None
+
+
 class SymbolSource:
     """Base class: subclasses implement ``_load(name) -> DataFrame | None``."""
 
@@ -84,6 +94,17 @@ class SymbolSource:
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
+    def summed(self, parts: Sequence[Part], keys: Sequence[str], measure: str = "level", label: str = "tech",
+               prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """(label, keys, measure): the measure of all parts, summed by label and keys. Sources whose symbols share a
+        base override this with one conditional aggregate over it."""
+        rows = prepare(self.stacked([p.symbol for p in parts]))
+        name, wanted = F.lit(None).cast("string"), F.lit(False)
+        for p in parts:
+            own = F.col("symbol") == p.symbol
+            name, wanted = F.when(own, p.label).otherwise(name), wanted | (own if p.rows is None else own & p.rows)
+        return sum_by(rows.where(wanted).withColumn(label, name), [label, *keys], measure)
+
     def raw(self, name: str) -> DataFrame | None:
         """The symbol as result files hold it: raw domain names, attribute columns. Sources that only have
         canonical symbols give those."""
@@ -113,6 +134,9 @@ class _Overridden(SymbolSource):
     def stacked(self, names):
         return super().stacked(names) if set(names) & set(self.builders) else self.base.stacked(names)
 
+    def summed(self, parts, *args, **kw):
+        return super().summed(parts, *args, **kw) if {p.symbol for p in parts} & set(self.builders) else self.base.summed(parts, *args, **kw)
+
     def scenarios(self):
         return self.base.scenarios()
 
