@@ -187,3 +187,24 @@ def test_rows_of_one_id_and_without_id_spread(docs):
         got = op.dedup(docs([*rows, (2, words)])).collect()
         assert len(got) == 601 and {r.n_removed for r in got if r.doc_id != 2} == {0}
         assert [r.n_removed == r[n] > 0 for r in got if r.doc_id == 2] == [True]
+
+
+def test_internal_names_as_input_columns(spark):
+    """Columns named like those that the exchanges use keep their names and values."""
+    names = ["__part", "bucket", "part", "one", "several", "anchors", "hot", "pieces", "masks", "ids", "lengths", "data", "one_log", "several_log"]
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, passage), (2, "x " + passage), (None, passage)], "doc_id long, text string").select(
+        "*", *(F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    for op in (substring_dedup.dedup, suffix_dedup.dedup):
+        out = {r.doc_id: r for r in op(rows).collect()}
+        assert out[2].n_removed > 0 and out[1].n_removed == out[None].n_removed == 0
+        for i, r in out.items():
+            assert all(r[n] == f"{n} of {'none' if i is None else i}" for n in names)
+        assert [c for c in op(rows).columns if c in names] == names
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    rows = spark.createDataFrame([("x1", "a b")], "doc_id string, text string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        substring_dedup.dedup(rows).collect()
+    assert [r.doc_id for r in substring_dedup.dedup(spark.createDataFrame([("12", "a b")], "doc_id string, text string")).collect()] == ["12"]

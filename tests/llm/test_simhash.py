@@ -142,3 +142,13 @@ def test_representatives_of_ties_and_repeats(docs):
     got = sorted((str(r.doc_id), r.text) for r in simhash.representatives(docs(rows)).collect())
     assert got == [("2", "a b c d"), ("2", "quite another text of words"), ("None", "no id here at all")]
     assert simhash.representatives(docs([])).count() == 0
+
+
+def test_internal_names_as_input_columns(spark):
+    names = ["__key", "__hash", "__none", "__id", "__text", "fp", "least_id", "component", "node", "shard", "home", "u", "v"]
+    data = [(1, "a b c d"), (2, "a b c d"), (None, "e f g h"), (4, None)]
+    rows = spark.createDataFrame(data, "doc_id long, text string").select("*", *(F.lit(n).alias(n) for n in names))
+    kept = simhash.representatives(rows).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept if r.doc_id) == [(False, 1), (False, 4)] and len(kept) == 3
+    assert all(r[n] == n for r in kept for n in names) and kept[0].asDict().keys() == {"doc_id", "text", *names}
+    assert all(r[n] == n for r in simhash.near_duplicates(rows).collect() for n in names)

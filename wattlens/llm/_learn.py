@@ -14,9 +14,10 @@ def held_out(id_col: str) -> Column:
 def sample_keys(rows: DataFrame, id_col: str, class_col: str, per_class: int, seed: str) -> DataFrame:
     """(id, class) of at most about ``per_class`` rows of each class, chosen by a hash of the id.
 
-    Reads only the id and the class; no class is left out.
+    Reads only the id and the class; no class is left out. The caller has checked how many classes there are: their counts
+    are broadcast, so that rows of a frequent class stay where they are.
     """
     keys = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{class_col}`").alias("class")).where("id IS NOT NULL AND class IS NOT NULL")
     counts = keys.groupBy("class").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return keys.join(counts, "class").where(place < F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("n"))).select("id", "class")
+    return keys.join(F.broadcast(counts), "class").where(place < F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("n"))).select("id", "class")

@@ -379,7 +379,12 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
 
 
 def run(docs: DataFrame, kind: type[Repeats], id_col: str, text_col: str, part_bytes: int) -> DataFrame:
-    """All columns of ``docs`` but the text, and the columns that ``kind`` adds; one row per row."""
+    """All columns of ``docs`` but the text, and the columns that ``kind`` adds; one row per row. Ids are whole numbers
+    (or texts of such; another text is an error)."""
+    aside = {c: _text.free_name(f"{c}_of_input", docs.columns) for c in docs.columns if c.lower() == _PART and c not in (id_col, text_col)}
+    if aside:  # the user's column keeps its name outside
+        out = run(docs.withColumnsRenamed(aside), kind, id_col, text_col, part_bytes)
+        return out.withColumnsRenamed({new: old for old, new in aside.items()})
     names = {name for name, _ in kind.added}
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in names))
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0

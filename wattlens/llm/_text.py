@@ -37,6 +37,14 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that is none of those taken."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (all bits depend on all bits)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -249,9 +249,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = near_duplicates(docs.select(key.alias("__id"), text.alias("__hash"), F.col(f"`{text_col}`").alias("__text")), "__id", "__text", shingle, radius)
     chosen = (rows.where(F.col("__id").eqNullSafe(F.col("component_id")))
               .groupBy("__id", "component_print").agg(F.min("__hash").alias("__hash")))
-    chosen = chosen.select(F.coalesce("__id", "__hash").alias("__key"), "__hash", F.col("__id").isNull().alias("__none"))
-    known = docs.withColumns({"__key": F.coalesce(key, text), "__hash": text, "__none": key.isNull()})
-    on = ["__key", "__hash", "__none"]
+    on = [_text.free_name(n, docs.columns) for n in ("__key", "__hash", "__none")]  # beside any columns of the user's
+    chosen = chosen.select(F.coalesce("__id", "__hash").alias(on[0]), F.col("__hash").alias(on[1]), F.col("__id").isNull().alias(on[2]))
+    known = docs.withColumns(dict(zip(on, (F.coalesce(key, text), text, key.isNull()), strict=True)))
     return known.join(chosen, on, "left_semi").dropDuplicates(on).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
