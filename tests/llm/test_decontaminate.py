@@ -1,7 +1,10 @@
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +128,27 @@ def test_items_of_one_word_are_no_question_with_an_answer(spark, docs):
     found = d.annotate(docs([(1, "I said yes to a walk."), (2, "yes"), (3, "really, he said yes")]), items).collect()
     assert {r.doc_id: sorted(h.item_id for h in r.hits) for r in found} == {1: [], 2: [], 3: [3]}
     assert sorted(r.doc_id for r in d.remove(docs([(1, "I said yes to a walk."), (2, "yes"), (3, "really, he said yes")]), items).collect()) == [1, 2]
+
+
+def test_first_round_in_runs_of_passages(monkeypatch):
+    """The same passages whatever the run's size, and memory that a large benchmark doesn't multiply."""
+    r = random.Random(4)
+    vocabulary = [f"w{int(r.paretovariate(0.9))}" for _ in range(40_000)]
+    index = d.build([(i, " ".join(r.choices(vocabulary, k=40))) for i in range(3000)])
+    words, row, _ = d.word_hashes(pa.array([" ".join(r.choices(vocabulary, k=20_000)), "w1 w2 w3"]))
+    of, first, end = d._passages(row, 2)
+    at = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
+    term = np.where(index.terms[at] == words, at, -1)
+    w = np.flatnonzero((term >= 0) & index.essential[term])
+    pair = np.unique((np.searchsorted(first, w, "right") - 1) * len(index.terms) + term[w])
+    passage, t = pair // len(index.terms), pair % len(index.terms)
+    whole = d._first_round(index, passage, t)
+    entries, peaks = (index.head[t + 1] - index.head[t]).sum(), []
+    for limit in (1, entries // 50, entries):
+        monkeypatch.setattr(d, "ROUND_ENTRIES", int(limit))
+        tracemalloc.start()
+        assert d._first_round(index, passage, t).tolist() == whole.tolist()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[2] / 5
+    assert d._first_round(index, passage[:0], t[:0]).tolist() == []

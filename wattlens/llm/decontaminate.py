@@ -52,6 +52,8 @@ PASSAGE = 2 * STRIDE
 #: Postings in a block.
 BLOCK = 64
 SHARD_BYTES = 16 << 20
+#: Postings that the first round holds at once.
+ROUND_ENTRIES = 1 << 21
 K1, B = 1.2, 0.75
 _EPS = 1e-9
 
@@ -214,6 +216,25 @@ def _passages(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return of, first, np.minimum(first + PASSAGE, edge[of + 1])
 
 
+def _first_round(index: Index, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Passages (ascending, with an essential term each) of which a section may reach the threshold.
+
+    Postings are expanded for a run of passages at a time, ``ROUND_ENTRIES`` of them (or one passage's), however long the lists.
+    """
+    size = index.head[term + 1] - index.head[term]
+    total, alive, a = np.cumsum(size), [np.zeros(0, np.int64)], 0
+    while a < len(passage):
+        b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + ROUND_ENTRIES, "right")), a + 1)
+        b = int(np.searchsorted(passage, passage[b - 1], "right"))  # whole passages
+        own, n = index.head[term[a:b]], size[a:b]
+        p = np.repeat(own - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key, where = np.unique(np.repeat(passage[a:b], n) * len(index.item) + index.section[p], return_inverse=True)
+        part = np.bincount(where, index.impact[p], len(key))
+        alive.append(np.unique((key // len(index.item))[part + index.rest[key % len(index.item)] >= THRESHOLD - _EPS]))
+        a = b
+    return np.concatenate(alive)
+
+
 def search(index: Index, column: pa.Array | pa.ChunkedArray) -> list[list[dict]]:
     """The verified hits of every text of a batch."""
     n = len(column)
@@ -233,12 +254,7 @@ def search(index: Index, column: pa.Array | pa.ChunkedArray) -> list[list[dict]]
     earlier = (last > 0) & (end[last - 1] > w)
     pairs.append((last[earlier] - 1) * len(index.terms) + term[w[earlier]])
     pair = np.unique(np.concatenate(pairs))
-    passage, t = pair // len(index.terms), pair % len(index.terms)
-    size = index.head[t + 1] - index.head[t]
-    p = np.repeat(index.head[t], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    key, where = np.unique(np.repeat(passage, size) * len(index.item) + index.section[p], return_inverse=True)
-    part = np.bincount(where, index.impact[p], len(key))
-    alive = np.unique((key // len(index.item))[part + index.rest[key % len(index.item)] >= THRESHOLD - _EPS])
+    alive = _first_round(index, pair // len(index.terms), pair % len(index.terms))
     # second round: block-max WAND over all terms of the passages left
     found: dict[tuple[int, int], float] = {}
     for x in alive.tolist():
