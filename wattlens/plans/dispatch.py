@@ -38,8 +38,12 @@ def dispatch_by_segment(sym: SymbolSource, p: Params, symbols: Sequence[str] = D
     stored = {"G": F.lit(storage_label("charge")), "GD": F.lit(storage_label("discharge"))}
     parts = [Part(n, stored.get(n, F.col("tech"))) for n in names]
     plants = set(names) - set(stored)
-    rows = sym.summed(parts, ["region", "year", "segment"], prepare=(lambda df: with_tech(df, p)) if plants else (lambda df: df))
-    seg = sum_by(subset_region(rows, sym.get("cal_r")), ["tech", "year", "segment"], "level")
+
+    def regional(df: DataFrame) -> DataFrame:
+        own = subset_region(df, sym.get("cal_r"))
+        return with_tech(own, p) if plants else own
+
+    seg = sym.summed(parts, ["year", "segment"], prepare=regional)
     out = expand_to_hours(seg, rep_hours(sym))
     return out.select(*scen_keys(out), "tech", "year", "segment", "level", "hour")
 
