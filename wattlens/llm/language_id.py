@@ -137,7 +137,7 @@ class Model(NamedTuple):
         """(words, languages) scores."""
         total = np.zeros((len(words.grams[0]), len(self.languages)), np.float32)
         for table, buckets in zip(self.scores, words.grams, strict=True):
-            total += table[np.where(buckets < 0, -1, buckets & (len(table) - 2))]
+            total += table[buckets if len(table) == BUCKETS + 1 else np.where(buckets < 0, -1, buckets & (len(table) - 2))]
         out = np.add.reduceat(total, words.slots, axis=0).astype(np.float64) * GRAM_WEIGHT if len(words.slots) else np.zeros((0, len(self.languages)))
         may = self.allowed[words.script]
         out = np.where(may, out, _EXCLUDED)
