@@ -93,7 +93,7 @@ def test_scenarios_are_listed_without_a_job_or_a_scan(spark):
 def _hour_files(spark, years, schema="h int, s string"):
     root, paths = _scratch(), []
     for y in years:
-        paths.append(os.path.join(root, f"create_hrep_{y}_default"))
+        paths.append(os.path.join(root, f"hour_map_{y}"))
         spark.createDataFrame([(1, f"a{y}"), (2, f"b{y}")], schema).write.parquet(paths[-1])
     return paths
 
@@ -102,9 +102,9 @@ def test_multi_file_scan_is_one_scan_keyed_by_file_name(spark):
     paths = _hour_files(spark, range(2020, 2027))
     # two more: one holds its year, too; one has canonical names
     paths += _hour_files(spark, [2030]) + _hour_files(spark, [2035], "hour int, segment string")
-    own = os.path.join(_scratch(), "create_hrep_2040_default")
+    own = os.path.join(_scratch(), "hour_map_2040")
     spark.createDataFrame([(2040, 1, "a2040"), (2040, 2, "b2040")], "t int, h int, s string").write.parquet(own)
-    df = scan_multi_file(spark, [*paths, own], "hrep", key="year", pattern=r"hrep_(\d{4})_")
+    df = scan_multi_file(spark, [*paths, own], "hrep", key="year", pattern=r"hour_map_(\d{4})")
     assert df.columns == ["year", "hour", "segment"]
     assert rows(df) == sorted((y, h, f"{s}{y}") for y in [*range(2020, 2027), 2030, 2035, 2040] for h, s in ((1, "a"), (2, "b")))
     assert _plan(df).count("FileScan") == 1
@@ -114,11 +114,11 @@ def test_multi_file_scan_is_one_scan_keyed_by_file_name(spark):
 def test_multi_file_names_must_fit(spark):
     paths = _hour_files(spark, [2020])
     with pytest.raises(Exception, match="gives no year"):
-        scan_multi_file(spark, paths, "hrep", key="year", pattern=r"hours_(\d{4})_").collect()
-    wrong = os.path.join(_scratch(), "create_hrep_2040_default")
+        scan_multi_file(spark, paths, "hrep", key="year", pattern=r"segments_(\d{4})").collect()
+    wrong = os.path.join(_scratch(), "hour_map_2040")
     spark.createDataFrame([(2045, 1, "a")], "t int, h int, s string").write.parquet(wrong)
     with pytest.raises(Exception, match="another one than the file"):
-        scan_multi_file(spark, [*paths, wrong], "hrep", key="year", pattern=r"hrep_(\d{4})_").collect()
+        scan_multi_file(spark, [*paths, wrong], "hrep", key="year", pattern=r"hour_map_(\d{4})").collect()
 
 
 # -- marts -------------------------------------------------------------------------------------------

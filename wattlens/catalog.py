@@ -57,10 +57,10 @@ def _scan_multi_file(spark, sf_dir):
     """Loads on an hour map of one stored file for each year, whose year only the file's name gives."""
     sym, p = _hourly_symbols(spark, sf_dir)
     root = _folder(spark, "hours")
-    paths = [os.path.join(root, f"create_hrep_{year}_default") for year in p.years]
+    paths = [os.path.join(root, f"hour_map_{year}") for year in p.years]
     for year, path in zip(p.years, paths, strict=True):
         sym.base.raw_hrep(year).drop("t").write.parquet(path)
-    hours = scan_multi_file(spark, paths, "hrep", key="year", pattern=r"hrep_(\d{4})_")
+    hours = scan_multi_file(spark, paths, "hrep", key="year", pattern=r"hour_map_(\d{4})")
     return hourly.ca_loads(sym.override(hrep=lambda: hours), p)
 
 
